@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import byte_bpe, exact_dedup, mixing, quality, secrets
+from docspark.llm import byte_bpe, exact_dedup, html_extract, mixing, quality, secrets, tool_calls, toxicity
 from docspark.llm.common import documents, materialise
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -22,6 +26,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_5
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.link(calls, results, tool_calls.REPLY)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,11 +43,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.select("doc_id", *(n[f] for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & quality.verdict(cutoffs, n)).alias("kept"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_secret_scan": op4_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_html_extract": op1_html_extract, "op6_tool_calls": op6_tool_calls, "op9_toxicity": op9_toxicity, "op4_secret_scan": op4_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
     "op10_exact_dedup": """
