@@ -86,3 +86,18 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         counts = np.bincount(doc[filled], minlength=len(counts))
         flat = flat.filter(pa.array(filled))
     return np.concatenate([[0], np.cumsum(counts)]), flat
+
+
+#: Slots of the hashed id set that prefilters a table before a shuffle.
+SLOTS = 1 << 20
+
+
+def prefilter(docs: DataFrame, ident: str, ids: DataFrame, of: str) -> DataFrame:
+    """Rows of docs whose ident may be among ids: all that are, and few others.
+
+    The set is broadcast as at most SLOTS hashed slots, whatever the size of ids;
+    where most slots are taken it lets more rows by, which costs time only.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = ids.select(slot(F.col(of)).alias("slot_of_ids")).distinct()
+    return docs.join(F.broadcast(slots), slot(F.col(ident)) == F.col("slot_of_ids"), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import byte_bpe, exact_dedup, html_extract, mixing, quality, secrets, substring_dedup, tool_calls, toxicity
+from docspark.llm import byte_bpe, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, substring_dedup, tool_calls, toxicity
 from docspark.llm.common import documents, materialise
 
 
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -60,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_html_extract": op1_html_extract, "op2_substring_dedup": op2_substring_dedup, "op6_tool_calls": op6_tool_calls, "op9_toxicity": op9_toxicity, "op4_secret_scan": op4_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_substring_dedup": op2_substring_dedup, "op3_near_dedup": op3_near_dedup, "op6_tool_calls": op6_tool_calls, "op9_toxicity": op9_toxicity, "op4_secret_scan": op4_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
     "op10_exact_dedup": """
