@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.llm.common import materialise, shards_for, word_count
+from docspark.llm.common import fresh, materialise, shards_for, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Total of the mix, as a multiple of all sizes.
@@ -96,3 +96,13 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("size") * F.col("times"), F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed(docs: DataFrame, decisions: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them; decisions is mix() of docs. Documents without words stay, once."""
+    size, times, d, s, z = fresh(docs, "size", "times", "d", "s", "z")
+    taken = decisions.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z)).agg(F.max("taken").alias(times))
+    rows = docs.withColumn(size, word_count(F.col(text)))
+    joined = rows.join(taken, rows[ident].eqNullSafe(taken[d]) & rows[source].eqNullSafe(taken[s]) & (rows[size] == taken[z]))
+    count = F.when(F.col(size) > 0, F.col(times) / F.greatest(F.col(size), F.lit(1))).otherwise(1).cast("int")
+    return joined.where(count > 0).withColumn(z, F.explode(F.sequence(F.lit(1), count))).select(*docs.columns)
