@@ -1 +1 @@
-
+"""Column functions of document text."""

@@ -1 +1 @@
-
+"""Readers, sinks and engine adapters."""

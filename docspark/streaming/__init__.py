@@ -1 +1 @@
-
+"""Structured Streaming over arriving pages and progress events."""
