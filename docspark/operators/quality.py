@@ -223,6 +223,19 @@ def _glued(c: Column) -> Column:
     return F.exists(long, lambda x: (x == casefold(x)) & ((F.length(x) >= 80) | (signs(x) >= 3)))
 
 
+def core_errors(c: Column) -> Column:
+    """The gate's cheapest codes: empty page, open fences, runs of lines, runs of words, odd `$`."""
+    text = F.coalesce(c, F.lit(""))
+    tests = {"empty_page": strip(text) == "", "unclosed_code_blocks": count(text, "```") % 2 == 1, "repetition_loop": line_run(text) >= 4, "repeated_words": word_run(text) >= 5, "unbalanced_math_delimiters": mathtext.unbalanced(text)}
+    return F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items())))
+
+
+def core_report(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, score, should_retry, passed and errors (sorted, comma-joined) by core_errors. A projection."""
+    full = lambda e: F.struct(score(e).alias("score"), should_retry(e).alias("should_retry"), (F.size(e) == 0).alias("passed"), F.array_join(F.array_sort(e), ",").alias("errors"))
+    return pages.select(*keys, F.inline(F.transform(F.array(core_errors(F.col(text))), full)))
+
+
 def page_errors(c: Column, check_tables: Column | bool = True, assets: Column | None = None, html_tables: Column | None = None) -> Column:
     """Ordered distinct error codes of a page as an array.
 

@@ -63,8 +63,7 @@ def suspicious_lines(pages: DataFrame, keys: list[str], text: str = "text", lost
     """
     all_lines = lines(F.col(text))
     shown = lambda x: (strip(x) != "") & ~F.ltrim(x).startswith("<!--")
-    at = F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"), shown(x).alias("shown")))
-    last = F.array_max(F.transform(F.filter(at, lambda s: s["shown"]), lambda s: s["i"]))
+    last = F.array_max(F.transform(all_lines, lambda x, i: F.when(shown(x), i)))
     e = pages.select(*keys, F.size(F.filter(all_lines, shown)).alias("n_content"), last.alias("last"), F.posexplode(all_lines).alias("line_idx", "line"))
     reasons = line_reasons(F.col("line"), lost_marks)
     if footer:

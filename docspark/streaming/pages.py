@@ -11,7 +11,7 @@ from docspark.operators import quality
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType | str, files: int = 64) -> DataFrame:
-    """Rows of Parquet files as they arrive, at most so many files in a batch."""
+    """Rows of Parquet files as they arrive in a folder, or at the places of a pattern; at most so many files in a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
