@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docspark.functions import markup
+from docspark.functions import choices, loops, markup
 from docspark.functions.text import strip
 from docspark.operators import quality, tables
 
@@ -58,8 +58,8 @@ def rebased(spans: Column, old: Column, new: Column) -> Column:
 
     def move(acc, s):
         p = piece(s)
-        at = F.length(F.substring_index(acc["tail"], p, 1))
-        hit = acc["tail"].contains(p) & (p != "")
+        found = F.instr(acc["tail"], p)
+        hit, at = (found > 0) & (p != ""), found - 1
         begin = acc["gone"] + at
         moved = s.withField("md_start", begin.cast("int")).withField("md_end", (begin + F.length(p)).cast("int"))
         return F.when(hit, F.struct(F.substring(acc["tail"], at + F.length(p) + 1, F.length(acc["tail"])).alias("tail"), (begin + F.length(p)).cast("int").alias("gone"), F.array_append(acc["out"], moved).alias("out"))).otherwise(acc)
@@ -75,7 +75,7 @@ def documents(pages: DataFrame, doc: list[str], page: str, text: str = "text") -
     return g.select(*doc, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), "n_pages", F.size("p").cast("long").alias("n_filled"))
 
 
-REPORT = ("placeholders_dropped", "tables_closed", "tables_converted", "images_normalised", "pages_stitched", "tables_joined")
+REPORT = ("loops_collapsed", "math_normalised", "placeholders_dropped", "tables_closed", "tables_converted", "images_normalised", "pages_stitched", "tables_joined")
 
 
 def finalise(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,10 +86,12 @@ def finalise(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = [
         ("images_normalised", lambda c: markup.normalise_images(markup.unescape_image_links(c))),
         ("placeholders_dropped", markup.drop_placeholders),
+        ("loops_collapsed", loops.collapse_loops),
         ("pages_stitched", markup.stitch_pages),
         ("tables_closed", lambda c: markup.compact_tables(markup.close_tables(c))),
         ("tables_joined", tables.join_tables),
         ("tables_converted", tables.html_to_pipes),
+        ("math_normalised", lambda c: choices.balance_math(choices.normalise_answers(c))),
     ]
     out = docs.withColumn("final", F.col(text))
     for name, step in steps:

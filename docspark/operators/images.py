@@ -117,12 +117,15 @@ def crop_borders(grey: np.ndarray, p: Profile) -> tuple[slice, slice]:
 
 
 def drop_rules(mask: np.ndarray, p: Profile) -> np.ndarray:
-    """Without the ruled lines of a page that has as many as a profile wants: rows or columns mostly of one long run."""
+    """Without the ruled lines of a page that has as many as a profile wants: thin rows or columns that are mostly ink."""
     out = mask
     for axis in (1, 0):
-        lined = out.mean(axis) >= 0.5
-        groups = np.flatnonzero(np.diff(np.concatenate([[0], lined.view(np.int8)])) == 1)
-        if len(groups) >= p.rule_lines:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (out.mean(axis) >= 0.5).view(np.int8), [0]]))).reshape(-1, 2)
+        thin = [(a, b) for a, b in edges if b - a <= max(3, out.shape[1 - axis] // 200)]
+        lined = np.zeros(out.shape[1 - axis], bool)
+        for a, b in thin:
+            lined[a:b] = True
+        if len(thin) >= p.rule_lines:
             out = out.copy()
             out[(lined, slice(None)) if axis == 1 else (slice(None), lined)] = False
     return out

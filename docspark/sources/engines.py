@@ -72,7 +72,8 @@ def recognise(pages: DataFrame, make: Callable[[], Engine], keys: list[str], ima
 
 def instruction(errors: Column) -> Column:
     """Hints for a second attempt at a page with these errors."""
-    return F.concat_ws(" ", F.array_distinct(F.array_compact(F.array(*(F.when(F.exists(errors, lambda e, k=k: quality.kind(e) == k), h) for k, h in HINTS.items())))))
+    kinds = F.transform(errors, quality.kind)
+    return F.concat_ws(" ", F.array_distinct(F.array_compact(F.array(*(F.when(F.array_contains(kinds, k), h) for k, h in HINTS.items())))))
 
 
 def read_twice(pages: DataFrame, make: Callable[[], Engine], keys: list[str], keep: Callable[[DataFrame], DataFrame], image: str = "content") -> DataFrame:
