@@ -36,6 +36,8 @@ RATE = 4.0
 #: these that is toxic differs from that of all by so many standard errors.
 LEAST_DOCS = 6
 LEAST_Z = 3.0
+#: Documents whose bags are held at once.
+CHUNK = 128
 SEED = 20240601
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,13 +124,22 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     even = float(np.log(prior / (1 - prior)))
     if n == 0 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), even)
-    doc, bucket, weight = _bags(texts)
-    having = np.bincount(bucket, minlength=BUCKETS)
+    # Twice over the documents, a chunk at a time: bags of all buckets at once don't fit a driver.
+    chunks = [(at, texts.slice(at, CHUNK)) for at in range(0, n, CHUNK)]
+    having, with_label = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for at, part in chunks:
+        doc, bucket, _ = _bags(part)
+        having += np.bincount(bucket, minlength=BUCKETS)
+        with_label += np.bincount(bucket, weights=labels[doc + at], minlength=BUCKETS)
     share = labels.mean()
-    z = (np.bincount(bucket, weights=labels[doc], minlength=BUCKETS) - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share))
+    z = (with_label - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share))
     often = (having >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    keep = often[bucket]
-    doc, bucket, weight = doc[keep], bucket[keep], weight[keep]
+    kept = []
+    for at, part in chunks:
+        doc, bucket, weight = _bags(part)
+        keep = often[bucket]
+        kept.append((doc[keep] + at, bucket[keep], weight[keep]))
+    doc, bucket, weight = (np.concatenate(x) for x in zip(*kept, strict=True))
     start = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
     rng = np.random.default_rng(SEED)
     vectors = np.zeros((BUCKETS, DIMENSIONS))
