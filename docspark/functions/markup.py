@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import casefold, count, let, lines, rewrite, squeeze, strip, tokens
 
+#: Markdown and HTML forms (fixed values).
 TABLE = r"(?is)<table\b[^>]*>.*?</table>"
 IMAGE = r"!\[([^\]\n]*)\]\(([^)\n]+)\)"
 LINK_TARGET = r"!\[[^\]]*\]\(([^)]+)\)"
 PLACEHOLDER = r"(?i)(?:image|formula)_placeholder"
-#: Start of a line that isn't running prose.
+#: Start of a line that isn't running prose (fixed value).
 BLOCK_START = r"^\s*(?:#{1,6}\s|[-+*]\s|\d+[.)]\s|>|```|~~~|<!--|<[/A-Za-z]|\||!\[|\$\$)"
 #: Tags in the order in which missing ends are added.
 TABLE_TAGS = ("td", "th", "tr", "table")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import count, let
 
-#: A `$` that no backslash precedes.
+#: A `$` that no backslash precedes; inline mathematics (fixed values).
 DOLLAR = r"(?<!\\)\$"
 INLINE = r"(?<!\$)\$([^$\n]+)\$(?!\$)"
-#: Codes in the order in which they are reported.
+#: Codes in the order in which they are reported (fixed values).
 CODES = ("answer_label_inside_math", "multiple_answers_inside_math", "prose_inside_math", "non_math_math_block", "unbalanced_latex_braces", "incomplete_latex_command", "display_math_inline", "adjacent_math_blocks")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions.mathtext import unbalanced
 from docspark.functions.text import casefold, count, let, lines, squeeze, strip, tokens
 
+#: Numbers and formulas (fixed values).
 NUMBER = r"(?<![\p{L}\p{N}_.])-?\d+(?:[.,]\d+)?(?:%|\b)"
 #: The first branch ends only where the text ends; strict_math has the form that doesn't.
 MATH = r"(?s)\$\$(.+?)\$$|\$(.+?)\$"

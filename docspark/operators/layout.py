@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Thresholds here and below are fixed values.
 #: Share of the page width from which a block counts as full width; width of a column, as a share.
 FULL_WIDTH, COLUMN = 0.65, 0.18
 

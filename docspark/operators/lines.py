@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from docspark.functions.markup import BLOCK_START
 from docspark.functions.text import lines, strip
 
+#: Patterns of footers and page numbers (fixed values).
 #: Footers that go wherever they stand; names of a publication can be added.
 PAGE_FOOTER = r"(?iu)^\s*(?:trang\s+)?\d+\s*/\s*\d+\s*(?:[-–—|]\s*mã\s+đề(?:\s+thi)?\s+[\p{L}\p{N}_]+)?\s*$"
 #: Footers that go near the end of a page.

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from docspark.functions.text import casefold, let, unaccented
 
 WORD = r"[A-Za-zÀ-ỹĐđ]+"
-#: Parts of a text that are never corrected.
+#: Parts of a text that are never corrected (fixed value).
 MASK = r"(?is)```.*?```|`[^`\n]*`|\$\$.*?\$\$|(?<!\$)\$[^$\n]*\$(?!\$)|!?\[[^\]]*\]\([^)]+\)|https?://[^\s<>]+|\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b|\b\d{1,4}/\d{4}/[A-ZĐ-]+\b|\b(?=[A-Za-z0-9._/-]*\d)(?=[A-Za-z0-9._/-]*[-_/])[A-Za-z0-9]+(?:[-_/][A-Za-z0-9.]+)+\b|<table\b.*?</table>"
 PIPE_LINE = r"(?m)^[^\S\n]*\|.*$"
 
