@@ -9,13 +9,14 @@ from docspark.functions import markup, scoring
 from docspark.functions.text import LETTERS, casefold, unaccented, words
 from docspark.operators import assembly, bench, layout, lines, quality, review, spelling, tables
 from docspark.plans.oracles import ORACLES
+from docspark.sources.readers import spread
 from docspark.streaming import pages as streams
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def q01_page_quality_report(spark, d):

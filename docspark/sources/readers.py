@@ -15,6 +15,15 @@ from docspark.operators.spelling import nfc
 PAGES = "path string, page_num int, content binary, error string"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, dealt over them all; any other as it is.
+
+    Only small inputs, of few splits, are ever dealt anew.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def stem(path: Column) -> Column:
     """File name without folder and suffix, in canonical composition."""
     return nfc(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
