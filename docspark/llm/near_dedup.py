@@ -7,9 +7,7 @@ sketch are candidates; the ordered Jaccard similarity, M / (n + m - M) for M
 k-mers matched in order, decides. An alignment that reaches SIMILARITY stays
 within a band of (n + m) x (1 - s) / (1 + s) about the diagonal.
 
-Every bucket is compared with its leaders, not pair by pair: its least and
-greatest member first, then, round by round, the LEADERS least of those that no
-leader is similar to, until none is left.
+Every bucket is compared with its leaders, not pair by pair; links() says how.
 """
 
 from __future__ import annotations
@@ -22,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docspark.llm.common import fresh, materialise, prefilter, slices
 from docspark.llm.substring_dedup import _Hashes, _mix
@@ -31,7 +28,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 32
 PICKS = 5
-LEADERS = 8
 #: k-mers looked at, on average, for the PICKS least.
 DRAW = 30
 _ODD = (np.random.default_rng(7).integers(0, 1 << 63, (2, TABLES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -157,36 +153,21 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
 
 
 def links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): similar texts among those that share a sketch; members is a table of (s, r), docs has id and text."""
-    ends = members.groupBy("s").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high")
-    held = materialise(members.join(ends, "s"))
-    pairs = materialise(held.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("r").alias("b")), F.struct(F.col("r").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct())
-    found = materialise(verify(pairs, docs).select("a", "b").distinct())
-    out = [found]
-    low, high = found.select(F.col("a").alias("low"), F.col("b").alias("r")), found.select(F.col("a").alias("r"), F.col("b").alias("high"))
-    rest = held.where("low < r AND r < high").join(low, ["low", "r"], "left_anti").join(high, ["high", "r"], "left_anti").select("s", "r")
-    while True:
-        rest = materialise(rest)
-        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("r")))
-        leaders = materialise(ranked.where(F.col("rank") <= LEADERS).select("s", F.col("r").alias("a"), "rank"))
-        if leaders.where("rank > 1").isEmpty():
-            return _union(out)
-        trial = materialise(rest.withColumnRenamed("r", "b").join(leaders, "s").where("a < b"))
-        fresh_pairs = trial.select("a", "b").distinct()
-        for known in [pairs, *out[1:]]:
-            fresh_pairs = fresh_pairs.join(known, ["a", "b"], "left_anti")
-        fresh_pairs = materialise(fresh_pairs)
-        out.append(materialise(verify(fresh_pairs, docs).select("a", "b").distinct()))
-        settled = trial.join(_union(out), ["a", "b"]).select("s", F.col("b").alias("r"))
-        heads = leaders.select("s", F.col("a").alias("r"))
-        rest = rest.join(settled.unionByName(heads).distinct(), ["s", "r"], "left_anti")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f)
-    return whole
+    """(a, b): similar texts among those that share a sketch; members is a table of (s, r), docs has id and text.
+
+    Every bucket's members meet two leaders, the least and the hub: the member
+    whose buckets are largest in all, which for copies of one text is that text
+    or the copy nearest to it. The number of pairs grows with the members, not
+    with their square.
+    """
+    sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("s", "n", "low")
+    held = materialise(members.join(sizes, "s"))
+    weight = held.groupBy("r").agg(F.sum("n").alias("weight"))
+    hubs = held.join(weight, "r").groupBy("s").agg(F.max_by("r", F.struct("weight", "r")).alias("hub"))
+    led = held.join(hubs, "s")
+    pair = lambda lead: F.struct(F.least("r", lead).alias("a"), F.greatest("r", lead).alias("b"))
+    pairs = materialise(led.select(F.explode(F.array(pair("low"), pair("hub"))).alias("p")).select("p.*").where("a < b").distinct())
+    return materialise(verify(pairs, docs).select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
