@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fresh, materialise, slices, split_words
+from docspark.llm.common import fresh, materialise, prefilter, slices, split_words
 
 WINDOW = 50
 ANCHOR = 25
@@ -151,7 +151,9 @@ def passages(routed: DataFrame, docs: DataFrame) -> DataFrame:
                         out[2].append(b" ".join(words[run_[0] : run_[-1] + WINDOW]).decode())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["d", "m", "passage"])
 
-    texts = routed.join(docs, F.col("m") == F.col("id")).select("d", "m", "places", "text")
+    # Few documents own a passage: the others' texts stay out of the shuffle.
+    owners = prefilter(docs, "id", routed, "m")
+    texts = routed.join(owners, F.col("m") == F.col("id")).select("d", "m", "places", "text")
     return texts.mapInArrow(run, "d bigint, m bigint, passage string").groupBy("d").agg(F.collect_list(F.struct("m", "passage")).alias("found"))
 
 
