@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from docspark.llm.common import fresh, slices
 
 #: Pre-tokens remembered by a Python worker.
-CACHE = 400_000
+CACHE = 150_000
 UNKNOWN = "⁇"
 
 
