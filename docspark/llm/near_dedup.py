@@ -7,21 +7,23 @@ sketch are candidates; the ordered Jaccard similarity, M / (n + m - M) for M
 k-mers matched in order, decides. An alignment that reaches SIMILARITY stays
 within a band of (n + m) x (1 - s) / (1 + s) about the diagonal.
 
-Every bucket is compared with its leaders, not pair by pair; links() says how.
+Every bucket is compared with its leaders first; then the pairs of its members
+that are still in different components, in blocks, until none is untried.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import fresh, materialise, prefilter, slices
+from docspark.llm.common import fresh, give_back, materialise, prefilter, slices
 from docspark.llm.substring_dedup import _Hashes, _mix
 
 SHINGLE = 5
@@ -30,6 +32,10 @@ TABLES = 32
 PICKS = 5
 #: k-mers looked at, on average, for the PICKS least.
 DRAW = 30
+#: Members of a bucket that meet those of another block, or each other, in one task, on average.
+BLOCK = 256
+#: Bytes of text of the groups that cross() hashes at a time.
+CROSS_BYTES = 2 << 20
 _ODD = (np.random.default_rng(7).integers(0, 1 << 63, (2, TABLES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.arange(TABLES, dtype=np.uint64) * _STEP
@@ -157,8 +163,9 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     Every bucket's members meet two leaders, the least and the hub: the member
     whose buckets are largest in all, which for copies of one text is that text
-    or the copy nearest to it. The number of pairs grows with the members, not
-    with their square.
+    or the copy nearest to it. So far the pairs grow with the members. cross()
+    then tries what is left, so that each two texts of a bucket are linked by
+    some chain or were compared.
     """
     sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("s", "n", "low")
     held = materialise(members.join(sizes, "s"))
@@ -167,7 +174,106 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
     led = held.join(hubs, "s")
     pair = lambda lead: F.struct(F.least("r", lead).alias("a"), F.greatest("r", lead).alias("b"))
     pairs = materialise(led.select(F.explode(F.array(pair("low"), pair("hub"))).alias("p")).select("p.*").where("a < b").distinct())
-    return materialise(verify(pairs, docs).select("a", "b").distinct())
+    found = materialise(verify(pairs, docs).select("a", "b").distinct())
+    return materialise(found.unionByName(cross(held, found, docs)).distinct())
+
+
+def cross(held: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): similar texts that share a bucket and that the links found don't join; held is a table of (s, r, n), n the bucket's size.
+
+    Buckets of one component have nothing to try. The members of any other are
+    dealt to blocks of BLOCK on average, and each two blocks, or one with itself,
+    are a group of rows for one task, so that a large bucket is many tasks.
+    A group tries all its pairs of different components: their number grows with
+    the square of the bucket where it holds many texts that aren't similar.
+    """
+    parts = components(found)
+    named = materialise(held.join(parts, F.col("r") == F.col("node"), "left").select("s", "r", "n", F.coalesce("least", "r").alias("c")))
+    mixed = named.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    rest = named.join(mixed, "s").select("s", "r", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("r"), "blocks").cast("int"))
+    rest = materialise(rest.select("s", "r", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    groups = rest.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "r", "c")
+    texts = prefilter(docs, "id", rest, "r").select(F.col("id").alias("r"), "text").dropDuplicates(["r"])
+    return groups.join(texts, "r").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").select("s", "i", "j", "block", "r", "c", "text").mapInArrow(_cross, "a bigint, b bigint")
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (s, i, j, block, r, c, text), those of a group in sequence."""
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        keys = np.stack([rows.column(k).to_numpy() for k in "sij"])
+        return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
+
+    def tried(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        """Links of whole groups, which start at `at`."""
+        texts = rows.column("text").dictionary_encode()
+        offsets, kmers = shingles(_Hashes(texts.dictionary))
+        marks = np.unique(labelled(offsets, kmers), return_inverse=True)[1]
+        which, r, c = texts.indices.to_numpy(), rows.column("r").to_numpy(), rows.column("c").to_numpy()
+        block = np.where(rows.column("i").to_numpy() == rows.column("j").to_numpy(), -1, rows.column("block").to_numpy())
+        found: list[tuple[int, int]] = []
+        for start, stop in zip(at, [*at[1:], rows.num_rows], strict=True):
+            mine = which[start:stop]
+            found += [(r[start + x], r[start + y]) for x, y in _group([kmers[offsets[w] : offsets[w + 1]] for w in mine], [marks[offsets[w] : offsets[w + 1]] for w in mine], c[start:stop], block[start:stop])]
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        rows = batch if last is None else pa.concat_batches([last, batch])
+        at = starts(rows) if rows.num_rows else np.zeros(1, np.int64)
+        yield from _parts(rows.slice(0, at[-1]), at[:-1], tried)
+        last = rows.slice(at[-1])
+    if last is not None:
+        yield from _parts(last, np.zeros(1, np.int64), tried)
+
+
+def _parts(rows: pa.RecordBatch, at: np.ndarray, tried: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tried(rows, starts) of runs of groups with about CROSS_BYTES of text."""
+    if not rows.num_rows:
+        return
+    give_back()
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    part = size[at] // CROSS_BYTES
+    heads = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+    for one, end in zip(heads, [*heads[1:], len(at)], strict=True):
+        stop = at[end] if end < len(at) else rows.num_rows
+        yield tried(rows.slice(at[one], stop - at[one]), at[one:end] - at[one])
+
+
+def _group(kmers: list[np.ndarray], marks: list[np.ndarray], label: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """Links (x, y) of a group, after which each two members of it, of different blocks or of block -1, are joined or were compared.
+
+    Equal labels are joined. The labelled k-mers that two texts share are at
+    least as many as can be matched in order: pairs that they rule out need no
+    alignment.
+    """
+    label = label.copy()
+    names, counts = np.unique(label, return_counts=True)
+    if len(names) < 2:
+        return []
+    size = np.array([len(k) for k in marks])
+    vocabulary, flat = np.unique(np.concatenate(marks), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    inside = np.zeros(len(vocabulary), bool)
+    listed: dict[int, list[int]] = {}
+    runs = lambda y: listed[y] if y in listed else listed.setdefault(y, kmers[y].tolist())
+    done = np.zeros(len(label), bool)
+    out = []
+    for x in np.flatnonzero(label != names[counts.argmax()]):
+        done[x] = True
+        open_ = ~done & (label != label[x]) & ((block == -1) | (block != block[x]))
+        if not open_.any():
+            continue
+        inside[:] = False
+        inside[flat[start[x] : start[x] + size[x]]] = True
+        shared = np.add.reduceat(inside[flat], start, dtype=np.int64)
+        for y in np.flatnonzero(open_ & (shared >= SIMILARITY * (size + size[x] - shared) - 1e-9)):
+            if label[x] != label[y] and ordered_similarity(runs(x), runs(y)) >= SIMILARITY:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

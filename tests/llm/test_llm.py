@@ -242,6 +242,34 @@ def test_copies_of_one_text_meet_in_it(spark):
     assert set(got.values()) == {0}
 
 
+def test_variants_without_their_original_are_the_classes_of_all_pairs(spark, monkeypatch):
+    """Form letters with three words changed in each, the template itself not there; blocks so small that a bucket has several."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = random.Random(11)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(200), 3):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    offsets, kmers = near_dedup.shingles(substring_dedup._Hashes(pa.array([t for _, t in rows])))
+    runs = [kmers[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(300):
+        for y in range(x):
+            if root(x) != root(y) and near_dedup.ordered_similarity(runs[x], runs[y]) >= near_dedup.SIMILARITY:
+                parent[max(root(x), root(y))] = min(root(x), root(y))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {x: root(x) for x in range(300)}
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.least for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
