@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +96,40 @@ def sketches(offsets: np.ndarray, kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_keys(kmers: np.ndarray) -> list[int]:
+    """Keys of the k-mer sequences that a text of 4 to 11 k-mers shares with any that is similar, if one of both has 9 or fewer.
+
+    Such a pair is equal but for one k-mer more (4 to 9 against one more), two
+    more (8 against 10, 9 against 11) or one of 9 in each: the sequence itself,
+    and with each one or two k-mers left out, are all that they can share.
+    """
+    n = len(kmers)
+    left_out = [k for k, sizes in enumerate((range(4, 10), range(5, 11), range(10, 12))) if n in sizes]
+    runs = {tuple(run) for k in left_out for run in combinations(kmers.tolist(), n - k)}
+    return [int.from_bytes(hashlib.blake2b(np.array(run, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True) for run in runs]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, words, sketches) of the texts that have words; words is a digest of the word sequence. docs has id and text."""
+    """(id, words, sketches) of the texts that have words; words is a digest of the word sequence. docs has id and text.
+
+    The short_keys of texts of few k-mers stand after their sketches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 h = _Hashes(batch.column("text"))
-                found = sketches(*shingles(h))
+                offsets, kmers = shingles(h)
+                found = sketches(offsets, kmers)
+                few = np.flatnonzero((np.diff(offsets) >= 4) & (np.diff(offsets) <= 11))
+                more = {i: short_keys(kmers[offsets[i] : offsets[i + 1]]) for i in few.tolist()}
+                size = np.full(len(found), TABLES, np.int32)
+                size[list(more)] += np.array([len(k) for k in more.values()], np.int32)
+                ends = np.cumsum(size, dtype=np.int32)
+                flat = np.insert(found.ravel(), np.repeat((few + 1) * TABLES, size[few] - TABLES), [k for keys in more.values() for k in keys]) if more else found.ravel()
                 full = np.diff(h.offsets) > 0
                 digest = [hashlib.sha256(b" ".join((t or "").encode().split())).digest()[:16] for t in batch.column("text").to_pylist()]
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, TABLES, dtype=np.int32)), pa.array(found.ravel()))
+                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), rows], ["id", "words", "sketches"]).filter(pa.array(full))
 
     return docs.mapInArrow(run, "id bigint, words binary, sketches array<bigint>")

@@ -270,6 +270,35 @@ def test_variants_without_their_original_are_the_classes_of_all_pairs(spark, mon
     assert got == {x: root(x) for x in range(300)}
 
 
+def test_short_near_copies_are_candidates_whatever_their_hashes(spark):
+    """Texts of few shingles, with words more at an end; every pair that is similar shares a key."""
+    rng = random.Random(12)
+    rows = []
+    for i, (n, more) in enumerate([(8, 1), (9, 1), (10, 1), (12, 1), (13, 1), (12, 2), (13, 2)] * 12):
+        w = prose(rng, n + more).split()
+        cut = rng.randint(0, more)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[cut : cut + n]))]
+    shifted = prose(rng, 14).split()
+    rows += [(900, " ".join(shifted[:13])), (901, " ".join(shifted[1:])), (902, "a a a a a a a a"), (903, "a a a a a a a a a")]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+    keys = {}
+    for n in range(4, 12):
+        for m in range(n, 12):
+            for _ in range(60):
+                whole = [rng.randrange(1 << 40) for _ in range(m)]
+                gone = set(rng.sample(range(m), m - n))
+                a, b = [x for j, x in enumerate(whole) if j not in gone], whole
+                if n == m:
+                    b = list(whole)
+                    b.insert(rng.randrange(m), b.pop(rng.randrange(m)))
+                if near_dedup.ordered_similarity(a, b) >= near_dedup.SIMILARITY and a != b and min(len(a), len(b)) <= 9:
+                    keys[len(a), len(b)] = True
+                    assert {*near_dedup.short_keys(np.array(a, np.uint64))} & {*near_dedup.short_keys(np.array(b, np.uint64))}
+    assert {(4, 5), (8, 9), (8, 10), (9, 9), (9, 11)} <= set(keys)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.least for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
