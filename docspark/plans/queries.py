@@ -307,4 +307,11 @@ def q46_unaccented_words(spark, d):
     return t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("n_words"), F.count_distinct(unaccented(F.col("w"))).alias("n_plain"))
 
 
+def q47_glued_words_whole(spark, d):
+    """q06_glued_words over whole texts; the made-up word stands at their end."""
+    long = F.concat(F.col("lang"), F.repeat(F.lit("cuavalatrong"), (F.col("doc_id") % 9).cast("int")))
+    made = _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", long, F.lit("x")).alias("text"))
+    return made.select("doc_id", quality._glued(F.col("text")).alias("glued"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -18,3 +18,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_glued_words_after_the_200th_character(spark, tmp_path):
+    glued = "cuavalatrong" * 4
+    rows = [(0, "word " * 60 + glued + " end", "en"), (9, "word " * 60, "en"), (3, "word " * 60, "en"), (4, "word " * 60, "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda q: {r.doc_id: r.glued for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert found("q47_glued_words_whole") == {0: True, 9: False, 3: False, 4: True}
