@@ -314,4 +314,18 @@ def q47_glued_words_whole(spark, d):
     return made.select("doc_id", quality._glued(F.col("text")).alias("glued"))
 
 
+def _altered(spark, d) -> DataFrame:
+    """Whole benchmark texts and copies of them: `the` spelled otherwise, `and` two words, white space doubled, upper case."""
+    e = F.col("text")
+    return _t(spark, d, "benchmark").select("item_id", e.alias("e"), F.upper(F.replace(F.replace(F.replace(e, F.lit("the"), F.lit("thé")), F.lit("and"), F.lit("an d")), F.lit(" "), F.lit("  "))).alias("a"))
+
+
+def q48_cer_whole(spark, d):
+    return _altered(spark, d).select("item_id", scoring.char_error_rate(F.col("e"), F.col("a")).alias("cer"))
+
+
+def q49_wer_whole(spark, d):
+    return _altered(spark, d).select("item_id", scoring.word_error_rate(F.col("e"), F.col("a")).alias("wer"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -20,6 +20,26 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    texts = ["The cat and  the dog " * 12 + "sit.", "the Straße, ÉTÉ and\tthen\nand the end", "a", "and the"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cer = {r.item_id: r.cer for r in QUERIES["q48_cer_whole"](spark, str(tmp_path)).collect()}
+    wer = {r.item_id: r.wer for r in QUERIES["q49_wer_whole"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        a, b = (" ".join(x.casefold().split()) for x in (t, t.replace("the", "thé").replace("and", "an d").replace(" ", "  ").upper()))
+        assert cer[i] == pytest.approx(_distance(a, b) / len(a))
+        assert wer[i] == pytest.approx(_distance(a.split(), b.split()) / len(a.split()))
+
+
 def test_glued_words_after_the_200th_character(spark, tmp_path):
     glued = "cuavalatrong" * 4
     rows = [(0, "word " * 60 + glued + " end", "en"), (9, "word " * 60, "en"), (3, "word " * 60, "en"), (4, "word " * 60, "en")]
