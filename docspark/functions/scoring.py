@@ -13,8 +13,9 @@ NUMBER = r"(?<![\p{L}\p{N}_.])-?\d+(?:[.,]\d+)?(?:%|\b)"
 #: The first branch ends only where the text ends; strict_math has the form that doesn't.
 MATH = r"(?s)\$\$(.+?)\$$|\$(.+?)\$"
 STRICT_MATH = r"(?s)\$\$(.+?)\$\$|\$(.+?)\$"
-#: Characters that stand for distinct words in word_error_rate.
-PRIVATE = 6399
+#: Code points from the first on stand for distinct words in word_error_rate: all beyond the surrogates and byte order marks.
+FIRST_CODE = 0x10000
+CODES = 0x110000 - FIRST_CODE
 
 
 def normal(c: Column) -> Column:
@@ -34,14 +35,14 @@ def char_error_rate(expected: Column, actual: Column) -> Column:
 def word_error_rate(expected: Column, actual: Column) -> Column:
     """Edit distance of the word sequences, by the number of expected words.
 
-    Distinct words of both become one private-use character each; over PRIVATE
-    distinct words give null, for which the caller takes scoring by Python.
+    Distinct words of both become one character each. Over CODES (1,048,576)
+    distinct words raise an error: no text goes without a rate unseen.
     """
 
     def rate(both):
         a, b, known = both["a"], both["b"], F.array_distinct(F.concat(both["a"], both["b"]))
-        as_chars = lambda ws, k: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.hex(F.lit(57344) + F.array_position(k, w))), "UTF-16BE")), "")
-        return let(known, lambda k: F.when(F.size(k) <= PRIVATE, _rate(F.levenshtein(as_chars(a, k), as_chars(b, k)), F.size(a), F.size(b))))
+        as_chars = lambda ws, k: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CODE - 1) + F.array_position(k, w)), 8, "0")), "UTF-32")), "")
+        return let(known, lambda k: F.when(F.size(k) > CODES, F.raise_error(F.lit("word_error_rate: too many distinct words"))).otherwise(_rate(F.levenshtein(as_chars(a, k), as_chars(b, k)), F.size(a), F.size(b))))
 
     return let(F.struct(tokens(normal(expected)).alias("a"), tokens(normal(actual)).alias("b")), rate)
 

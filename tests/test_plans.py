@@ -46,3 +46,14 @@ def test_glued_words_after_the_200th_character(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = lambda q: {r.doc_id: r.glued for r in QUERIES[q](spark, str(tmp_path)).collect()}
     assert found("q47_glued_words_whole") == {0: True, 9: False, 3: False, 4: True}
+
+
+def test_word_error_rate_of_many_distinct_words(spark):
+    from pyspark.sql import functions as F
+
+    from docspark.functions import scoring
+
+    words = [f"w{i}" for i in range(7000)]
+    other = [*words[:100], "new", *words[101:5000], *words[5001:]]
+    row = spark.createDataFrame([(" ".join(words), " ".join(other))], "e string, a string").select(scoring.word_error_rate(F.col("e"), F.col("a")).alias("wer"), scoring.scores(F.col("e"), F.col("a"))["wer"].alias("same")).first()
+    assert row.wer == row.same == pytest.approx(2 / 7000)
