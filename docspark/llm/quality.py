@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule rejects a document whose figure exceeds a cutoff. Cutoffs come from
-labelled documents, for each stratum and rule apart: one half of them ranks the
-cutoffs of a fixed grid, the other half, the holdout, certifies them. A cutoff is
-certified if an exact binomial test rejects, at level DELTA / (strata x rules)
-(Bonferroni), that more than ALPHA of the good documents are rejected. The grid
-is tested from the loosest cutoff on and ends at the first that fails (a fixed
-sequence, which needs no further correction). A stratum with too few labels to
-certify anything has no cutoff, and so rejects nothing.
+labelled documents, for each stratum apart. One half of them chooses a cutoff of
+a fixed grid for each rule. The other half, the holdout, certifies the verdict
+of all rules together, along a path: the rules that rank best come first, each
+falls from its loosest cutoff to the chosen one, then the next is added, so that
+each step rejects what the one before it does. A step is certified if an exact binomial test rejects, at level
+DELTA / strata (Bonferroni), that more than ALPHA of the good documents are
+rejected by any rule. The path is tested from the loosest step on and ends at
+the first that fails (a fixed sequence, which needs no further correction). A
+stratum with too few labels to certify anything has no cutoff, and so rejects
+nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fresh, slices, split_words
+from docspark.llm.common import fresh, materialise, slices, split_words
 
 #: Strata: these languages, and all others together.
 STRATA = ("de", "en", "es", "fr")
@@ -152,15 +155,15 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def choose(good_fit, bad_fit, good_holdout, level: float, alpha: float = ALPHA) -> int | None:
-    """Index of the best certified cutoff; the arrays count documents by bin: bin b exceeds the cutoffs b - 1 and looser not.
+    """Index of the best certified cutoff or step; the arrays count documents by bin: bin b exceeds the cutoffs b - 1 and looser not.
 
-    A document of bin b is rejected by the cutoffs with index >= b; bin GRID is rejected by none.
+    A document of bin b is rejected by the cutoffs with index >= b; the last bin is rejected by none.
     """
-    rejected = lambda bins: np.cumsum(np.asarray(bins)[:GRID])
+    rejected = lambda bins: np.cumsum(np.asarray(bins)[:-1])
     held, n = rejected(good_holdout), int(np.sum(good_holdout))
     best, best_value = None, 0.0
     good, bad = rejected(good_fit) / max(1, np.sum(good_fit)), rejected(bad_fit) / max(1, np.sum(bad_fit))
-    for c in range(GRID):
+    for c in range(len(held)):
         if n == 0 or binomial_cdf(int(held[c]), n, alpha) > level:
             break
         value = bad[c] - COST * good[c]
@@ -169,36 +172,49 @@ def choose(good_fit, bad_fit, good_holdout, level: float, alpha: float = ALPHA)
     return best
 
 
+def target(good_fit, bad_fit) -> tuple[float, int] | None:
+    """(value, index) of the best cutoff of a rule by the documents that rank, uncertified; bins as in choose()."""
+    good, bad = (np.cumsum(np.asarray(x)[:GRID]) / max(1, np.sum(x)) for x in (good_fit, bad_fit))
+    value = bad - COST * good
+    return (float(value.max()), int(value.argmax())) if value.max() > 1e-12 else None
+
+
 def fit_cutoffs(features: DataFrame, names: dict[str, str], labels: DataFrame, ident: str = "doc_id", lang: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """{(stratum, rule): cutoff}, from all labelled documents.
 
-    Only counts by (stratum, rule, half, label, bin) come to the driver: at most
-    5 x 6 x 2 x 2 x 65, whatever the input. Labels that are null or contradict
-    each other for a document are left out.
+    Only counts come to the driver: by (stratum, rule, label, bin) of the half
+    that ranks, at most 5 x 6 x 2 x 65, and by (stratum, half, label, step) of
+    the path, at most 5 x 2 x 2 x 385, whatever the input. Labels that are null or
+    contradict each other for a document are left out.
     """
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").select(F.col("doc_id").alias("label_id"), (F.col("low") > 0).alias("good"))
     bins = lambda rule: F.lit(GRID) - F.aggregate(F.array(*(F.lit(float(c)) for c in grid(rule))), F.lit(0), lambda n, c: n + (figure(rule, names) > c).cast("int"))
     rows = features.where(~base_failed(names)).select(
         F.col(ident).alias("id"), stratum(F.col(lang)).alias("stratum"), F.array(*(F.struct(F.lit(r).alias("rule"), bins(r).alias("bin")) for r in RULES)).alias("bins")
     )
-    counts = (
-        rows.join(label, F.col("id") == F.col("label_id"))
-        .select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0).alias("holdout"), F.inline("bins"))
-        .groupBy("stratum", "rule", "good", "holdout", "bin").count()
-    )
+    held = materialise(rows.join(label, F.col("id") == F.col("label_id")).select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0).alias("holdout"), "bins"))
     seen: dict[tuple, np.ndarray] = {}
-    for r in counts.collect():
-        seen.setdefault((r.stratum, r.rule, r.good, r.holdout), np.zeros(GRID + 1, np.int64))[r.bin] += r["count"]
+    for r in held.where("not holdout").select("stratum", "good", F.inline("bins")).groupBy("stratum", "rule", "good", "bin").count().collect():
+        seen.setdefault((r.stratum, r.rule, r.good), np.zeros(GRID + 1, np.int64))[r.bin] += r["count"]
     none = np.zeros(GRID + 1, np.int64)
     strata = [*STRATA, OTHER]
-    level = delta / (len(strata) * len(RULES))
+    targets = {s: sorted((-t[0], rule, t[1]) for rule in RULES if (t := target(seen.get((s, rule, True), none), seen.get((s, rule, False), none)))) for s in strata}
+    end = GRID * len(RULES)
+    step = F.lit(end)
+    for s, chosen in targets.items():
+        for k, (_, rule, t) in enumerate(chosen):
+            b = F.col("bins")[list(RULES).index(rule)]["bin"]
+            step = F.least(step, F.when((F.col("stratum") == s) & (b <= t), k * GRID + b).otherwise(end))
+    paths: dict[tuple, np.ndarray] = {}
+    for r in held.select("stratum", "good", "holdout", step.alias("step")).groupBy("stratum", "good", "holdout", "step").count().collect():
+        paths.setdefault((r.stratum, r.good, r.holdout), np.zeros(end + 1, np.int64))[r.step] += r["count"]
+    unseen = np.zeros(end + 1, np.int64)
     out = {}
     for s in strata:
-        for rule in RULES:
-            get = lambda good, holdout: seen.get((s, rule, good, holdout), none)  # noqa: E731, B023
-            c = choose(get(True, False), get(False, False), get(True, True), level, alpha)
-            if c is not None:
-                out[s, rule] = float(grid(rule)[c])
+        get = lambda good, holdout: paths.get((s, good, holdout), unseen)  # noqa: E731, B023
+        c = choose(get(True, False), get(False, False), get(True, True), delta / len(strata), alpha)
+        if c is not None:
+            out |= {(s, rule): float(grid(rule)[min(c - k * GRID, t)]) for k, (_, rule, t) in enumerate(targets[s]) if c >= k * GRID}
     return out
 
 

@@ -489,6 +489,23 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(r.kept for r in kept if r.quality == 1) and not any(r.kept for r in kept if r.quality == 0)
 
 
+def test_false_rejection_of_all_rules_together_stays_within_alpha(spark):
+    """Four rules, each of which would reject 1 % of the good documents, others for each rule."""
+    high = {"n_symbols": 300, "n_exclaim": 250, "n_upper": 120, "n_dup_lines": 8}
+    rows = []
+    for i in range(12000):
+        good, odd = i % 6 != 0, i // 6 % 100 if i % 6 else i // 6 % 4
+        n = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 10, "n_upper": 0, "n_exclaim": 0}
+        if odd < 4:
+            n[list(high)[odd]] = high[list(high)[odd]]
+        rows.append((i, "en", int(good), *(n[f] for f in quality.FEATURES)))
+    d = common.materialise(spark.createDataFrame(rows, "doc_id bigint, lang string, quality int, " + ", ".join(f"{f} bigint" for f in quality.FEATURES)))
+    names = {f: f for f in quality.FEATURES}
+    cutoffs = quality.fit_cutoffs(d, names, d.select("doc_id", "quality"))
+    share = {r.quality: r.lost for r in d.groupBy("quality").agg(F.avg((~quality.verdict(cutoffs, names)).cast("int")).alias("lost")).collect()}
+    assert 0 < share[1] <= quality.ALPHA and share[0] >= 0.2
+
+
 # 9
 
 
