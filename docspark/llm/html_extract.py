@@ -43,6 +43,8 @@ MARKS = frozenset(
 )
 #: A header of the article itself is kept.
 OWN = frozenset("article entry post story content title page".split())
+#: Parts of a class that tell a state of the page, such as has-sidebar: it marks no container.
+STATES = frozenset("has no not with without open opened closed enabled disabled on off".split())
 #: Elements that a class never bars.
 WRAPPERS = frozenset("html body main".split())
 #: A tag scores between these, negative.
@@ -55,11 +57,11 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @lru_cache(1 << 16)
-def _marks(name: str, rest: str) -> tuple[bool, bool]:
-    """(barred, only as a header) by the attributes of a tag."""
+def _marks(name: str, rest: str) -> tuple[bool | None, bool]:
+    """(barred, only as a header) by the attributes of a tag; barred is None if only a compound class or id says so."""
     if not rest.strip() or name in WRAPPERS:
         return False, False
-    barred = header = False
+    barred, header = False, False
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
@@ -72,15 +74,20 @@ def _marks(name: str, rest: str) -> tuple[bool, bool]:
                     continue
                 if found == {"header"}:
                     header = True
-                elif found:
+                elif found and key == "role" or name_.lower() in MARKS:
                     barred = True
+                elif found and not parts & STATES and barred is False:
+                    barred = None
     return barred, header
 
 
 class _Page:
     """Units of one page: (class, amount, block, text); block is None for tags."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, free: frozenset[int] = frozenset()):
+        self.free, self.pushed, self.words = free, 0, 0
+        self.soft: dict[int, tuple[int, int]] = {}
+        self.spans: list[tuple[int, int]] = []
         self.units: list[tuple[str, int, int | None, str]] = []
         self.stack: list[tuple[str, bool]] = []
         self.barred = self.inside = self.links = self.heads = self.paras = 0
@@ -89,8 +96,19 @@ class _Page:
         self.has_article = False
         self._read(source)
 
+    def wrappers(self) -> frozenset[int]:
+        """Tags barred by a compound class or id alone, though they hold most of the page's words."""
+        while self.stack:
+            self._pop()
+        return frozenset(n for n, words in self.spans if 2 * words > self.words)
+
     def _push(self, name: str, rest: str) -> None:
         barred, header = _marks(name, rest)
+        self.pushed += 1
+        if barred is None:
+            barred = self.pushed not in self.free
+            if barred:
+                self.soft[len(self.stack)] = (self.pushed, self.words)
         barred = barred or name in BARRED or (header or name == "header") and not self.inside
         self.stack.append((name, barred))
         self.barred += barred
@@ -105,6 +123,8 @@ class _Page:
 
     def _pop(self) -> None:
         name, barred = self.stack.pop()
+        if found := self.soft.pop(len(self.stack), None):
+            self.spans.append((found[0], self.words - found[1]))
         self.barred -= barred
         self.inside -= name in ("article", "main")
         self.links -= name == "a"
@@ -139,6 +159,7 @@ class _Page:
                     break
 
     def _text(self, raw: str) -> None:
+        self.words += len(raw.split())
         if not raw or self.barred:
             return
         text = html.unescape(raw)
@@ -261,6 +282,10 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page, w = _Page(source), weights()
+    free: frozenset[int] = frozenset()
+    while more := page.wrappers():
+        free |= more
+        page = _Page(source, free)
     linked, whole = Counter(), Counter()
     for kind, n, block, _ in page.units:
         if block is not None:

@@ -111,6 +111,13 @@ def test_weights_are_signed():
     assert w["word:para"] > 0 and w["in:para"] > 0 and all(v < 0 for k, v in w.items() if k.startswith("tag:"))
 
 
+@pytest.mark.parametrize("tag", ['div id="page" class="has-sidebar"', 'div class="content-with-sidebar"', 'article class="post comments-open"', 'div class="no-ads"', 'div class="share-enabled"', 'div class="layout-sidebar-right"><div id="sidebar-page"'])
+def test_a_class_of_the_wrapper_bars_no_main_text(tag):
+    body = "".join(f"<p>{'main words of the page ' * 6}{i}.</p>" for i in range(5))
+    got = html_extract.main_text(f'<html><body><{tag}>{body}<div class="sidebar-left"><p>{"beside " * 12}</p></div></div></article></body></html>')
+    assert got.count("main words") == 30 and "beside" not in got
+
+
 def test_op1_nulls(spark, folder):
     got = {r.page_id: (r.text, r.n_chars) for r in q.op1_html_extract(spark, folder).collect()}
     assert got == {1: ("a b c d e f g h i j", 19), 2: ("", 0), 3: ("", 0), None: ("x", 1)}
