@@ -13,8 +13,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +24,11 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import fresh, slices
 
-MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile("--!?>")
+#: Rest of a tag, up to the first > that isn't quoted.
+TAG_END = re.compile(r"""(?:"[^"]*"|'[^']*'|[^"'>])*+>""")
+EDGES = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
@@ -33,14 +38,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of these names, up to the nearest of the barriers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements without main text.
-BARRED = frozenset("head script style noscript template iframe svg object nav footer aside form button select textarea menu dialog canvas audio video title datalist map frameset noframes noembed".split())
-#: Words in a class, id or role that mark such a container.
+BARRED = frozenset("head script style noscript template iframe svg object nav footer aside button select textarea menu dialog canvas audio video title datalist map frameset noframes noembed".split())
+#: Elements without main text unless they hold the page's own.
+SOFT = frozenset({"form"})
+#: Words in a class, id or role that mark such a container, unless it holds the page's own text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars side rail menu menus nav navbar navigation"
     " breadcrumb breadcrumbs footer foot header masthead topbar comment comments commentlist disqus discussion replies respond reply cookie cookies consent gdpr notice notices alert alerts notification"
     " newsletter subscribe subscription signup login signin register search share sharing social related recommended recommendations widget widgets popup modal overlay toolbar pagination pager copyright"
     " disclaimer legal teaser teasers outbrain taboola paywall complementary contentinfo dialog form feedback hidden skip".split()
 )
+#: Those of reader comments, which may be longer than the article.
+COMMENTS = frozenset("comment comments commentlist disqus discussion replies respond reply".split())
 #: A header of the article itself is kept.
 OWN = frozenset("article entry post story content title page".split())
 #: Parts of a class that tell a state of the page, such as has-sidebar: it marks no container.
@@ -56,16 +65,28 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@lru_cache(1 << 16)
-def _marks(name: str, rest: str) -> tuple[bool | None, bool]:
-    """(barred, only as a header) by the attributes of a tag; barred is None if only a compound class or id says so."""
+@lru_cache(1 << 14)
+def _short_marks(name: str, rest: str) -> tuple[str, bool]:
+    return _read_marks(name, rest)
+
+
+def _marks(name: str, rest: str) -> tuple[str, bool]:
+    """(bar, only as a header) by the attributes of a tag.
+
+    bar is "hard" for what is hidden, "comments" or "soft" for what a class, id or
+    role marks, which the page's own words may overrule, and else empty.
+    """
+    return (_short_marks if len(rest) <= 256 else _read_marks)(name, rest)
+
+
+def _read_marks(name: str, rest: str) -> tuple[str, bool]:
     if not rest.strip() or name in WRAPPERS:
-        return False, False
-    barred, header = False, False
+        return "", False
+    bar, header = "", False
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
-            return True, False
+            return "hard", False
         if key in ("class", "id", "role"):
             for name_ in value.split():
                 parts = {*SPLIT.split(CAMEL.sub("-", name_).lower())}
@@ -74,11 +95,26 @@ def _marks(name: str, rest: str) -> tuple[bool | None, bool]:
                     continue
                 if found == {"header"}:
                     header = True
-                elif found and key == "role" or name_.lower() in MARKS:
-                    barred = True
-                elif found and not parts & STATES and barred is False:
-                    barred = None
-    return barred, header
+                elif found and (key == "role" or name_.lower() in MARKS or not parts & STATES):
+                    bar = "comments" if found & COMMENTS or bar == "comments" else "soft"
+    return bar, header
+
+
+def _ends(source: str) -> tuple[list[int], list[int]]:
+    """(places, ends): for each quote and > of a page, the place after the > that ends a tag whose rest starts there; -1 if none does.
+
+    One pass from the end: a quote goes on after its partner.
+    """
+    found = [(m.start(), m[0]) for m in EDGES.finditer(source)]
+    ends, after = [-1] * (len(found) + 1), {"'": -1, '"': -1}
+    for i in range(len(found) - 1, -1, -1):
+        at, c = found[i]
+        if c == ">":
+            ends[i] = at + 1
+        else:
+            ends[i] = ends[after[c] + 1] if after[c] >= 0 else -1
+            after[c] = i
+    return [at for at, _ in found], ends
 
 
 class _Page:
@@ -86,10 +122,13 @@ class _Page:
 
     def __init__(self, source: str, free: frozenset[int] = frozenset()):
         self.free, self.pushed, self.words = free, 0, 0
-        self.soft: dict[int, tuple[int, int]] = {}
-        self.spans: list[tuple[int, int]] = []
+        self.soft: dict[int, tuple[int, int, int, str]] = {}
+        self.spans: list[tuple[int, int, int, int, str]] = []
+        self.marks: dict[str, int] = {}
         self.units: list[tuple[str, int, int | None, str]] = []
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, bool]] = []
+        #: Places in the stack of each open element, by name.
+        self.open: dict[str, list[int]] = {}
         self.barred = self.inside = self.links = self.heads = self.paras = 0
         self.block = 0
         self.outside: list[int] = []
@@ -97,66 +136,63 @@ class _Page:
         self._read(source)
 
     def wrappers(self) -> frozenset[int]:
-        """Tags barred by a compound class or id alone, though they hold most of the page's words."""
+        """Softly barred tags that hold most of the page's words and its first heading of level 1, or if it has none its first article."""
         while self.stack:
             self._pop()
-        return frozenset(n for n, words in self.spans if 2 * words > self.words)
+        head = self.marks.get("h1")
+        mark = self.marks.get("article") if head is None else head
+        return frozenset(n for n, words, first, last, bar in self.spans if 2 * words > self.words and (first < mark <= last if mark is not None and (head is not None or bar != "comments") else bar != "comments"))
 
     def _push(self, name: str, rest: str) -> None:
-        barred, header = _marks(name, rest)
+        bar, header = _marks(name, rest)
         self.pushed += 1
-        if barred is None:
-            barred = self.pushed not in self.free
-            if barred:
-                self.soft[len(self.stack)] = (self.pushed, self.words)
-        barred = barred or name in BARRED or (header or name == "header") and not self.inside
-        self.stack.append((name, barred))
+        barred = bar == "hard" or name in BARRED or (header or name == "header") and not self.inside
+        bar = bar or "soft" * (name in SOFT)
+        if bar and not barred and self.pushed not in self.free:
+            barred = True
+            self.soft[len(self.stack)] = (self.pushed, self.words, self.pushed, bar)
+        kind = "h1" if name == "h1" else "article" if name in ("article", "main") else ""
+        if kind:
+            self.marks.setdefault(kind, self.pushed)
+        self.open.setdefault(name, []).append(len(self.stack))
         self.barred += barred
-        if not self.barred:
-            self.inside += name in ("article", "main")
-            self.has_article |= name in ("article", "main")
-        elif name in ("article", "main"):
-            self.stack[-1] = (f"-{name}", barred)
+        inner = name in ("article", "main") and not self.barred
+        self.stack.append((name, barred, inner))
+        self.inside += inner
+        self.has_article |= inner
         self.links += name == "a"
         self.heads += name in HEADINGS
         self.paras += name == "p"
 
     def _pop(self) -> None:
-        name, barred = self.stack.pop()
+        name, barred, inner = self.stack.pop()
+        self.open[name].pop()
         if found := self.soft.pop(len(self.stack), None):
-            self.spans.append((found[0], self.words - found[1]))
+            self.spans.append((found[0], self.words - found[1], found[2] - 1, self.pushed, found[3]))
         self.barred -= barred
-        self.inside -= name in ("article", "main")
+        self.inside -= inner
         self.links -= name == "a"
         self.heads -= name in HEADINGS
         self.paras -= name == "p"
 
+    def _last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
     def _close(self, name: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0].lstrip("-") == name:
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        at = self._last((name,))
+        while 0 <= at < len(self.stack):
+            self._pop()
 
     def _imply(self, name: str) -> None:
         """End what a start tag ends: an open paragraph, list item or cell."""
-        if name in BLOCK and self.paras:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
-                    while len(self.stack) > i:
-                        self._pop()
-                    break
-                if self.stack[i][0] in ("table", "button", "object"):
-                    break
+        if name in BLOCK and self.paras and self._last("p") > self._last(("table", "button", "object")):
+            self._close("p")
         if name in CLOSES:
             ends, barriers = CLOSES[name]
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in barriers:
-                    break
-                if self.stack[i][0] in ends:
-                    while len(self.stack) > i:
-                        self._pop()
-                    break
+            if (at := self._last(ends)) > self._last(barriers):
+                while len(self.stack) > at:
+                    self._pop()
 
     def _text(self, raw: str) -> None:
         self.words += len(raw.split())
@@ -174,16 +210,31 @@ class _Page:
             self.units.append((f"tag:{kind}", 1, None, ""))
 
     def _read(self, source: str) -> None:
-        at, lower = 0, None
-        while m := MARKUP.search(source, at):
-            self._text(source[at : m.start()])
-            at = m.end()
-            if m[0].startswith("<![CDATA["):
+        at, lower, last, edges = 0, None, source.rfind(">"), None
+        while m := OPEN.search(source, at):
+            begin = m.start()
+            if m[5] and begin > last:
+                break  # No tag ends any more: the rest is text.
+            self._text(source[at:begin])
+            if m[1]:
+                end = COMMENT_END.search(source, begin + 2)
+                at = end.end() if end else len(source)
                 continue
-            name = (m[2] or m[5] or "").lower()
-            if not name:
+            if m[2] or m[3]:
+                end = source.find("]]>" if m[2] else ">", m.end())
+                at = len(source) if end < 0 else end + (3 if m[2] else 1)
                 continue
-            if m[1] or m[4]:
+            end = TAG_END.match(source, m.end()) if edges is None else None
+            if end:
+                at = end.end()
+            else:
+                # Quotes that don't pair: from here on the ends of tags are looked up, which one pass over the page has found.
+                edges = edges or _ends(source)
+                at = edges[1][bisect_left(edges[0], m.end())]
+                if at < 0:
+                    at = source.find(">", m.end()) + 1
+            name = m[5].lower()
+            if m[4]:
                 self._tag(name)
                 if name in BLOCK:
                     self.block += 1
@@ -192,7 +243,7 @@ class _Page:
             self._imply(name)
             if name in BLOCK:
                 self.block += 1
-            rest = m[3] or m[6] or ""
+            rest = source[m.end() : at - 1]
             if name in RAW:
                 lower = source.lower() if lower is None else lower
                 if len(lower) != len(source):  # a letter whose lower case is longer

@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -111,13 +112,62 @@ def test_weights_are_signed():
     assert w["word:para"] > 0 and w["in:para"] > 0 and all(v < 0 for k, v in w.items() if k.startswith("tag:"))
 
 
-@pytest.mark.parametrize("tag", ['div id="page" class="has-sidebar"', 'div class="content-with-sidebar"', 'article class="post comments-open"', 'div class="no-ads"', 'div class="share-enabled"', 'div class="layout-sidebar-right"><div id="sidebar-page"'])
+@pytest.mark.parametrize("tag", ['div id="page" class="has-sidebar"', 'div class="content-with-sidebar"', 'article class="post comments-open"', 'div class="no-ads"', 'div class="share-enabled"', 'div class="layout-sidebar-right"><div id="sidebar-page"',
+                                 'div class="content no-sidebar"', 'div id="wrap" class="layout-with-sidebar"', 'form id="form1"', 'div class="legal-article"', 'div class="page legal"', 'section class="widget"', 'div role="dialog"'])
 def test_a_class_of_the_wrapper_bars_no_main_text(tag):
     body = "".join(f"<p>{'main words of the page ' * 6}{i}.</p>" for i in range(5))
     got = html_extract.main_text(f'<html><body><{tag}>{body}<div class="sidebar-left"><p>{"beside " * 12}</p></div></div></article></body></html>')
     assert got.count("main words") == 30 and "beside" not in got
 
 
+def test_long_comments_stay_barred():
+    body = "".join(f"<p>{'main words of the page ' * 6}{i}.</p>" for i in range(3))
+    comments = "".join(f"<article class=reply><h4>Somebody</h4><p>{'a reader says this here ' * 9}</p></article>" for _ in range(20))
+    for wrap in ("<div><h1>Head</h1>{}</div>", "<article><h1>Head</h1>{}</article>", "<div>{}</div>"):
+        got = html_extract.main_text(f"<html><body>{wrap.format(body)}<div class='comments'>{comments}</div></body></html>")
+        assert got.count("main words") == 18 and "reader" not in got
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<a '", "</a", "<p class='", '<a "x>" ', "<a b'c>", "<!-", "<div>", "<li><ul>", "<p><table>", "<div class='sidebar'>w "])
+def test_broken_markup_of_a_megabyte_takes_linear_time(broken):
+    def seconds(n):
+        start = time.process_time()
+        html_extract.main_text(broken * (n // len(broken)))
+        return time.process_time() - start
+
+    seconds(1 << 16)
+    assert seconds(1 << 20) < 64 * seconds(1 << 16) + 2
+
+
+def test_runs_of_whole_pages_against_brute_force(monkeypatch):
+    pages = [html for html, _ in html_extract.labelled_pages()]
+    pages += [f"<body><ul><li><a>{'nav ' * k}</a></li></ul><div>{'text words ' * (3 * k)}</div><h2>x</h2><p>{'more ' * k}</p><div><a>end</a></div></body>" for k in range(12)]
+    fast = [html_extract.main_text(p) for p in pages]
+
+    def slow(scores):
+        runs = ((sum(scores[i:j]), -i, i - j, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
+        best = max(runs, default=(0, 0, 0, 0))
+        return (-best[1], best[3]) if best[0] > 0 else (0, 0)
+
+    monkeypatch.setattr(html_extract, "best_run", lambda scores: slow([round(s, 9) for s in scores]))
+    assert [html_extract.main_text(p) for p in pages] == fast
+
+
+def test_precision_and_recall_on_layouts_that_the_weights_never_saw():
+    rng, found, right, wanted = random.Random(8), 0, 0, 0
+    for k in range(60):
+        m = lambda n: " ".join(f"m{rng.randrange(10**6)}" for _ in range(n))  # noqa: E731, B023
+        o = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))  # noqa: E731, B023
+        quote, figure = f"<blockquote><p>{m(20)}</p></blockquote>", f"<figure><img src=x><figcaption>{m(6)}</figcaption></figure>"
+        body = f"<h1>{m(6)}</h1>" + "".join(f"<p>{m(rng.randint(15, 80))} <em>{m(2)}</em></p>" + rng.choice(["", quote, figure, f"<h3>{m(3)}</h3>", f"<ol><li>{m(8)}<li>{m(9)}</ol>"]) for _ in range(rng.randint(2, 9)))
+        links = "".join(f"<a href=#>{o(1)}</a> | " for _ in range(rng.randint(3, 20)))
+        wrap = ["<table><tr><td>{}</td></tr></table>", "<section class='post-body'>{}</section>", "<form action=/><div>{}</div></form>", "<div class='widget-free legal-text'>{}</div>", "<center><font>{}</font></center>", "<main class='has-banner'>{}</main>"][k % 6]
+        page = f"<html><head><title>{o(4)}</title></head><body class='no-js'><div id=top>{links}</div>{wrap.format(body)}<div class='related-posts'><p>{o(20)}</p></div><div id=cookie-banner>{o(12)}</div><div>{links}</div></body></html>"
+        got, want = Counter(html_extract.main_text(page).split()), Counter(re.findall(r"m\d+", page))
+        found, right, wanted = found + got.total(), right + (got & want).total(), wanted + want.total()
+    assert right / found > 0.97 and right / wanted > 0.97
+
+
 def test_op1_nulls(spark, folder):
     got = {r.page_id: (r.text, r.n_chars) for r in q.op1_html_extract(spark, folder).collect()}
     assert got == {1: ("a b c d e f g h i j", 19), 2: ("", 0), 3: ("", 0), None: ("x", 1)}
