@@ -37,8 +37,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_5
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return tool_calls.link(calls, results, tool_calls.REPLY)
+    calls, results, context = tool_calls.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.link(calls, results, tool_calls.REPLY, context)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

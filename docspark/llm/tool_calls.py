@@ -15,12 +15,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.llm.common import materialise
 
 #: Schema of the columns that calls and results have.
 CALLS = "conv_id bigint, call_id string, seq bigint, name string, arguments string, after array<string>"
 RESULTS = "conv_id bigint, call_id string, seq bigint, content string"
+#: Values of seq that one task ranks together.
+RANKS = 4096
 
 
 def canonical(value) -> str:
@@ -69,15 +72,31 @@ def violations(value, schema: dict, at: str = "$") -> Iterator[str]:
                 yield f"{at}.{k}:additional"
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if not math.isfinite(value):
+        raise ValueError(digits)
+    return value
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
 def check_arguments(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[list[str], object]:
-    """(errors, arguments as a value) of one call."""
+    """(errors, arguments as a value) of one call.
+
+    `$:json` stands for all that canonical JSON in UTF-8 can't hold: text that
+    doesn't parse, numbers beyond a double, lone surrogates, nesting too deep.
+    """
     if name not in schemas:
         return ["$:unknown_tool"], None
     try:
-        value = json.loads(arguments if arguments is not None else "null", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        value = json.loads(arguments if arguments is not None else "null", parse_constant=_refuse, parse_float=_finite)
+        canonical(value).encode()
+        return list(violations(value, schemas[name])), value
     except (ValueError, RecursionError):
         return ["$:json"], None
-    return list(violations(value, schemas[name])), value
 
 
 def kahn(ids: list[str], seqs: list[int], after: list[list[str]]) -> list[int | None]:
@@ -104,51 +123,90 @@ def kahn(ids: list[str], seqs: list[int], after: list[list[str]]) -> list[int |
     return place
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, call_id, call_seq, result_seq, place, status, errors, message; a row for each call and each result without one.
+def _first(rows: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(first, others): of the rows with one key the least by columns, with n, their number; all other rows, those without a key among them.
+
+    Rows are told apart by a number of their own, so that no task meets all rows of a key.
+    """
+    numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+    first = materialise(numbered.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns, "row")).alias("x")).select(*key, "n", "x.*"))
+    return first, numbered.join(first.select("row"), "row", "left_anti").drop("row")
+
 
-    Of several calls (results) of one identifier the first by seq, then content,
-    counts; copies says how many there were. status is linked, no_result,
-    no_call, or cycle; place orders a conversation's calls so that each follows
-    those in its `after` (identifiers that no call has are passed over). Where
-    all dependencies are on calls of smaller seq, seq itself is that order; only
-    conversations that break this are sorted topologically, by their identifiers
-    and dependencies alone. Rows without conv_id or call_id are linked to
-    nothing. message is canonical JSON of the call with its result. Empty tables
-    give an empty one.
+def ranked(calls: DataFrame) -> DataFrame:
+    """calls (conv_id, call_id, seq) with rank, the place from 0 by (seq, call_id) in the conversation; a null seq comes first.
+
+    Counts of RANKS neighbouring values of seq are summed first, so that a
+    conversation of any number of values is many tasks.
+    """
+    block = F.coalesce(F.floor(F.col("seq") / RANKS), F.lit(-(1 << 62)))
+    cut = calls.select("conv_id", "call_id", "seq", block.alias("block"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("conv_id", "block").count().select("conv_id", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("seq", "call_id")) - 1
+    return cut.withColumn("within", within).join(offsets, ["conv_id", "block"]).select("conv_id", "call_id", (F.col("within") + F.col("offset")).alias("rank"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], context: DataFrame | None = None) -> DataFrame:
+    """conv_id, call_id, role, call_seq, result_seq, place, copies, n_results, status, errors, message.
+
+    Every row of calls, results and context is in one row of the result. Calls
+    and results of one identifier make one row, of role call: of several calls
+    (results) the first by seq, then content, is linked, and copies (n_results)
+    says how many there were; each of the others is a row of status extra_call
+    (extra_result). The first call's status is linked, no_result, or cycle; a
+    first result without a call is a row of role result and status no_call; rows
+    without conv_id or call_id are linked to nothing (no_result, no_call); turns
+    of context (conv_id, seq, role, content) are rows of status context.
+
+    place numbers the first calls of a conversation from 0 so that each follows
+    those in its `after` (identifiers that no call has are passed over); where
+    all of these have smaller seq that is the order by seq, and only
+    conversations that break this are sorted topologically, each in a task of its
+    own, by identifiers and dependencies alone; place is null in a cycle and
+    behind one, and for all other rows. message is canonical JSON of what the row
+    holds, whatever its length. Empty tables give an empty one.
     """
     key = ["conv_id", "call_id"]
-    whole = F.struct("seq", "name", "arguments", F.array_sort(F.array_distinct(F.coalesce("after", F.array().cast("array<string>")))).alias("after"))
-    loose_c = calls.where("conv_id IS NULL OR call_id IS NULL").select(*key, F.lit(1).cast("long").alias("copies"), whole.alias("c"))
-    c = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(whole).alias("c"))
-    c = materialise(c.unionByName(loose_c).select(*key, "copies", "c.*"))
-    r_whole = F.struct("seq", "content")
-    r = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.min(r_whole).alias("r"))
-    r = r.unionByName(results.where("conv_id IS NULL OR call_id IS NULL").select(*key, r_whole.alias("r"))).select(*key, F.col("r.seq").alias("result_seq"), F.col("r.content").alias("content"))
-    needs = c.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", F.col("call_id").alias("of"), F.col("seq").alias("of_seq"), F.explode("after").alias("call_id"))
-    broken = needs.join(c.select(*key, "seq"), key).where("seq IS NULL OR of_seq IS NULL OR seq >= of_seq").select("conv_id").distinct()
+    listed = calls.select(*key, "seq", "name", "arguments", F.array_sort(F.array_distinct(F.coalesce("after", F.array().cast("array<string>")))).alias("after"))
+    c, more_calls = _first(listed, key, ["seq", "name", "arguments", "after"])
+    r, more_results = _first(results.select(*key, "seq", "content"), key, ["seq", "content"])
+    needs = c.select("conv_id", F.col("call_id").alias("of"), F.col("seq").alias("of_seq"), F.explode("after").alias("call_id"))
+    broken = materialise(needs.join(c.select(*key, "seq"), key).where("seq IS NULL OR of_seq IS NULL OR seq >= of_seq").select("conv_id").distinct())
 
     def order(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         place = kahn(rows["call_id"], [s if s is not None else -1 for s in rows["seq"]], [a or [] for a in rows["after"]])
-        return table.select(["conv_id", "call_id"]).append_column("sorted", pa.array(place, pa.int64())).append_column("odd", pa.array([True] * len(place)))
-
-    sorted_ = c.join(broken, "conv_id", "left_semi").where("call_id IS NOT NULL").select(*key, "seq", "after").groupBy("conv_id").applyInArrow(order, "conv_id bigint, call_id string, sorted bigint, odd boolean")
-    placed = c.join(sorted_, key, "left").select(c["*"], F.when(F.col("odd"), F.col("sorted")).otherwise(F.col("seq")).alias("place"), F.coalesce("odd", F.lit(False)).alias("odd"))
-    both = placed.withColumn("is_call", F.lit(True)).join(r.withColumn("is_result", F.lit(True)), key, "full_outer")
-    status = F.when(F.col("is_call").isNull(), "no_call").when(F.col("odd") & F.col("place").isNull(), "cycle").when(F.col("is_result").isNull(), "no_result").otherwise("linked")
-    rows = both.select(*key, F.col("seq").alias("call_seq"), "result_seq", "place", F.coalesce("copies", F.lit(0)).alias("copies"), status.alias("status"), "name", "arguments", "after", "content")
-    out = "conv_id bigint, call_id string, call_seq bigint, result_seq bigint, place bigint, copies bigint, status string, errors string, message string"
+        return table.select(["conv_id", "call_id"]).append_column("place", pa.array(place, pa.int64()))
+
+    sorted_ = c.join(broken, "conv_id", "left_semi").select(*key, "seq", "after").groupBy("conv_id").applyInArrow(order, "conv_id bigint, call_id string, place bigint")
+    plain = ranked(c.join(broken, "conv_id", "left_anti")).withColumnRenamed("rank", "place")
+    placed = c.join(plain.unionByName(sorted_), key)
+    one = placed.select(*key, F.lit("call").alias("role"), "seq", "place", F.col("n").alias("copies"), "name", "arguments", "after")
+    two = r.select(*key, F.col("seq").alias("result_seq"), F.col("n").alias("n_results"), "content")
+    status = F.when(F.col("role").isNull(), "no_call").when(F.col("place").isNull(), "cycle").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
+    rows = one.join(two, key, "full_outer").withColumn("status", status).withColumn("role", F.coalesce("role", F.lit("result")))
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    rows = rows.unionByName(more_calls.select(*key, F.lit("call").alias("role"), "seq", "name", "arguments", "after", F.when(known, "extra_call").otherwise("no_result").alias("status")), allowMissingColumns=True)
+    rows = rows.unionByName(more_results.select(*key, F.lit("result").alias("role"), F.col("seq").alias("result_seq"), "content", F.when(known, "extra_result").otherwise("no_call").alias("status")), allowMissingColumns=True)
+    if context is not None:
+        rows = rows.unionByName(context.select("conv_id", F.col("seq").alias("result_seq"), "role", "content", F.lit("context").alias("status")), allowMissingColumns=True)
+    copies = lambda n, role, none: F.coalesce(n, F.when((F.col("role") == role) & ~F.col("status").isin(none, "context"), 1).otherwise(0)).cast("long")
+    rows = rows.select(*key, "role", F.col("seq").alias("call_seq"), "result_seq", "place", copies("copies", "call", "extra_call").alias("copies"), copies("n_results", "result", "extra_result").alias("n_results"), "status", "name", "arguments", "after", "content")
+    kept = ["conv_id", "call_id", "role", "call_seq", "result_seq", "place", "copies", "n_results", "status"]
+    out = "conv_id bigint, call_id string, role string, call_seq bigint, result_seq bigint, place bigint, copies bigint, n_results bigint, status string, errors string, message string"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             errors, messages = [], []
             for m in batch.to_pylist():
-                bad, value = check_arguments(m["name"], m["arguments"], schemas) if m["status"] != "no_call" else ([], None)
+                called = m["role"] == "call" and m["status"] != "context"
+                bad, value = check_arguments(m["name"], m["arguments"], schemas) if called else ([], None)
                 errors.append(",".join(bad))
-                call = None if m["status"] == "no_call" else {"id": m["call_id"], "name": m["name"], "arguments": value if value is not None or not bad else m["arguments"], "after": m["after"] or []}
-                messages.append(canonical({"conversation": m["conv_id"], "call": call, "result": m["content"], "status": m["status"]}))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(errors, pa.string()), pa.array(messages, pa.string())], ["conv_id", "call_id", "call_seq", "result_seq", "place", "copies", "status", "errors", "message"])
+                call = {"id": m["call_id"], "name": m["name"], "arguments": value if value is not None or not bad else m["arguments"], "after": m["after"] or []} if called else None
+                said = {"role": m["role"], "content": m["content"]} if m["status"] == "context" else {"call": call, "result": m["content"]}
+                messages.append(canonical({"conversation": m["conv_id"], "status": m["status"], **said}))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(errors, pa.string()), pa.array(messages, pa.string())], [*kept, "errors", "message"])
 
     return rows.mapInArrow(write, out)
 
@@ -157,17 +215,29 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 4000}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
-def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, results) of plain conversations: a user's turn is a call of `reply`, the assistant's next turn its result.
+#: A turn that makes tool calls, and one that brings a result, as JSON.
+TURN = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, tool_call_id string, content string"
+
+
+def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, context) of conversations; each turn, whatever its columns beyond conv_id, turn, role and text, gives a row of one of them at least.
 
-    Each call depends on the one two turns before. Other roles make neither.
+    A turn whose text is a JSON object with tool_calls (id, name, arguments as a
+    JSON string, after) makes these calls; one with a tool_call_id brings its
+    result. Of plain conversations a user's turn is a call of `reply`, which
+    depends on the one two turns before, and the assistant's next turn its
+    result. All other turns, those of a null or another role, are context.
     """
     ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    user, other = turns.where("role = 'user'"), turns.where("role = 'assistant'")
     t = F.col("turn").cast("long")
-    text = F.col("text")
-    arguments = F.to_json(F.struct(text.alias("prompt"), t.alias("turn")))
-    known = F.col("conv_id").isNotNull() & t.isNotNull()
-    calls = user.select(F.col("conv_id").cast("long").alias("conv_id"), F.when(known, ident(t)).alias("call_id"), t.alias("seq"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(known & (t >= 2), F.array(ident(t - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = other.select(F.col("conv_id").cast("long").alias("conv_id"), F.when(known, ident(t - 1)).alias("call_id"), t.alias("seq"), text.alias("content"))
-    return calls, results
+    said = F.when(F.col("text").rlike(r'(?s)^\s*\{.*"tool_call(?:s|_id)"'), F.from_json("text", TURN))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), t.alias("seq"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), said.alias("said"))
+    known = F.col("conv_id").isNotNull() & F.col("seq").isNotNull()
+    kind = F.when(F.size("said.tool_calls") > 0, "calls").when(F.col("said.tool_call_id").isNotNull(), "result").when(F.col("role") == "user", "ask").when(F.col("role") == "assistant", "answer").otherwise("context")
+    rows = rows.withColumn("kind", kind)
+    none = F.array().cast("array<string>")
+    asked = rows.where("kind = 'ask'").select("conv_id", F.when(known, ident(F.col("seq"))).alias("call_id"), "seq", F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), F.col("seq").alias("turn"))).alias("arguments"), F.when(known & (F.col("seq") >= 2), F.array(ident(F.col("seq") - 2))).otherwise(none).alias("after"))
+    made = rows.where("kind = 'calls'").select("conv_id", "seq", F.explode("said.tool_calls").alias("c")).select("conv_id", F.col("c.id").alias("call_id"), "seq", "c.name", "c.arguments", F.coalesce("c.after", none).alias("after"))
+    answered = rows.where("kind = 'answer'").select("conv_id", F.when(known, ident(F.col("seq") - 1)).alias("call_id"), "seq", F.col("text").alias("content"))
+    brought = rows.where("kind = 'result'").select("conv_id", F.col("said.tool_call_id").alias("call_id"), "seq", F.col("said.content").alias("content"))
+    return asked.unionByName(made), answered.unionByName(brought), rows.where("kind = 'context'").select("conv_id", "seq", "role", F.col("text").alias("content"))

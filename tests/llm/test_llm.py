@@ -426,7 +426,9 @@ def test_linking(spark):
     schemas = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}, "additionalProperties": False}}
     rows = tool_calls.link(spark.createDataFrame(calls, tool_calls.CALLS), spark.createDataFrame(results, tool_calls.RESULTS), schemas).collect()
     got = {(r.conv_id, r.call_id): r for r in rows}
-    assert len(rows) == 7
+    first = [r for r in rows if not r.status.startswith("extra")]
+    got = {(r.conv_id, r.call_id): r for r in first}
+    assert sum(r.role == "call" for r in rows) == len(calls) and sum(r.result_seq is not None for r in rows) == len(results)
     assert [got[1, k].place for k in "bacd"] == [0, 1, None, None]
     assert [got[1, k].status for k in "abcdq"] == ["linked", "no_result", "cycle", "cycle", "no_call"]
     assert (got[1, "b"].errors, got[1, "d"].errors, got[2, "a"].errors, got[2, "a"].copies) == ("$.x:type,$.y:additional", "$:unknown_tool", "$:json", 2)
@@ -436,8 +438,68 @@ def test_linking(spark):
 
 def test_op6_nulls(spark, folder):
     rows = q.op6_tool_calls(spark, folder).collect()
-    got = {(r.conv_id, r.call_id): (r.status, r.copies, r.errors) for r in rows}
-    assert got == {(1, "1:0"): ("linked", 1, ""), (1, "1:2"): ("no_result", 2, "$.prompt:required"), (2, "2:0"): ("no_call", 0, ""), (None, None): ("no_result", 1, ""), (3, None): ("no_result", 1, "$.turn:required")}
+    got = Counter((r.conv_id, r.call_id, r.status, r.copies, r.n_results, r.errors) for r in rows)
+    assert got == Counter({
+        (1, "1:0", "linked", 1, 1, ""): 1, (1, "1:2", "no_result", 2, 0, "$.prompt:required"): 1, (1, "1:2", "extra_call", 0, 0, "$.prompt:required"): 1, (2, "2:0", "no_call", 0, 1, ""): 1,
+        (None, None, "no_result", 1, 0, ""): 1, (3, None, "no_result", 1, 0, "$.turn:required"): 1, (4, None, "context", 0, 0, ""): 1,
+    })
+
+
+def test_arguments_that_canonical_json_cannot_hold():
+    schemas = {"f": {"type": "object"}}
+    for text in ('{"x":1e999}', '{"x":-1e999}', '{"x":NaN}', '{"x":"\\ud800"}', "[" * 100_000, '{"x":' + "9" * 5000 + "}", "", "{", None):
+        errors, _ = tool_calls.check_arguments("f", text, schemas)
+        assert errors in (["$:json"], ["$:type"]), text
+    assert tool_calls.check_arguments("f", '{"x":"' + "y" * 300_000 + '"}', schemas)[0] == []
+
+
+def brute_link(calls, results):
+    """{(conv, call): (place, status, copies, n_results, content)} and the numbers of extra rows, by plain loops."""
+    groups = defaultdict(lambda: ([], []))
+    for c in calls:
+        groups[c[0], c[1]][0].append(c[2:])
+    for r in results:
+        groups[r[0], r[1]][1].append(r[2:])
+    out, firsts = {}, defaultdict(dict)
+    for (conv, call), (cs, _) in groups.items():
+        if cs:
+            firsts[conv][call] = min(cs, key=lambda c: (c[0], c[1], c[2], sorted(set(c[3]))))
+    place = {}
+    for conv, mine in firsts.items():
+        left, at = dict(mine), 0
+        while ready := [(c[0], k) for k, c in left.items() if not any(a in left for a in c[3])]:
+            k = min(ready)[1]
+            del left[k]
+            place[conv, k] = at
+            at += 1
+    for (conv, call), (cs, rs) in groups.items():
+        p = place.get((conv, call))
+        status = "no_call" if not cs else "cycle" if p is None else "linked" if rs else "no_result"
+        out[conv, call] = (p, status, len(cs), len(rs), min(rs)[1] if rs else None)
+    return out, sum(max(0, len(c) - 1) for c, _ in groups.values()), sum(max(0, len(r) - 1) for _, r in groups.values())
+
+
+def test_link_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "RANKS", 3)
+    rng = random.Random(4)
+    calls = [(rng.randrange(12), f"c{rng.randrange(9)}", rng.randrange(20), rng.choice("fg"), '{"x":1}', [f"c{rng.randrange(12)}" for _ in range(rng.choice([0, 0, 0, 1, 2]))]) for _ in range(120)]
+    calls += [(99, f"k{i}", i, "f", "{}", [f"k{i - 1}"] if i else []) for i in range(40)]
+    results = [(rng.randrange(12), f"c{rng.randrange(9)}", rng.randrange(20), f"r{rng.randrange(5)}") for _ in range(90)]
+    rows = tool_calls.link(spark.createDataFrame(calls, tool_calls.CALLS), spark.createDataFrame(results, tool_calls.RESULTS), {"f": {}, "g": {}}).collect()
+    want, extra_calls, extra_results = brute_link(calls, results)
+    got = {(r.conv_id, r.call_id): (r.place, r.status, r.copies, r.n_results, json.loads(r.message)["result"]) for r in rows if not r.status.startswith("extra")}
+    assert got == want
+    assert Counter(r.status for r in rows)["extra_call"] == extra_calls and Counter(r.status for r in rows)["extra_result"] == extra_results
+
+
+def test_turns_that_refer_forward_are_sorted(spark, tmp_path):
+    said = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": json.dumps({"prompt": "p", "turn": 1}), "after": a} for i, a in calls]})
+    turns = [(1, 0, "system", "be kind"), (1, 1, "assistant", said(("a", ["b"]), ("b", []))), (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": "B"})), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": "A"})), (2, 0, "user", "hi"), (2, 1, "assistant", "ho"), (2, 2, "user", "more"), (2, 3, "assistant", "yes"), (2, 4, "assistant", "and")]
+    clash = [(*t, "x", "y") for t in turns]
+    spark.createDataFrame(clash, "conv_id bigint, turn bigint, role string, text string, said string, call_id string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = q.op6_tool_calls(spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.call_id): (r.place, r.status) for r in rows if r.status != "context"} == {(1, "a"): (1, "linked"), (1, "b"): (0, "linked"), (2, "2:0"): (0, "linked"), (2, "2:2"): (1, "linked"), (2, "2:3"): (None, "no_call")}
+    assert sum((r.call_seq is not None) + (r.result_seq is not None) for r in rows) == len(turns) + 1  # turn 1 makes two calls
 
 
 def test_kahn_against_brute_force():
