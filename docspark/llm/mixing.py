@@ -5,7 +5,9 @@ time is its source's tokens up to its end, divided by the source's target. The
 queue goes round again for a source whose target exceeds its size. All sources'
 documents are merged by finish time and cut at the total budget. Prefix sums run
 in two levels, blocks of documents and sums of blocks, so that no task holds a
-whole source. DataFrame functions only.
+whole source. The global order is a range partition by time: sums of short spans
+of time tell in which span the budget ends, and only that span is sorted, to find
+the last place that the mix takes. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -47,17 +49,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return filled.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def _prefix(rows: DataFrame, keys: list[str], block: Column, order: list[Column | str], size: str, out: str) -> DataFrame:
-    """rows with out, the sum of size in order up to the row, for each value of keys."""
-    cut = rows.withColumn("block", block)
-    sums = cut.groupBy(*keys, "block").agg(F.sum(size).alias("block_size"))
-    offset = F.coalesce(F.sum("block_size").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*(F.col(k).alias(f"{k}_of") for k in keys), F.col("block").alias("block_of"), offset.alias("offset"))
-    same = cut["block"] == sums["block_of"]
-    for k in keys:
-        same = same & cut[k].eqNullSafe(sums[f"{k}_of"])
-    within = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("within", F.sum(size).over(within)).join(sums, same).withColumn(out, F.col("within") + F.col("offset")).select(*rows.columns, out)
+def _queue(rows: DataFrame, goal: DataFrame, n: int) -> DataFrame:
+    """rows (doc_id, source, size, copies, spot, load) with source_size, target and served, the load of the source in order of spot up to the row.
+
+    A block is a range of spot, a task holds whole blocks, of all sources: its
+    size doesn't depend on how the rows are dealt among sources. The load before
+    a block stands at its head as a row of its own, so nothing is joined to rows.
+    """
+    cut = rows.withColumn("block", F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)))
+    sums = cut.groupBy("source", "block").agg(F.sum("load").alias("block_load"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    g = goal.select(F.col("source").alias("source_of"), "source_size", "target")
+    heads = sums.withColumn("load", F.coalesce(F.sum("block_load").over(before), F.lit(0))).join(g, F.col("source").eqNullSafe(F.col("source_of")))
+    both = heads.select("source", "block", "load", "source_size", "target", F.lit(0).alias("rank")).unionByName(cut.withColumn("rank", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy("source", "block").orderBy("rank", "spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    summed = both.repartition("block").withColumn("served", F.sum("load").over(upto))
+    for name in ("source_size", "target"):
+        summed = summed.withColumn(name, F.first(name).over(upto))
+    return summed.where("rank = 1").select(*rows.columns, "source_size", "target", "served")
 
 
 def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -68,8 +77,9 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
     queue and are taken alike. Documents are taken whole, so a source comes
     within the size of a document of its target; a document without words is
     taken, as nothing, always (taken 0). Order in a source is by the MD5 of
-    doc_id, then doc_id and size: the same on each run. An empty table gives an
-    empty one.
+    doc_id, then doc_id and size: the same on each run. Texts of any length are
+    counted whole; other columns of docs, whatever their names, have no part. An
+    empty table gives an empty one.
     """
     rows = materialise(
         docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
@@ -79,23 +89,29 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
     )
     goal = materialise(targets(rows.groupBy("source").agg(F.sum("load").alias("source_size")), weights, share, repeats))
     n = shards_for(rows.count(), BLOCK)
-    block = F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32))
-    queue = _prefix(rows, ["source"], block, ["spot", "doc_id", "size"], "load", "served")
-    g = goal.select(F.col("source").alias("source_of"), "source_size", "target")
-    queue = queue.join(g, queue["source"].eqNullSafe(g["source_of"])).drop("source_of")
-    rounds = queue.where("load > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    timed = materialise(rounds.withColumn("finish", (F.col("served") + F.col("round") * F.col("source_size")) / F.col("target")))
-    # Times run from 0 to at least 1 where the budget ends, and loads pass evenly in time.
-    tick = F.floor(F.least(F.col("finish"), F.lit(float(repeats))) * n)
-    passed = _prefix(timed.withColumn("all", F.lit(0)), ["all"], tick, ["finish", F.col("source").asc_nulls_last(), "spot", "doc_id", "size", "round"], "load", "passed")
-    budget = goal.agg(F.sum("target").alias("budget"))
+    queue = materialise(_queue(rows, goal, n))
+
+    def place(turn: Column) -> Column:
+        """Where a row stands in the order of the whole mix, in its turn-th round."""
+        finish = (F.col("served") + turn * F.col("source_size")) / F.col("target")
+        # The span of time; the last one, which is never sorted, takes all that finishes after it begins.
+        span = F.floor(F.least(finish, F.lit(float(repeats))) * n)
+        return F.struct(span.alias("span"), finish.alias("finish"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), F.col("spot").alias("spot"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), turn.cast("int").alias("turn"))
+
+    turns = F.array(*(F.lit(r) for r in range(repeats)))
+    placed = queue.where("load > 0").select("load", F.explode(F.transform(turns, place)).alias("place"))
     # Half a word of slack: targets are doubles and may add up to just under the budget.
-    taken = passed.join(F.broadcast(budget), F.col("passed") <= F.col("budget") + 0.5).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
-    t = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "times")
-    joined = queue.join(t, queue["doc_id"].eqNullSafe(t["d"]) & queue["source"].eqNullSafe(t["s"]) & (queue["size"] == t["z"]), "left")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("size") * F.col("times"), F.lit(0)).cast("long").alias("taken")
-    )
+    budget = goal.agg((F.sum("target") + 0.5).alias("budget"))
+    spans = placed.groupBy("place.span").agg(F.sum("load").alias("span_load"))
+    spans = spans.withColumn("passed", F.sum("span_load").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = materialise(spans.join(F.broadcast(budget), F.col("passed") > F.col("budget")).agg(F.min_by(F.struct("span", (F.col("passed") - F.col("span_load")).alias("before"), "budget"), "span").alias("edge")).select("edge.*"))
+    last = placed.join(F.broadcast(edge), F.col("place.span") == F.col("span")).withColumn("passed", F.col("before") + F.sum("load").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    # One row: the span in which the budget ends, null if it doesn't, and the last place taken in it, null if none is.
+    cut = edge.agg(F.first("span").alias("span")).crossJoin(last.where("passed <= budget").agg(F.max("place").alias("last")))
+    within = lambda p: F.col("span").isNull() | (p["span"] < F.col("span")) | F.coalesce((p["span"] == F.col("span")) & (p <= F.col("last")), F.lit(False))
+    times = F.when(F.col("load") > 0, F.size(F.filter(F.transform(turns, place), within))).otherwise(0)
+    taken = queue.join(F.broadcast(materialise(cut))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), "copies")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
 
 
 def mixed(docs: DataFrame, decisions: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:

@@ -532,6 +532,20 @@ def test_op7_contract(spark, folder):
     del target
 
 
+def test_op7_in_many_blocks_against_sql(spark, sf_dir, same_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    same_rows(q.op7_mixing(spark, sf_dir), q.ORACLES["op7_mixing"], sf_dir)
+
+
+def test_no_block_of_the_queue_depends_on_the_sources(spark):
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("source"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("copies"), F.md5(F.col("id").cast("string").cast("binary")).alias("spot"), F.lit(1).cast("long").alias("load"))
+    goal = mixing.targets(rows.groupBy("source").agg(F.sum("load").alias("source_size")))
+    queue = mixing._queue(rows, goal, 40)
+    per = queue.groupBy(F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("long") * 40 / F.lit(1 << 32))).count().toPandas()["count"]
+    assert queue.count() == 20000 and per.max() < 2 * per.median()
+    assert queue.groupBy("source").agg((F.max("served") == F.count("*")).alias("whole"), (F.count_distinct("served") == F.count("*")).alias("each")).where("not (whole and each)").count() == 0
+
+
 def test_targets_against_resharing(spark):
     rng = random.Random(11)
     for _ in range(4):
