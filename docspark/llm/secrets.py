@@ -2,8 +2,9 @@
 
 Candidates are matches of the base kinds and, beyond them, of high-entropy
 tokens. Hashes of the candidate values are aggregated over the corpus by distinct
-repositories and owners. A value that many owners share is a copied example; one
-that few have looks live. DataFrame functions only.
+repositories (documents) and owners (sources). A value that many owners share, or
+that one owner has pasted into many repositories, is a copied example; one that
+few of both have looks live. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,20 +23,30 @@ TOKEN = (r"[A-Za-z0-9+/_-]+", 0, 32)
 TOKEN_BITS = 3.5
 #: A value of more owners than this is a widely copied example.
 MOST_OWNERS = 2
+#: So is a value of more repositories than this, whoever owns them.
+MOST_REPOSITORIES = 50
+#: Tasks that a value's finds are dealt to at least, so that one value may hold most of the rows.
+SALTS = 16
+#: Matches of a text whose places are added up at a time.
+FOLD = 512
 ORDER = [*KINDS, "token"]
 
 
 def matches(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches: array of (kind, start, stop, value) in code points; matches below the least length are dropped.
 
-    Text between the matches gives their places: lengths of both, summed in turn.
+    Text between the matches gives their places: lengths of both, summed in turn,
+    FOLD at a time and then over these, as an array that grows in a fold is
+    copied at each step.
     """
     pattern, group, least = (KINDS | {"token": TOKEN})[kind]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(between.alias("gap"), whole.alias("hit"), values.alias("value")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(x["value"], F.lit("")).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>").alias("out"))
+    fields = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
+    value = (lambda x: x["value"]) if group else (lambda x: x["hit"])
+    if group:
+        fields.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    lengths = F.transform(F.arrays_zip(*fields), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(value(x), F.lit("")).alias("value")))
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -43,7 +54,16 @@ def matches(text: Column, kind: str) -> Column:
         found = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(_probe(kind)), F.aggregate(lengths, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    def moved(acc, part):
+        placed = F.transform(part["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["stop"] + acc["at"]).alias("stop"), s["value"].alias("value")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.when(F.size(placed) > 0, F.concat(acc["out"], placed)).otherwise(acc["out"]).alias("out"))
+
+    def summed(items):
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / FOLD).cast("int")), lambda k: F.aggregate(F.slice(items, k * FOLD + 1, FOLD), start, step))
+        return F.aggregate(parts, start, moved, lambda acc: acc["out"])
+
+    # Bound to a name of a lambda, the array is made once.
+    return F.when(text.rlike(_probe(kind)), F.element_at(F.transform(F.array(lengths), summed), 1)).otherwise(none)
 
 
 def _probe(kind: str) -> str:
@@ -85,20 +105,25 @@ def _sorted(spans: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def scan(docs: DataFrame, text: str = "text", ident: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", ident: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """row, doc_id, base, spans, live; a row for each row of docs.
 
-    base holds the base matches, spans these and the tokens that at most
-    most_owners owners have, live the spans whose value has at most so many;
-    each is an array of (start, rank, stop, kind, value) by start, then kind. A
-    text without candidates has empty arrays; an empty table gives an empty one.
+    base holds the base matches. live holds the matches and tokens whose value at
+    most most_owners owners and most_repositories repositories have; spans holds
+    the base ones and the live tokens. Each is an array of (start, rank, stop,
+    kind, value) by start, then kind. Rows that repeat a doc_id are one
+    repository; null doc_ids, and null owners, are one. Texts are read whole,
+    whatever their length; a text without candidates has empty arrays; an empty
+    table gives an empty one.
     """
     found = candidates(docs, text, ident, owner)
-    owned = ownership(found)
-    each = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", F.explode(F.concat(F.transform("base", lambda s: F.struct(s.alias("s"), F.lit(True).alias("is_base"))), F.transform("more", lambda s: F.struct(s.alias("s"), F.lit(False).alias("is_base"))))).alias("x"))
-    each = each.select("row", "x.s", "x.is_base", F.sha2(F.col("x.s.value"), 256).alias("hash"))
-    judged = each.join(owned, "hash").withColumn("is_live", F.col("n_owners") <= most_owners)
-    spans = judged.where("is_base OR is_live").groupBy(F.col("row").alias("r")).agg(F.collect_list("s").alias("all"), F.collect_list(F.when(F.col("is_live"), F.col("s"))).alias("live"))
-    joined = found.join(spans, found["row"] == spans["r"], "left")
+    live = ownership(found).where((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
+    # A copied example may stand in a third of all rows: its finds are dealt over SALTS keys. Only live values, of few repositories each, are repeated for that.
+    live = live.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    each = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", F.explode(F.concat("base", "more")).alias("s"))
+    each = each.withColumn("hash", F.sha2(F.col("s.value"), 256)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    lived = each.join(live, ["hash", "salt"], "left_semi").groupBy(F.col("row").alias("r")).agg(F.collect_list("s").alias("live"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>")
-    return joined.select("row", "doc_id", _sorted(F.col("base")).alias("base"), _sorted(F.coalesce("all", none)).alias("spans"), _sorted(F.coalesce("live", none)).alias("live"))
+    joined = found.join(lived, found["row"] == lived["r"], "left").withColumn("live", F.coalesce("live", none))
+    spans = F.concat("base", F.filter("live", lambda s: s["kind"] == "token"))
+    return joined.select("row", "doc_id", _sorted(F.col("base")).alias("base"), _sorted(spans).alias("spans"), _sorted(F.col("live")).alias("live"))

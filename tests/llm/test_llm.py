@@ -397,6 +397,42 @@ def test_copied_examples_are_not_live(spark):
     assert got[0] == ([], 0) and got[9] == (["token"], 1) and got[20] == (["assign"], 0)
 
 
+def entropy(v):
+    return -sum(n / len(v) * np.log2(n / len(v)) for n in Counter(v).values())
+
+
+def brute_secrets(rows, owners=2, repositories=50):
+    """{doc_id: (spans as in op4, n_live)} by plain loops; rows of (doc_id, text, source)."""
+    finds, seen = defaultdict(list), defaultdict(lambda: (set(), set()))
+    for i, t, o in rows:
+        t = t or ""
+        assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+        mine = [(m.start(), 0, m.end(), "assign", m[2]) for m in assign.finditer(t) if len(m[2]) >= 6]
+        mine += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        mine += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        mine += [(m.start(), 3, m.end(), "token", m[0]) for m in re.finditer("[A-Za-z0-9+/_-]+", t) if len(m[0]) >= 32 and all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and entropy(m[0]) >= 3.5]
+        for m in mine:
+            seen[m[4]][0].add(o)
+            seen[m[4]][1].add(i)
+        finds[i] = sorted(mine)
+    live = {v for v, (a, b) in seen.items() if len(a) <= owners and len(b) <= repositories}
+    return {i: (",".join(f"{k}:{a}:{b}" for a, _, b, k, v in mine if k != "token" or v in live), sum(v in live for *_, v in mine)) for i, mine in finds.items()}
+
+
+def test_op4_spans_and_live_finds_against_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    mixed = "abcdefghijABCDEFGHIJ0123456789+/_-"
+    values = [make(rng.choice([24, 31, 32, 40, 64]), mixed) for _ in range(25)] + [make(rng.choice([23, 24, 40]), "0123456789abcdef") for _ in range(10)] + ["AKIA" + make(rng.choice([15, 16]), "ABC123") for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(["token = ", "", "api-key:", "PassWD='", "\U0001f600 "]) + rng.choice(values) + rng.choice(["", "'", " end"]) for _ in range(rng.randint(0, 4))), rng.choice(["a", "b", "c", "d", None])) for i in range(150)]
+    pasted, kept, many = make(40, mixed) + "aA0", make(40, mixed) + "bB1", " ".join(f"{k:026x}" for k in range(2000))
+    rows += [(1000 + i, f"x {pasted} y", "a") for i in range(51)] + [(2000 + i, f"x {kept} y", "a") for i in range(50)] + [(3000, many + " secret: " + kept, "e"), (3001, None, "e"), (3002, "", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.n_live) for r in q.op4_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == brute_secrets(rows)
+    assert got[1000] == ("", 0) and got[2000][1] == 0 and got[3000][0].count("hex") == 2000
+
+
 # 5
 
 
