@@ -26,20 +26,60 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder in spark.checkpoint.dir; where that is unset, a local one on a single machine, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or LOCAL_CHECKPOINTS
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read back.
 
     Cuts lineage so that later passes neither recompute df nor depend on the
-    executors that made it: a lost executor loses nothing.
+    executors that made it: a lost executor loses nothing. The table goes when
+    the application ends, or before that by discard().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docspark-tables/{uuid.uuid4().hex}"
+    folder, system = _file_system(spark, path)
+    system.deleteOnExit(folder)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._docspark_path = path
+    return table
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise() made and that nothing reads any more."""
+    for table in tables:
+        folder, system = _file_system(table.sparkSession, table._docspark_path)
+        system.delete(folder, True)
+
+
+#: Keys that join_hot() may broadcast: no more can hold over a HOT_KEYS-th of the rows each.
+HOT_KEYS = 4096
+
+
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row for each value of keys, whatever share of rows one value has.
+
+    A value that more than a HOT_KEYS-th of the rows have is joined by broadcast
+    (there are fewer than HOT_KEYS of them, so found must be narrow); all others
+    by a shuffle on the keys. `how` is inner, left or left_semi. Null keys join
+    nothing. rows is read four times: it should be a table.
+    """
+    total = rows.count()
+    hot = materialise(rows.groupBy(*keys).count().where(F.col("count") > total / HOT_KEYS).select(*keys))
+    few = materialise(found.join(F.broadcast(hot), keys, "left_semi"))
+    by_broadcast = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    by_shuffle = rows.join(F.broadcast(hot), keys, "left_anti").join(found, keys, how)
+    return by_broadcast.unionByName(by_shuffle)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

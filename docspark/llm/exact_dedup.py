@@ -1,9 +1,11 @@
 """Exact dedup with a cuckoo-filter index.
 
 Each shard of the digest space has a cuckoo filter over its live digests beside
-a table of their content. A filter hit is checked against the stored content of
-its bucket; a filter that overflows is rebuilt at twice the size from the stored
-keys. Digests can be deleted again, so an index can follow a changing corpus.
+a table of their content. Rows stream through the index of their shard: a filter
+hit is checked against the stored content of its bucket; a row that a larger
+ident supersedes is deleted from the index and the new one inserted; a filter
+that overflows is rebuilt at twice the size from the stored keys. Memory holds
+the live texts of a shard, never the copies that pass by.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fresh, shards_for, slices
+from docspark.llm.common import fresh, join_hot, materialise, shards_for, slices
 
 SLOTS = 4
 MAX_KICKS = 200
-#: Rows of the corpus to one shard.
-ROWS_PER_SHARD = 4096
+#: Bytes of the corpus to one shard, each row counted with ROW_BYTES beside its text.
+SHARD_BYTES = 24 << 20
+ROW_BYTES = 256
+#: Text among which copies are combined before the shuffle.
+LOCAL_BYTES = 16 << 20
 
 
 class CuckooFilter:
@@ -101,18 +106,19 @@ class CuckooIndex:
         return self._find(*key) is not None
 
     def add(self, digest: bytes, text: str | None, row: int, ident: int | None, n: int = 1) -> list:
-        """Insert a live text, or add n copies to it; the largest ident owns it."""
+        """Insert a live text, or add n copies to it; a row of larger ident takes the place of the live one."""
         entry = self._find(digest, text)
-        if entry is None:
-            entry = [digest, text, row, ident, n]
-            self.buckets.setdefault(int.from_bytes(digest[8:16], "big"), []).append(entry)
-            self.live += 1
-            if not self.filter.insert(digest):
-                self._resize()
-            return entry
-        entry[4] += n
-        if ident is not None and (entry[3] is None or ident > entry[3]):
-            entry[2:4] = row, ident
+        if entry is not None:
+            entry[4] += n
+            if ident is None or entry[3] is not None and ident <= entry[3]:
+                return entry
+            n = entry[4]
+            self.remove(digest, text)
+        entry = [digest, text, row, ident, n]
+        self.buckets.setdefault(int.from_bytes(digest[8:16], "big"), []).append(entry)
+        self.live += 1
+        if not self.filter.insert(digest):
+            self._resize()
         return entry
 
     def remove(self, digest: bytes, text: str | None) -> bool:
@@ -141,19 +147,22 @@ class CuckooIndex:
             capacity *= 2
 
 
-def survivors(docs: DataFrame, text: str = "text", ident: str = "doc_id", columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
+def survivors(docs: DataFrame, text: str = "text", ident: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """One row for each distinct text: the row with the largest ident.
 
     Returns the given columns of that row (default all), digest (SHA-256, binary)
     and group_size; the last two get other names if docs has such columns. Every
-    batch keeps one row for each of its texts before the shuffle, so a group of
-    copies of any size reaches its shard as one row a batch. A null text equals
-    the empty one; a null ident is below every other; of rows with the same
-    ident and text any one stays; an empty table gives an empty one.
+    LOCAL_BYTES of text keep one row for each of their texts before the shuffle,
+    so of a group of copies of any size few rows reach its shard, and there they
+    stream through the index. Shards are as many as the bytes of all texts ask
+    for. A null text equals the empty one; a null ident is below every other; of
+    rows with the same ident and text any one stays; an empty table gives an
+    empty one.
     """
     columns = docs.columns if columns is None else columns
     digest, size, shard, body = fresh(docs, "digest", "group_size", "shard", "body")
-    n_shards = shards_for(docs.count() if rows is None else rows, ROWS_PER_SHARD)
+    whole = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES)).first()[0]
+    n_shards = shards_for(whole or 0, SHARD_BYTES)
     kept = T.StructType([docs.schema[c] for c in columns])
     out = T.StructType([*kept.fields, T.StructField(digest, T.BinaryType()), T.StructField(size, T.LongType())])
     #: Content travels in a column of its own unless it is returned anyway.
@@ -165,7 +174,7 @@ def survivors(docs: DataFrame, text: str = "text", ident: str = "doc_id", column
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, 16 << 20):
+            for batch in slices(whole, text, LOCAL_BYTES):
                 best: dict[bytes, list] = {}
                 ids = batch.column(ident).to_pylist()
                 for i, t in enumerate(batch.column(text).to_pylist()):
@@ -185,34 +194,85 @@ def survivors(docs: DataFrame, text: str = "text", ident: str = "doc_id", column
                     arrays.append(take.column(text))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    def index(table: pa.Table) -> pa.Table:
-        found = CuckooIndex(table.num_rows)
-        ids, sizes = table.column(key).to_pylist(), table.column(size).to_pylist()
-        texts = table.column(text if text in columns else body).to_pylist()
-        for row, d in enumerate(table.column(digest).to_pylist()):
-            found.add(d, texts[row] or "", row, ids[row], sizes[row])
-        entries = list(found.entries())
-        take = table.take(pa.array([e[2] for e in entries], pa.int64()))
-        at = take.schema.get_field_index(size)
-        take = take.set_column(at, size, pa.array([e[4] for e in entries], pa.int64()))
-        return take.select([*columns, digest, size])
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come shard by shard; a shard's live rows leave when the next begins."""
+        at, found, held = None, CuckooIndex(), _Held([*columns, digest], size)
+        for whole in batches:
+            for batch in slices(whole, text if text in columns else body):
+                ids, sizes = batch.column(key).to_pylist(), batch.column(size).to_pylist()
+                texts, digests, marks = batch.column(text if text in columns else body).to_pylist(), batch.column(digest).to_pylist(), batch.column(shard).to_pylist()
+                first = held.add(batch)
+                for i, mark in enumerate(marks):
+                    if mark != at:
+                        yield from held.rows(found)
+                        at, found = mark, CuckooIndex()
+                        first = held.clear(batch)
+                    found.add(digests[i], texts[i] or "", first + i, ids[i], sizes[i])
+                held.compact(found)
+        yield from held.rows(found)
 
     need = list(dict.fromkeys([*columns, text, ident]))
-    return docs.select(*need).mapInArrow(local, moved).groupBy(shard).applyInArrow(index, out)
+    return docs.select(*need).mapInArrow(local, moved).repartition(shard).sortWithinPartitions(shard).mapInArrow(index, out)
+
+
+class _Held:
+    """Batches that hold the live rows of an index; a row's number counts through them."""
+
+    def __init__(self, columns: list[str], size: str):
+        self.columns, self.size = columns, size
+        self.batches: list[pa.RecordBatch] = []
+        self.end = self.bytes = self.most = 0
+
+    def add(self, batch: pa.RecordBatch) -> int:
+        """Number of the batch's first row."""
+        self.batches.append(batch)
+        self.end += batch.num_rows
+        self.bytes += batch.nbytes
+        return self.end - batch.num_rows
+
+    def clear(self, batch: pa.RecordBatch) -> int:
+        """Holds this batch alone."""
+        self.batches, self.end, self.bytes = [], 0, 0
+        first = self.add(batch)
+        self.most = 2 * self.bytes + LOCAL_BYTES
+        return first
+
+    def _taken(self, entries: list[list]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(self.batches)
+        return table.take(pa.array([e[2] for e in entries], pa.int64())).combine_chunks().to_batches()[0]
+
+    def compact(self, index: CuckooIndex) -> None:
+        """Lets go of superseded rows and copies once the batches are twice what was live before, and LOCAL_BYTES."""
+        if self.bytes <= self.most:
+            return
+        entries = list(index.entries())
+        rows = self._taken(entries)
+        self.clear(rows)
+        for i, e in enumerate(entries):
+            e[2] = i
+
+    def rows(self, index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+        """The live rows, with the sizes of their groups."""
+        entries = list(index.entries())
+        if not entries:
+            return
+        rows = self._taken(entries)
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in self.columns), pa.array([e[4] for e in entries], pa.int64())], [*self.columns, self.size])
 
 
 def memberships(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Exactly one row of a group is kept, the one with the largest ident; of rows
-    that repeat ident and text too, one.
+    that repeat ident and text too, one. Nulls, long texts and empty tables are
+    as in survivors(); other columns of docs, whatever their names, have no part.
     """
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"))
     plain = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keep = survivors(plain, columns=["doc_id"]).select(F.col("doc_id").alias("keep_id"), F.lower(F.hex("digest")).alias("text_sha256"), "group_size")
-    counted = rows.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    keep = materialise(survivors(plain, columns=["doc_id"]).select(F.col("doc_id").alias("keep_id"), F.lower(F.hex("digest")).alias("text_sha256"), "group_size"))
+    counted = materialise(rows.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
     return (
-        counted.join(keep, "text_sha256")
+        join_hot(counted, keep, ["text_sha256"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )

@@ -750,3 +750,26 @@ def test_cuckoo_filter_and_index():
     # Content decides: the same digest with another text is another entry.
     assert (keys[4000], "other") not in index
     assert index.add(keys[4000], "4000", 1, 9999)[3] == 9999 and index.live == 2500
+
+
+def test_a_text_in_most_rows_and_long_texts_stream_through_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", 1 << 16)
+    monkeypatch.setattr(exact_dedup, "LOCAL_BYTES", 1 << 12)
+    hot = "the one text " * 40
+    rows = [(i, hot if i % 3 else f"text {i % 700} " * 9) for i in range(3000)] + [(5000 + i, chr(97 + i % 2) * 300_000) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.memberships(table).collect()}
+    assert got == {(i, max(ids), len(ids), i == max(ids)) for ids in groups.values() for i in ids}
+    assert {(r.doc_id, r.text) for r in exact_dedup.survivors(table).collect()} == {(max(ids), t) for t, ids in groups.items()}
+
+
+def test_join_hot(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = common.materialise(spark.createDataFrame([(i, None if i % 10 == 0 else "hot" if i % 2 else f"k{i % 40}") for i in range(400)], "i int, k string"))
+    found = spark.createDataFrame([("hot", 1), *((f"k{i}", 2) for i in range(30))], "k string, v int")
+    for how in ("inner", "left", "left_semi"):
+        got, want = common.join_hot(rows, found, ["k"], how), rows.join(found, "k", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), how
