@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import fresh, give_back, materialise, prefilter, slices
+from docspark.llm.common import discard, fresh, give_back, join_hot, materialise, prefilter, slices
 from docspark.llm.substring_dedup import _Hashes, _mix
 
 SHINGLE = 5
@@ -300,42 +300,59 @@ def _group(kmers: list[np.ndarray], marks: list[np.ndarray], label: np.ndarray,
     return out
 
 
+def _least_of_neighbours(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with m, the least v of u; a node of any number of edges is many tasks."""
+    return join_hot(edges, edges.groupBy("u").agg(F.min("v").alias("m")), ["u"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, least) of each node of edges (a, b): the least node that it is linked to, by any number of steps.
 
     Large-star and small-star steps in turn until nothing changes; each halves
-    the depth of what is left.
+    the depth of what is left. Two sets of edges are taken for equal by their
+    number and the sums of two hashes.
     """
+    sign = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     edges = materialise(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    before = sign(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        both = materialise(edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"))))
+        m = F.least("m", "u")
+        large = materialise(_least_of_neighbours(both).where("v > u").select(F.col("v").alias("u"), m.alias("v")).where("u <> v").distinct())
+        small = _least_of_neighbours(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = materialise(small.select("v", "u"))
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        now = sign(after)
+        discard(both, large, edges)
+        if now == before:
             return after.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), "least").unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
-        edges = after
+        edges, before = after, now
 
 
 def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, class_id): a row for each distinct ident, classes of near-duplicates named by their least ident.
 
-    Equal word sequences are one class. A text without words is a class by
-    itself, and so are rows with a null ident, which have no row here; rows that
-    share an ident share its class. An empty table gives an empty one.
+    Equal word sequences are one class: only the least ident of each is compared
+    with others, and its class is joined to the rest afterwards. A text without
+    words is a class by itself, and so are rows with a null ident, which have no
+    row here; rows that share an ident share its class. Texts are compared whole,
+    whatever their length; other columns of docs have no part. An empty table
+    gives an empty one.
     """
     plain = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialise(signatures(plain))
     heads = materialise(signed.groupBy("words").agg(F.min("id").alias("r")))
-    of = materialise(signed.select("id", "words").join(heads, "words").select("id", "r").distinct())
-    members = signed.join(heads, "words").where("id = r").select("r", F.explode("sketches").alias("s")).distinct()
+    named = materialise(signed.select("id", "words").distinct())
+    of = materialise(join_hot(named, heads, ["words"]).select("id", "r"))
+    members = signed.join(heads.select(F.col("r").alias("id"), "words"), ["id", "words"]).select(F.col("id").alias("r"), F.explode("sketches").alias("s")).distinct()
     found = links(materialise(members), plain)
-    same = of.where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b"))
-    parts = components(found.unionByName(same))
+    # An ident of several texts links their heads.
+    several = of.groupBy("id").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a < z").select("id", "a")
+    found = found.unionByName(of.join(several, "id").where("r > a").select("a", F.col("r").alias("b")))
+    parts = materialise(components(found))
+    first = of.groupBy("id").agg(F.min("r").alias("node"))
+    joined = join_hot(materialise(first), parts, ["node"], "left").select(F.col("id").alias("known"), F.coalesce("least", "node").alias("class_id"))
     every = plain.select("id").distinct()
-    return every.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("least", "id").alias("class_id"))
+    return every.join(joined, F.col("id") == F.col("known"), "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def representatives(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
