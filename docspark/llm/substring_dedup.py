@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fresh, materialise, prefilter, slices, split_words
+from docspark.llm.common import discard, fresh, join_hot, materialise, prefilter, slices, split_words
 
 WINDOW = 50
 ANCHOR = 25
 TILE = 25
 _BASE = 0x9E3779B97F4A7C15
+#: Base of the check hash of windows, a hash of its own.
+_CHECK = 0xD6E8FEB86659FD93
+#: Documents that take passages from one join key, on average.
+SHARE = 256
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -53,6 +57,7 @@ class _Hashes:
         each = names[coded.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.uint64)
         self.back = _powers(pow(_BASE, -1, 1 << 64), n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers(_BASE, n)[:n], dtype=np.uint64)])
+        self.each = each
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
     def runs(self, width: int) -> np.ndarray:
@@ -61,6 +66,14 @@ class _Hashes:
             return np.zeros(0, np.uint64)
         return _mix((self.sums[width:] - self.sums[:-width]) * self.back[: self.n - width + 1])
 
+    def checks(self, width: int, places: np.ndarray) -> np.ndarray:
+        """A second hash of the runs of `width` words from these places on, 32 bits, of other word hashes and another base."""
+        if not len(places):
+            return np.zeros(0, np.int32)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.each ^ np.uint64(_CHECK)) * _powers(_CHECK, self.n)[: self.n], dtype=np.uint64)])
+        back = _powers(pow(_CHECK, -1, 1 << 64), self.n + 1)
+        return (_mix((sums[places + width] - sums[places]) * back[places]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def windows(self, width: int) -> np.ndarray:
         """Places of the windows that lie in one text."""
         if self.n < width:
@@ -102,7 +115,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(w, d, p): hash and place of the windows whose anchor is among the document's `marks`."""
+    """(w, c, d, p): hash, check hash and place of the windows whose anchor is among the document's `marks`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,43 +131,57 @@ def windows(docs: DataFrame) -> DataFrame:
                 hit = np.isin(key(doc, value), key(owner, marked))
                 places, doc = at[hit], doc[hit]
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h.runs(WINDOW)[places].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((places - h.offsets[doc]).astype(np.int32))], ["w", "d", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.runs(WINDOW)[places].view(np.int64)), pa.array(h.checks(WINDOW, places)), pa.array(ids[doc], pa.int64()), pa.array((places - h.offsets[doc]).astype(np.int32))], ["w", "c", "d", "p"])
 
-    return docs.mapInArrow(run, "w bigint, d bigint, p int")
+    return docs.mapInArrow(run, "w bigint, c int, d bigint, p int")
 
 
 def routes(docs: DataFrame) -> DataFrame:
-    """(d, m, places): for each document, the places in smaller document m of the windows that it shares with m, their owner."""
+    """(d, m, places): for each document, the places in smaller document m of the windows that it shares with m, their owner.
+
+    Windows are told apart by 96 bits. Anchors and windows of more than a
+    HOT_KEYS-th of the rows are joined by broadcast.
+    """
     found = materialise(anchors(docs))
-    known = found.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h")
-    marked = found.join(known, "h").groupBy(F.col("d").alias("id")).agg(F.collect_set("h").alias("marks"))
+    known = materialise(found.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h"))
+    marked = join_hot(found, known, ["h"], "left_semi").groupBy(F.col("d").alias("id")).agg(F.collect_set("h").alias("marks"))
     seen = materialise(windows(docs.join(marked, "id").select("id", "text", "marks")))
-    owners = seen.groupBy("w").agg(F.min("d").alias("m"), F.max("d").alias("high"), F.min_by("p", "d").alias("mp")).where("m < high").select("w", "m", "mp")
-    return seen.join(owners, "w").where("d > m").groupBy("d", "m").agg(F.collect_set("mp").alias("places"))
+    discard(found, known)
+    owners = materialise(seen.groupBy("w", "c").agg(F.min("d").alias("m"), F.max("d").alias("high"), F.min_by("p", "d").alias("mp")).where("m < high").select("w", "c", "m", "mp"))
+    routed = materialise(join_hot(seen, owners, ["w", "c"]).where("d > m").groupBy("d", "m").agg(F.array_sort(F.collect_set("mp")).alias("places")))
+    discard(seen, owners)
+    return routed
 
 
 def passages(routed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(d, found): the passages that each document shares with smaller ones, words joined by a space, with their owners."""
+    """(d, found): the passages that each document shares with smaller ones, words joined by a space, with their owners.
+
+    Ids go before texts: an owner's text meets each set of its places once,
+    however many documents share them, and only the passages cut from it go to
+    these documents, SHARE of them a join key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: tuple[list, list, list] = ([], [], [])
+                out: list[list[str]] = []
                 text, words = None, []
-                for d, m, places, t in zip(*(batch.column(c).to_pylist() for c in ("d", "m", "places", "text")), strict=True):
+                for places, t in zip(batch.column("places").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if t != text:
                         text, words = t, (t or "").encode().split()
-                    at = np.sort(np.array(places))
-                    for run_ in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                        out[0].append(d)
-                        out[1].append(m)
-                        out[2].append(b" ".join(words[run_[0] : run_[-1] + WINDOW]).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["d", "m", "passage"])
+                    at = np.array(places)
+                    out.append([b" ".join(words[r[0] : r[-1] + WINDOW]).decode() for r in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m", "key", "n")), pa.array(out, pa.list_(pa.string()))], ["m", "key", "n", "passages"])
 
+    keyed = routed.withColumn("key", F.md5(F.to_binary(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("utf-8"))))
+    sets = materialise(keyed.groupBy("m", "key").agg(F.count(F.lit(1)).alias("n"), F.first("places").alias("places")))
     # Few documents own a passage: the others' texts stay out of the shuffle.
-    owners = prefilter(docs, "id", routed, "m")
-    texts = routed.join(owners, F.col("m") == F.col("id")).select("d", "m", "places", "text")
-    return texts.mapInArrow(run, "d bigint, m bigint, passage string").groupBy("d").agg(F.collect_list(F.struct("m", "passage")).alias("found"))
+    owners = prefilter(docs, "id", sets, "m")
+    cut = sets.join(owners, F.col("m") == F.col("id")).select("m", "key", "n", "places", "text").mapInArrow(run, "m bigint, key string, n bigint, passages array<string>")
+    dealt = cut.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("n") / SHARE).cast("int"))))
+    takers = join_hot(materialise(keyed.select("d", "m", "key")), sets.select("m", "key", "n"), ["m", "key"]).withColumn("part", F.pmod(F.xxhash64("d"), (F.col("n") / SHARE).cast("int") + 1).cast("int"))
+    shared = takers.select("d", "m", "key", "part").join(dealt.select("m", "key", "part", "passages"), ["m", "key", "part"])
+    return shared.groupBy("d").agg(F.collect_list(F.struct("m", "passages")).alias("found"))
 
 
 class Automaton:
@@ -236,7 +263,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", k
     keep = docs.columns if keep is None else keep
     n_words, spans, kept, found, key = fresh(docs, "n_words", "spans", "kept", "found", "key")
     plain = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    shared = passages(materialise(routes(plain)), plain).select(F.col("d").alias(key), F.col("found").alias(found))
+    shared = passages(routes(plain), plain).select(F.col("d").alias(key), F.col("found").alias(found))
     span = pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())])
     spark_span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(n_words, T.LongType()), T.StructField(spans, spark_span), T.StructField(kept, T.StringType())])
@@ -245,7 +272,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", k
         for whole in batches:
             for batch in slices(whole, text):
                 ids, lists = batch.column(ident).to_pylist(), batch.column(found).to_pylist()
-                machine = Automaton([(x["m"], x["passage"].encode()) for xs in lists for x in xs or ()])
+                machine = Automaton([(x["m"], p.encode()) for xs in lists for x in xs or () for p in x["passages"]])
                 counts, runs, left = [], [], []
                 for i, t in enumerate(batch.column(text).to_pylist()):
                     words = (t or "").encode().split()

@@ -200,6 +200,19 @@ def test_op2_against_brute_force(spark, folder):
     assert sorted(got, key=str) == want and sum(r[2] for r in want) > 500
 
 
+def test_a_passage_in_all_documents(spark, monkeypatch):
+    """One owner, one set of places, more takers than a join key serves; and documents that quote a long one in many places."""
+    monkeypatch.setattr(substring_dedup, "SHARE", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    rng = random.Random(21)
+    passage, long = prose(rng, 60), prose(rng, 1500).split()
+    rows = [(i, f"{prose(rng, rng.randint(0, 30))} {passage} {prose(rng, rng.randint(0, 30))}") for i in range(40)]
+    rows += [(0 - 1, " ".join(long))] + [(100 + i, f"{prose(rng, 10)} {' '.join(long[40 * i : 40 * i + 120])} {prose(rng, 10)}") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substring_dedup.remove_repeats(table).select("doc_id", "n_words", F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_removed(rows)
+
+
 def test_repeats_at_every_length(spark):
     rng = random.Random(9)
     base = prose(rng, 400).split()
