@@ -5,12 +5,14 @@ labelled documents, for each stratum apart. One half of them chooses a cutoff of
 a fixed grid for each rule. The other half, the holdout, certifies the verdict
 of all rules together, along a path: the rules that rank best come first, each
 falls from its loosest cutoff to the chosen one, then the next is added, so that
-each step rejects what the one before it does. A step is certified if an exact binomial test rejects, at level
-DELTA / strata (Bonferroni), that more than ALPHA of the good documents are
-rejected by any rule. The path is tested from the loosest step on and ends at
-the first that fails (a fixed sequence, which needs no further correction). A
-stratum with too few labels to certify anything has no cutoff, and so rejects
-nothing.
+each step rejects what the one before it does. A step is certified if an exact
+binomial test rejects, at level DELTA / strata (Bonferroni), that more than ALPHA
+of the good documents are rejected by any rule. The path is tested from the
+loosest step on and ends at the first that fails (a fixed sequence, which needs
+no further correction). A stratum with too few good holdout documents to certify
+anything by itself is pooled with the others like it, and the bound holds for the
+pool; that is settled by numbers of labels alone, never by what the rules reject.
+A pool that is still too small has no cutoff, and so rejects nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fresh, materialise, slices, split_words
+from docspark.llm.common import discard, fresh, materialise, prefilter, slices, split_words
 
 #: Strata: these languages, and all others together.
 STRATA = ("de", "en", "es", "fr")
@@ -179,13 +181,25 @@ def target(good_fit, bad_fit) -> tuple[float, int] | None:
     return (float(value.max()), int(value.argmax())) if value.max() > 1e-12 else None
 
 
+def needed(alpha: float, level: float) -> int:
+    """Good documents, none of them rejected, that certify a step at this level."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def pools(holdout: dict[str, int], alpha: float, delta: float) -> list[tuple[str, ...]]:
+    """Strata that are certified together, by their numbers of good holdout documents: those too small by themselves, as one."""
+    strata = (*STRATA, OTHER)
+    small = tuple(s for s in strata if holdout.get(s, 0) < needed(alpha, delta / len(strata)))
+    return [*((s,) for s in strata if s not in small), *([small] if small else [])]
+
+
 def fit_cutoffs(features: DataFrame, names: dict[str, str], labels: DataFrame, ident: str = "doc_id", lang: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """{(stratum, rule): cutoff}, from all labelled documents.
 
-    Only counts come to the driver: by (stratum, rule, label, bin) of the half
-    that ranks, at most 5 x 6 x 2 x 65, and by (stratum, half, label, step) of
-    the path, at most 5 x 2 x 2 x 385, whatever the input. Labels that are null or
-    contradict each other for a document are left out.
+    Only counts come to the driver: by (stratum, rule, label, half, bin) of all
+    labelled documents, at most 5 x 6 x 2 x 2 x 65, and by (pool, half, label,
+    step) of the path, at most 5 x 2 x 2 x 385, whatever the input. Labels that
+    are null or contradict each other for a document are left out.
     """
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").select(F.col("doc_id").alias("label_id"), (F.col("low") > 0).alias("good"))
     bins = lambda rule: F.lit(GRID) - F.aggregate(F.array(*(F.lit(float(c)) for c in grid(rule))), F.lit(0), lambda n, c: n + (figure(rule, names) > c).cast("int"))
@@ -194,30 +208,44 @@ def fit_cutoffs(features: DataFrame, names: dict[str, str], labels: DataFrame, i
     )
     held = materialise(rows.join(label, F.col("id") == F.col("label_id")).select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0).alias("holdout"), "bins"))
     seen: dict[tuple, np.ndarray] = {}
-    for r in held.where("not holdout").select("stratum", "good", F.inline("bins")).groupBy("stratum", "rule", "good", "bin").count().collect():
-        seen.setdefault((r.stratum, r.rule, r.good), np.zeros(GRID + 1, np.int64))[r.bin] += r["count"]
+    numbers: dict[str, int] = {}
+    for r in held.select("stratum", "good", "holdout", F.inline("bins")).groupBy("stratum", "rule", "good", "holdout", "bin").count().collect():
+        if not r.holdout:
+            seen.setdefault((r.stratum, r.rule, r.good), np.zeros(GRID + 1, np.int64))[r.bin] += r["count"]
+        elif r.good and r.rule == next(iter(RULES)):
+            numbers[r.stratum] = numbers.get(r.stratum, 0) + r["count"]
     none = np.zeros(GRID + 1, np.int64)
-    strata = [*STRATA, OTHER]
-    targets = {s: sorted((-t[0], rule, t[1]) for rule in RULES if (t := target(seen.get((s, rule, True), none), seen.get((s, rule, False), none)))) for s in strata}
+    together = pools(numbers, alpha, delta)
+    total = lambda pool, rule, good: sum((seen.get((s, rule, good), none) for s in pool), none)
+    targets = {pool: sorted((-t[0], rule, t[1]) for rule in RULES if (t := target(total(pool, rule, True), total(pool, rule, False)))) for pool in together}
     end = GRID * len(RULES)
-    step = F.lit(end)
-    for s, chosen in targets.items():
-        for k, (_, rule, t) in enumerate(chosen):
+    step, name = F.lit(end), F.lit(0)
+    for i, pool in enumerate(together):
+        name = F.when(F.col("stratum").isin(*pool), i).otherwise(name)
+        for k, (_, rule, t) in enumerate(targets[pool]):
             b = F.col("bins")[list(RULES).index(rule)]["bin"]
-            step = F.least(step, F.when((F.col("stratum") == s) & (b <= t), k * GRID + b).otherwise(end))
+            step = F.least(step, F.when(F.col("stratum").isin(*pool) & (b <= t), k * GRID + b).otherwise(end))
     paths: dict[tuple, np.ndarray] = {}
-    for r in held.select("stratum", "good", "holdout", step.alias("step")).groupBy("stratum", "good", "holdout", "step").count().collect():
-        paths.setdefault((r.stratum, r.good, r.holdout), np.zeros(end + 1, np.int64))[r.step] += r["count"]
+    for r in held.select(name.alias("pool"), "good", "holdout", step.alias("step")).groupBy("pool", "good", "holdout", "step").count().collect():
+        paths.setdefault((r.pool, r.good, r.holdout), np.zeros(end + 1, np.int64))[r.step] += r["count"]
+    discard(held)
     unseen = np.zeros(end + 1, np.int64)
     out = {}
-    for s in strata:
-        get = lambda good, holdout: paths.get((s, good, holdout), unseen)  # noqa: E731, B023
-        c = choose(get(True, False), get(False, False), get(True, True), delta / len(strata), alpha)
+    for i, pool in enumerate(together):
+        get = lambda good, holdout: paths.get((i, good, holdout), unseen)  # noqa: E731, B023
+        c = choose(get(True, False), get(False, False), get(True, True), delta / len(together), alpha)
         if c is not None:
-            out |= {(s, rule): float(grid(rule)[min(c - k * GRID, t)]) for k, (_, rule, t) in enumerate(targets[s]) if c >= k * GRID}
+            out |= {(s, rule): float(grid(rule)[min(c - k * GRID, t)]) for s in pool for k, (_, rule, t) in enumerate(targets[pool]) if c >= k * GRID}
     return out
 
 
+def labelled(docs: DataFrame, labels: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """The rows of docs that have a label."""
+    (key,) = fresh(docs, "label_of")
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
+    return prefilter(docs, ident, known, key).join(known, F.col(ident) == F.col(key), "left_semi")
+
+
 def verdict(cutoffs: dict[tuple[str, str], float], names: dict[str, str], lang: str = "lang") -> Column:
     """False where a rule of the document's stratum rejects it."""
     s = stratum(F.col(lang))

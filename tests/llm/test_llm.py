@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -688,6 +690,73 @@ def test_false_rejection_of_all_rules_together_stays_within_alpha(spark):
     assert 0 < share[1] <= quality.ALPHA and share[0] >= 0.2
 
 
+def brute_kept(rows, labels):
+    """{doc_id: kept} by plain loops: every step of every pool's path, its rejections counted anew, tested with exact binomial sums."""
+    feats = {}
+    for i, t, lang, *_ in rows:
+        t = t or ""
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        three = Counter(zip(words, words[1:], words[2:]))
+        again = {j + k for j in range(len(words) - 2) if three[tuple(words[j : j + 3])] > 1 for k in range(3)}
+        n, chars = len(words), sum(map(len, words))
+        figures = {"symbols": (len(re.findall(r"[#*$%&|<>]", t)), n), "exclaim": (t.count("!"), n), "upper": (sum(c.isupper() for c in t), chars), "dup_lines": (len(lines) - len(set(lines)), len(lines)), "repeats": (len(again), n), "word_length": (chars, n)}
+        feats[i] = (n < 50 or 100 * len(again) > 50 * n, lang if lang in ("de", "en", "es", "fr") else "other", {k: a / max(b, 1) for k, (a, b) in figures.items()})
+    known = [(feats[i], q_, zlib.crc32(str(i).encode()) % 2 == 0) for i, q_ in labels if i in feats and not feats[i][0]]
+    at = lambda stratum, good, held: [f[2] for f, q_, h in known if f[1] in stratum and (q_ > 0) == good and h == held]
+    strata = ("de", "en", "es", "fr", "other")
+    small = tuple(s for s in strata if 0.98 ** len(at((s,), True, True)) > 0.05 / 5)
+    pools = [(s,) for s in strata if s not in small] + ([small] if small else [])
+    cutoffs = {}
+    for pool in pools:
+        good, bad, held = at(pool, True, False), at(pool, False, False), at(pool, True, True)
+        lost = lambda docs, cuts: sum(any(d[r] > c for r, c in cuts.items()) for d in docs)
+        value = lambda cuts: lost(bad, cuts) / max(1, len(bad)) - 10 * lost(good, cuts) / max(1, len(good))  # noqa: E731, B023
+        best = {}
+        for rule in quality.RULES:
+            worth = [value({rule: c}) for c in quality.grid(rule)]
+            if max(worth) > 1e-12:
+                best[rule] = (max(worth), worth.index(max(worth)))
+        cuts, chosen, top = {}, {}, 1e-12
+        for rule in sorted(best, key=lambda r: (-best[r][0], r)):
+            for c in quality.grid(rule)[: best[rule][1] + 1]:
+                cuts[rule] = c
+                k, n = lost(held, cuts), len(held)
+                if n == 0 or sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) > 0.05 / len(pools):
+                    break
+                if value(cuts) > top + 1e-12:
+                    chosen, top = dict(cuts), value(cuts)
+            else:
+                continue
+            break
+        cutoffs |= dict.fromkeys(pool, chosen)
+    return {i: not base and not any(figures[r] > c for r, c in cutoffs[s].items()) for i, (base, s, figures) in feats.items()}, cutoffs
+
+
+def test_op8_kept_against_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(1500):
+        lang = rng.choice(["en", "en", "en", "fr", "de", "xx", None])
+        words = prose(rng, rng.choice([40, 60, 90])).split()
+        bad = i % 6 == 0
+        if bad:
+            words = [w + rng.choice(["***", "!!!", "", "XYZ"]) for w in words] if i % 4 else words + ["#$%"] * 3
+        rows.append((i, rng.choice(["\n", " "]).join([" ".join(words[:30]), " ".join(words[30:])]), lang, "s", 0))
+        if i % 5 < 4:
+            labels.append((i, int(not bad if rng.random() > 0.01 else bad)))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*x, 0) for x in labels], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, cutoffs = brute_kept(rows, labels)
+    assert {r.doc_id: r.kept for r in q.op8_quality(spark, str(tmp_path)).collect()} == want
+    assert cutoffs["en"] and cutoffs["fr"] and cutoffs["other"] == cutoffs["fr"]
+
+
+def test_small_strata_are_pooled():
+    assert quality.needed(0.02, 0.01) == 228
+    assert quality.pools({"en": 300, "fr": 100, "de": 60}, 0.02, 0.05) == [("en",), ("de", "es", "fr", "other")]
+    assert quality.pools({s: 500 for s in (*quality.STRATA, quality.OTHER)}, 0.02, 0.05) == [("de",), ("en",), ("es",), ("fr",), ("other",)]
+
+
 # 9
 
 
