@@ -18,8 +18,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs."""
-    figures, n = quality.with_features(docs, keep=["doc_id", "lang"])
-    cutoffs = quality.fit_cutoffs(materialise(figures), n, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    figures, n = quality.with_features(quality.labelled(docs, labels), keep=["doc_id", "lang"])
+    cutoffs = quality.fit_cutoffs(figures, n, labels)
     full, n = quality.with_features(docs)
     return full.where(~quality.base_failed(n) & quality.verdict(cutoffs, n)).select(*docs.columns)
 
