@@ -7,7 +7,9 @@ training never saw shares most n-grams, and so most of its vector, with the word
 it stands for.
 
 The fit uses at most TRAIN_ROWS labelled documents of each class, those of least
-hash; scoring covers every document.
+hash, with at most TRAIN_BYTES of text in all. Bags are made, and buckets counted,
+where the texts are; the driver gets counts of buckets and the parts of the bags
+that are trained. Scoring covers every document.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from docspark.llm.common import fresh, slices, split_words
+from docspark.llm.common import discard, fresh, materialise, slices, split_words
 
 #: Most labelled documents of each class in the fit.
 TRAIN_ROWS = 2000
+#: Most bytes of text of each class in the fit; texts of over a 16th of that don't count towards the fit.
+TRAIN_BYTES = 32 << 20
 BUCKETS = 1 << 17
 WIDTHS = (3, 4, 5)
 DIMENSIONS = 8
@@ -36,8 +41,6 @@ RATE = 4.0
 #: these that is toxic differs from that of all by so many standard errors.
 LEAST_DOCS = 6
 LEAST_Z = 3.0
-#: Documents whose bags are held at once.
-CHUNK = 128
 SEED = 20240601
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +58,7 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(codes), np.uint64)
     for n in range(1, max(WIDTHS) + 1):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[: len(codes) - n + 1] = codes[n - 1 :]
+        shifted[: max(0, len(codes) - n + 1)] = codes[n - 1 :]
         h = (h ^ shifted) * _STEP
         h ^= h >> np.uint64(29)
         if n in WIDTHS:
@@ -117,29 +120,23 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
-    """Vectors and softmax, trained jointly by Adagrad; prior is the rate of toxic documents, to which the bias is set."""
+def trained(having: np.ndarray, with_label: np.ndarray, share: float) -> np.ndarray:
+    """Which buckets are trained, by the documents and the toxic documents that have each; share is that of toxic documents."""
+    z = (with_label - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share))
+    return (having >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+
+
+def train(bags: tuple[np.ndarray, np.ndarray, np.ndarray], often: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
+    """Vectors and softmax, trained jointly by Adagrad, of the bags (document, bucket, weight; by document) of the buckets that `often` marks.
+
+    prior is the rate of toxic documents, to which the bias is set.
+    """
     n, labels = len(toxic), toxic.astype(np.int64)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     even = float(np.log(prior / (1 - prior)))
     if n == 0 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), even)
-    # Twice over the documents, a chunk at a time: bags of all buckets at once don't fit a driver.
-    chunks = [(at, texts.slice(at, CHUNK)) for at in range(0, n, CHUNK)]
-    having, with_label = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for at, part in chunks:
-        doc, bucket, _ = _bags(part)
-        having += np.bincount(bucket, minlength=BUCKETS)
-        with_label += np.bincount(bucket, weights=labels[doc + at], minlength=BUCKETS)
-    share = labels.mean()
-    z = (with_label - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share))
-    often = (having >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    kept = []
-    for at, part in chunks:
-        doc, bucket, weight = _bags(part)
-        keep = often[bucket]
-        kept.append((doc[keep] + at, bucket[keep], weight[keep]))
-    doc, bucket, weight = (np.concatenate(x) for x in zip(*kept, strict=True))
+    doc, bucket, weight = bags
     start = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
     rng = np.random.default_rng(SEED)
     vectors = np.zeros((BUCKETS, DIMENSIONS))
@@ -181,21 +178,64 @@ def held_out(ident: Column) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
-    """A model of the labels outside the held-out fold. Null ids and labels are left out; an id with several labels takes the largest."""
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, float]:
+    """((id, toxic, text) of the fit, by no other columns; the rate of toxic documents among all that it might use)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if not count:
-        return Model(np.zeros(BUCKETS), float(np.log(1e-4)))
     drawn = [known.where(F.col("toxic") == side).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most) for side in (False, True)]
-    sample = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("label_id"), "toxic")
-    # At most 2 * most rows of two columns: a proven bound.
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("id", "text", "toxic").toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
-    ids = rows.column("id").to_numpy()
-    first = pa.array(np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool))
-    rows = rows.filter(first)
-    return train(rows.column("text"), rows.column("toxic").to_numpy(), count.get(True, 0) / sum(count.values()))
+    ids = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("label_id"), "toxic", "place")
+    # At most 2 * most rows of three columns: a proven bound.
+    rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))
+    size = F.octet_length("text").cast("long")
+    rows = rows.where(size <= most_bytes // 16).groupBy("id", "toxic", "place").agg(F.min("text").alias("text"))
+    before = F.sum(size).over(Window.partitionBy("toxic").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", before).where(F.col("so_far") <= most_bytes).select("id", "toxic", "text"), count.get(True, 0) / max(1, sum(count.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of the labels outside the held-out fold.
+
+    Null ids and labels are left out; an id with several labels takes the
+    largest, one with several texts the least. The driver gets a row for each
+    document of the sample (its id and label), one for each bucket, and the
+    trained parts of the bags; never a text.
+    """
+    rows, prior = sample(docs, labels, text, ident, most, most_bytes)
+    rows = materialise(rows)
+    every = rows.select("id", "toxic").toArrow().sort_by("id")
+    ids, toxic = every.column("id").to_numpy(), every.column("toxic").to_numpy()
+    if not len(ids):
+        return Model(np.zeros(BUCKETS), float(np.log(1e-4)) if not prior else float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having, with_label = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                doc, bucket, _ = _bags(batch.column("text"))
+                marks = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                having += np.bincount(bucket, minlength=BUCKETS)
+                with_label += np.bincount(bucket[marks[doc] > 0], minlength=BUCKETS)
+        seen = np.flatnonzero(having)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(having[seen]), pa.array(with_label[seen])], ["bucket", "n", "n_toxic"])
+
+    counts = rows.mapInArrow(counted, "bucket bigint, n bigint, n_toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).toArrow()
+    having, with_label = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    having[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    with_label[counts.column("bucket").to_numpy()] = counts.column("n_toxic").to_numpy()
+    share = toxic.mean()
+    often = trained(having, with_label, share) if 0 < share < 1 else np.zeros(BUCKETS, bool)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                doc, bucket, weight = _bags(batch.column("text"))
+                keep = often[bucket]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc[keep])), pa.array(bucket[keep].astype(np.int32)), pa.array(weight[keep])], ["id", "bucket", "weight"])
+
+    bags = rows.mapInArrow(kept, "id bigint, bucket int, weight double").toArrow().sort_by([("id", "ascending"), ("bucket", "ascending")])
+    discard(rows)
+    doc = np.searchsorted(ids, bags.column("id").to_numpy())
+    return train((doc, bags.column("bucket").to_numpy().astype(np.int64), bags.column("weight").to_numpy()), often, toxic, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -782,6 +782,46 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert np.array_equal(again.value, model.value)
 
 
+def brute_bag(text):
+    """{bucket: weight}: each word's n-grams and itself share its weight alike, each occurrence of a word counts once."""
+    words, bag = WORD.findall(text or ""), defaultdict(float)
+    for w in words:
+        hashes = [int(h) for h in toxicity.subwords(pa.array([w]))[1]]
+        marked = f"<{w.lower()}>"
+        assert len(hashes) == 1 + sum(max(0, len(marked) - n + 1) for n in toxicity.WIDTHS)
+        for h in hashes:
+            bag[h] += 1 / len(hashes) / len(words)
+    return bag
+
+
+def test_bags_and_scores_against_brute_force(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, rng.choice([0, 1, 5, 40])) for _ in range(20)] + [None, "É é É", "same same same", "x" * 5000]
+    doc, bucket, weight = toxicity._bags(pa.array(texts, pa.string()))
+    got = defaultdict(dict)
+    for d, b, w in zip(doc.tolist(), bucket.tolist(), weight.tolist(), strict=True):
+        got[d][b] = w
+    for i, t in enumerate(texts):
+        want = brute_bag(t)
+        assert got[i].keys() == want.keys() and all(got[i][b] == pytest.approx(want[b]) for b in want)
+    model = toxicity.Model(np.random.default_rng(5).normal(0, 3, toxicity.BUCKETS), -0.5)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "doc_id bigint, text string")
+    for r in toxicity.score(table, model).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(0.5 - sum(w * model.value[b] for b, w in brute_bag(r.text).items()))))
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    d = spark.createDataFrame([(i, "word " * (1 + i % 7)) for i in range(400)] + [(400, "long " * 1000), (3, "another text of an id")], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(401)], "doc_id bigint, toxic int")
+    rows, prior = toxicity.sample(d, lab, most=60, most_bytes=600)
+    rows = rows.collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.toxic] += len(r.text)
+    assert 0 < len(rows) <= 120 and max(sizes.values()) <= 600 and min(sizes.values()) > 500 and 0.4 < prior < 0.6
+    assert all(r.id != 400 and zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
 def test_held_out_labels_are_never_read(spark, folder):
     d = spark.read.parquet(f"{folder}/documents.parquet")
     lab = spark.read.parquet(f"{folder}/labels.parquet")
