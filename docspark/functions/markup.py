@@ -54,6 +54,11 @@ def image_targets(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(LINK_TARGET), F.lit(1)), strip)
 
 
+def link_targets(c: Column) -> Column:
+    """Targets of images and of all other links, with forward slashes and no leading ./."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\]\(([^)]+)\)"), F.lit(1)), lambda t: F.regexp_replace(F.translate(strip(t), "\\", "/"), r"^(?:\./)+", ""))
+
+
 def unescape_image_links(c: Column) -> Column:
     r"""`![a]\(p\_x.png)` as `![a](p_x.png)`, and lines of one image not indented as code."""
     escaped = r"!\[[^\]\n]*\]\\\([^)\n]*\)"
@@ -74,10 +79,33 @@ def drop_signatures(c: Column) -> Column:
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
+#: A page marker with the white space about it, as one part of a text.
+_PAGE_CUT = r"(?<!\s)\s*+<!--\s*+(?i:page)\s++\d++\s*+-->\s*+"
+
+
 def stitch_pages(c: Column) -> Column:
-    """A sentence that a page marker cuts, on one line with the marker; a hyphen before the cut goes."""
-    cut = r"([^\n.!?:;#\->`|*$\s](?:[^\n.!?:;#`|*$]*[^\n.!?:;#`|*$\s-])?)-?[^\S\n]*\n{1,3}\s*(<!--\s*(?i:page)\s+\d+\s*-->)\n{1,3}\s*(\p{Ll}[^\n]*)"
-    return F.regexp_replace(c, cut, "$1 $2 $3")
+    """A sentence that a page marker cuts, on one line with the marker; a hyphen before the cut goes.
+
+    The text is split at its markers; whether two parts join is seen from the end
+    of the last line of one, after its last sentence's end, and from the start of
+    the other: linear in the text.
+    """
+    cuts = F.regexp_extract_all(c, F.lit(_PAGE_CUT), F.lit(0))
+    return F.when(c.rlike(r"(?i)<!--\s*+page"), let(F.struct(F.split(c, _PAGE_CUT, -1).alias("parts"), cuts.alias("cuts")), _stitched)).otherwise(c)
+
+
+def _stitched(x: Column) -> Column:
+    def joins(i: Column) -> Column:
+        cut = F.get(x["cuts"], i)
+        tail = F.regexp_replace(F.substring_index(F.get(x["parts"], i), "\n", -1), r"^.*[.!?:;#`|*$]", "")
+        return cut.rlike(r"^[^\S\n]*\n") & cut.rlike(r"-->\n") & tail.rlike(r"[^\s>-]") & F.get(x["parts"], i + 1).rlike(r"^\p{Ll}")
+
+    def piece(part: Column, i: Column) -> Column:
+        cut = F.get(x["cuts"], i)
+        joined = F.concat(F.regexp_replace(part, "-$", ""), F.lit(" "), strip(cut), F.lit(" "))
+        return F.when(cut.isNull(), part).when(F.coalesce(joins(i), F.lit(False)), joined).otherwise(F.concat(part, cut))
+
+    return F.array_join(F.transform(x["parts"], piece), "")
 
 
 def _prose(x: Column) -> Column:
@@ -118,13 +146,17 @@ def is_blank_response(c: Column) -> Column:
     return _ladder(body) | let(casefold(squeeze(F.translate(body, "*_`#>", "     "))), _says_nothing)
 
 
+#: Replies that say nothing (fixed values).
+NO_CONTENT = ("empty response", "no response", "no content")
+
+
 def _says_nothing(plain: Column) -> Column:
     status = F.regexp_replace(plain, r"^[()\[\]{} .:-]+|[()\[\]{} .:-]+$", "")
     n = F.size(tokens(plain))
     blank, talk = plain.rlike(BLANK_SIGNS), plain.rlike(ASSISTANT_SIGNS)
     short = (F.length(plain) <= 1200) & (n <= 120)
     long = (F.length(plain) <= 5000) & (n <= 500) & plain.rlike(EMPTY_CONCLUSION)
-    return (plain == "") | status.isin("empty response", "no response", "no content") | (blank & talk & (short | long))
+    return (plain == "") | status.isin(*NO_CONTENT) | (blank & talk & (short | long))
 
 
 def html_rows(rows: Column) -> Column:

@@ -11,16 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions.markup import BLOCK_START
+from docspark.functions.patterns import GENERIC_FOOTER, PAGE_FOOTER, PAGE_MARKER, PAGE_NUMBER, SHORT_NUMBER, java
 from docspark.functions.text import lines, strip
 
-#: Patterns of footers and page numbers (fixed values).
-#: Footers that go wherever they stand; names of a publication can be added.
-PAGE_FOOTER = r"(?iu)^\s*(?:trang\s+)?\d+\s*/\s*\d+\s*(?:[-–—|]\s*mã\s+đề(?:\s+thi)?\s+[\p{L}\p{N}_]+)?\s*$"
-#: Footers that go near the end of a page.
-GENERIC_FOOTER = r"(?iu)^\s*(?:#\s*(?=(?:\D*\d){6})[\p{L}\p{N}_-]+|(?:isbn|issn)\s*[:#]?\s*[\dXx-]{8,}|(?:mã|số)\s+(?:xuất bản|đăng ký xuất bản|giấy phép)\s*[:#-]?\s*[\p{L}\p{N}_./-]+|(?:trang|page)\s+\d{1,4}(?:\s*/\s*\d{1,4})?)\s*$"
-PAGE_NUMBER = r"^\s*(?:[-–—~*•\s]+\d{1,4}[-–—~*•\s]+|\[\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*\]|(?:\*\*)?[-–—]?\s*\d{1,4}\s*[-–—]?(?:\*\*)?)\s*$"
-PAGE_MARKER = r"(?i)^\s*<!--\s*Page\s+\d+\s*-->\s*$"
-SHORT_NUMBER = r"^\s*(?:\*\*)?\d{1,3}(?:\*\*)?\s*$"
 #: Sentence ends after which a paragraph isn't continued.
 ENDS = r"[.!?:;。！？]$"
 
@@ -96,7 +89,7 @@ def page_artifacts(rows: DataFrame, keys: list[str], footers: str | None = None)
     filled = lambda n: F.lead(F.when(F.col("shown") == 1, F.col("line")), n).over(w)
     following = F.coalesce(filled(1), filled(2))
     number = F.col("line").rlike(SHORT_NUMBER) & (F.coalesce(following.rlike(footers), F.lit(False)) if footers else F.lit(False))
-    hit = F.col("line").rlike(PAGE_FOOTER) | mine | (F.col("line").rlike(GENERIC_FOOTER) & near_end) | (F.col("line").rlike(PAGE_NUMBER) & (near_end | near_start)) | number
+    hit = F.col("line").rlike(java(PAGE_FOOTER)) | mine | (F.col("line").rlike(java(GENERIC_FOOTER)) & near_end) | (F.col("line").rlike(PAGE_NUMBER) & (near_end | near_start)) | number
     return r.withColumn("artifact", hit & (F.col("marker") == 0)).drop("shown", "marker", "page")
 
 

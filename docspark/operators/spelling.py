@@ -99,8 +99,33 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+def dictionary(lexicon: tuple[DataFrame, DataFrame, DataFrame], most: int) -> tuple[dict[str, list[str]], set[tuple[str, str]]]:
+    """(options of each word, pairs) of a lexicon, as correct() takes them; an error if it has more than `most` words or pairs.
+
+    A lexicon is of a language and doesn't grow with the texts, but that is checked.
+    """
+    words, accents, bigrams = lexicon
+    rows = [f.limit(most + 1).collect() for f in (words, accents, bigrams)]
+    if max(map(len, rows)) > most:
+        raise ValueError(f"a lexicon of over {most} entries doesn't go to every task")
+    options = {r.plain: list(r.forms) for r in rows[1]} | {r.w: [r.w] for r in rows[0]}
+    return options, {(r.left, r.right) for r in rows[2]}
+
+
+def corrected(docs: DataFrame, lexicon: tuple[DataFrame, DataFrame, DataFrame], text: str = "text", most: int = 1_000_000) -> DataFrame:
+    """docs with corrected, the text with the words that exactly one pair of the lexicon fits, and n_corrected; a null text stays null."""
+    options, pairs = dictionary(lexicon, most)
+
+    @F.pandas_udf("corrected string, n_corrected long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        done = [correct(t, options, pairs) for t in texts]
+        return pd.DataFrame({"corrected": [t for t, _ in done], "n_corrected": [n for _, n in done]})
+
+    return docs.withColumn("spelt", run(F.col(text))).select(*docs.columns, "spelt.corrected", "spelt.n_corrected")
+
+
 def correct(text: str | None, options: dict[str, list[str]], bigrams: set[tuple[str, str]]) -> tuple[str | None, int]:
-    """(text, changed words) of one text, by dictionaries: for callers outside Spark and for tests."""
+    """(text, changed words) of one text, by dictionaries."""
     if not text:
         return text, 0
     blocked = [m.span() for p in (MASK, PIPE_LINE) for m in re.finditer(p, text)]

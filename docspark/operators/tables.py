@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import html
-import re
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docspark.functions import htmltables
 from docspark.functions.markup import html_rows, is_separator, split_row
 from docspark.functions.text import strip
 from docspark.operators.lines import _upto
@@ -81,145 +78,16 @@ def merge_fragments(fragments: DataFrame, keys: list[str], order: str) -> DataFr
     return r.groupBy(*keys, "table").agg(F.min(order).alias("first"), F.min_by("header", order).alias("header"), F.flatten(F.transform(parts, lambda x: x["rows"])).alias("rows")).drop("table")
 
 
-class _Cells(HTMLParser):
-    """Rows of (colspan, rowspan, header, text) of one table; 0 for a span that is no number."""
-
-    def __init__(self, source: str):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list[list]] = []
-        self.open = False
-        self.feed(source)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append([])
-            self.open = False
-        elif tag in ("td", "th") and self.rows:
-            spans = []
-            for name in ("colspan", "rowspan"):
-                value = dict(attrs).get(name, "1")
-                spans.append(max(1, int(value)) if re.fullmatch(r"\s*[+-]?\d+\s*", value or "") else 0)
-            self.rows[-1].append([*(spans if all(spans) else (0, 0)), tag == "th", ""])
-            self.open = True
-        elif tag == "br" and self.open:
-            self.rows[-1][-1][3] += "<br>"
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th", "tr"):
-            self.open = False
-
-    def handle_data(self, data):
-        if self.open:
-            self.rows[-1][-1][3] += data
-
-
-_TABLE = re.compile(r"<table\b.*?</table>", re.I | re.S)
-_OPEN = re.compile(r"<table\b", re.I)
-
-
-def structure_errors(text: str | None) -> list[str]:
-    """Span and width errors of the tables of a text that hold no other table, each code once."""
-    found: dict[str, None] = {}
-    for source in _TABLE.findall(text or ""):
-        if len(_OPEN.findall(source)) > 1:
-            continue
-        carried: dict[int, int] = {}  # column -> rows that it is still taken for
-        widths = set()
-        for row in _Cells(source).rows:
-            taken, at, below = set(carried), 0, dict(carried)
-            for cols, rows, *_ in row:
-                if not cols:
-                    found["malformed_html_table:invalid_span"] = None
-                    continue
-                while at in taken:
-                    at += 1
-                for column in range(at, at + cols):
-                    if column in taken:
-                        found["malformed_html_table:overlapping_span"] = None
-                    if rows > 1:
-                        below[column] = max(below.get(column, 0), rows)
-                at += cols
-            if width := max([at, *(c + 1 for c in taken)]):
-                widths.add(width)
-            carried = {c: n - 1 for c, n in below.items() if n > 1}
-        if len(widths) > 1:
-            found["malformed_html_table:inconsistent_logical_columns"] = None
-    return list(found)
-
-
-def _pipe(cells: list[str]) -> str:
-    return "| " + " | ".join(cells) + " |"
-
-
-def simple_to_pipes(text: str | None) -> str | None:
-    """Plain HTML tables as pipe tables.
-
-    A table stays HTML if it holds another, spans cells, has fewer than two rows
-    or columns, or a header that isn't the widest row. Short rows are padded, and
-    rows that repeat the header go.
-    """
-
-    def change(m: re.Match) -> str:
-        if len(_OPEN.findall(m[0])) > 1:
-            return m[0]
-        rows = [r for r in _Cells(m[0]).rows if r]
-        if len(rows) < 2 or any(c[:2] != [1, 1] for r in rows for c in r):
-            return m[0]
-        cells = [[" ".join(c[3].split()).replace("|", "\\|") for c in r] for r in rows]
-        width = len(cells[0])
-        if width < 2 or any(len(r) > width for r in cells):
-            return m[0]
-        body = [r + [""] * (width - len(r)) for r in cells[1:] if r != cells[0]]
-        return "\n".join([_pipe(cells[0]), _pipe(["---"] * width), *map(_pipe, body)])
-
-    return None if text is None else _TABLE.sub(change, text)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def html_structure(texts: pd.Series) -> pd.Series:
-    return texts.map(structure_errors)
+    return texts.map(htmltables.structure_errors)
 
 
 @F.pandas_udf(T.StringType())
 def html_to_pipes(texts: pd.Series) -> pd.Series:
-    return texts.map(simple_to_pipes)
-
-
-_SHELL = re.compile(r"<!doctype\s+html[^>]*>|</?(?:html|head|body)\b[^>]*>|<meta\b[^>]*>", re.I)
-_BRIDGE = re.compile(r"<!--.*?-->|!\[[^\]]*\]\([^)]+\)|^[^\S\n]*(?:hình|ảnh|figure|nguồn\s*:)[^\n]*$", re.I | re.S | re.M)
-
-
-def join_html_tables(text: str | None) -> str | None:
-    """HTML tables that only comments, images or captions part, as one; what was between follows it. Document shells go."""
-    if text is None or "<" not in text:
-        return text
-    parts, last = [], 0
-    source = _SHELL.sub("", text)
-    for m in re.finditer(r"<table\b[^>]*>.*?</table>", source, re.I | re.S):
-        parts += [("gap", source[last : m.start()]), ("table", m[0])]
-        last = m.end()
-    out, bridge = [], ""
-    for kind, part in [*parts, ("gap", source[last:])]:
-        if kind == "table" and out and out[-1][0] == "table":
-            opened = re.sub(r"(?i)</table>\s*\Z", "", out[-1][1])
-            out[-1][1] = opened + re.sub(r"(?i)\A<table\b[^>]*>", "", part)
-        elif kind == "gap" and out and out[-1][0] == "table" and not _BRIDGE.sub("", part).strip():
-            bridge += part
-        else:
-            if bridge.strip():
-                out.append(["gap", bridge])
-            elif bridge:
-                part = bridge + part
-            bridge = ""
-            out.append([kind, part])
-    return "".join(p for _, p in [*out, ["gap", bridge]])
+    return texts.map(htmltables.simple_to_pipes)
 
 
 @F.pandas_udf(T.StringType())
 def join_tables(texts: pd.Series) -> pd.Series:
-    return texts.map(join_html_tables)
-
-
-def escape_cell(value: str) -> str:
-    return html.escape(value, quote=False)
+    return texts.map(htmltables.joined)

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docspark.functions import loops
+from docspark.functions import htmltables, loops
 from docspark.operators import assembly, bench, images, layout, lines, quality, review, spelling, tables
 
 LINE = "This is a line of prose that is long enough to count."
@@ -93,23 +93,23 @@ def test_runs(spark):
 
 def test_table_structure():
     bad = "<table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>"
-    assert tables.structure_errors(bad) == ["malformed_html_table:inconsistent_logical_columns"]
-    assert tables.structure_errors("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == []
-    assert "malformed_html_table:invalid_span" in tables.structure_errors("<table><tr><td colspan=x>a</td></tr></table>")
-    assert tables.structure_errors(None) == []
+    assert htmltables.structure_errors(bad) == ["malformed_html_table:inconsistent_logical_columns"]
+    assert htmltables.structure_errors("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == []
+    assert "malformed_html_table:invalid_span" in htmltables.structure_errors("<table><tr><td colspan=x>a</td></tr></table>")
+    assert htmltables.structure_errors(None) == []
 
 
 def test_html_to_pipes():
-    assert tables.simple_to_pipes("<table><tr><th>A</th><th>B</th></tr><tr><td>1|2</td></tr><tr><td>A</td><td>B</td></tr></table>") == "| A | B |\n| --- | --- |\n| 1\\|2 |  |"
+    assert htmltables.simple_to_pipes("<table><tr><th>A</th><th>B</th></tr><tr><td>1|2</td></tr><tr><td>A</td><td>B</td></tr></table>") == "| A | B |\n| --- | --- |\n| 1\\|2 |  |"
     kept = "<table><tr><td colspan=2>a</td></tr><tr><td>b</td><td>c</td></tr></table>"
-    assert tables.simple_to_pipes(kept) == kept
+    assert htmltables.simple_to_pipes(kept) == kept
 
 
 def test_html_tables_join_over_page_marks():
     t = "<table><tr><td>1</td></tr></table>\n<!-- Page 2 -->\n<table><tr><td>2</td></tr></table>\nend"
-    assert tables.join_html_tables(t) == "<table><tr><td>1</td></tr><tr><td>2</td></tr></table>\n<!-- Page 2 -->\n\nend"
+    assert htmltables.joined(t) == "<table><tr><td>1</td></tr><tr><td>2</td></tr></table>\n<!-- Page 2 -->\n\nend"
     apart = "<table><tr><td>1</td></tr></table>\ntext\n<table><tr><td>2</td></tr></table>"
-    assert tables.join_html_tables(apart) == apart
+    assert htmltables.joined(apart) == apart
 
 
 def test_order_keys_and_fragments(spark):
@@ -188,7 +188,7 @@ def test_offsets_and_rebase(spark):
 def test_finalise_is_stable(spark):
     docs = spark.createDataFrame([(1, "Text\n\n<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2"), (2, "clean text"), (3, None)], "d int, text string")
     once = assembly.finalise(docs).select("d", F.col("final").alias("text"), assembly.describe(F.col("report")).alias("how")).orderBy("d").collect()
-    assert once[0].text == "Text\n\n| A | B |\n| --- | --- |\n| 1 | 2 |" and "tables_closed" in once[0].how
+    assert once[0].text == "Text\n\n| A | B |\n| --- | --- |\n| 1 | 2 |" and "html_tags_closed: 3" in once[0].how
     assert (once[1].text, once[1].how, once[2].text) == ("clean text", "nothing to repair", None)
     twice = assembly.finalise(spark.createDataFrame([(r.d, r.text) for r in once], "d int, text string")).orderBy("d").collect()
     assert [r.final for r in twice] == [r.text for r in once]
