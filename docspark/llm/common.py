@@ -66,19 +66,29 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS = 4096
 
 
-def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", count: str | None = None) -> DataFrame:
     """rows joined with found, which has one row for each value of keys, whatever share of rows one value has.
 
     A value that more than a HOT_KEYS-th of the rows have is joined by broadcast
     (there are fewer than HOT_KEYS of them, so found must be narrow); all others
-    by a shuffle on the keys. `how` is inner, left or left_semi. Null keys join
-    nothing. rows is read four times: it should be a table.
+    by a shuffle on the keys. count is a column of found that says how many rows a
+    value has, or more; it is counted where left out. `how` is inner, left or
+    left_semi. Null keys join nothing. Both are read twice or more: they should be
+    tables.
     """
-    total = rows.count()
-    hot = materialise(rows.groupBy(*keys).count().where(F.col("count") > total / HOT_KEYS).select(*keys))
-    few = materialise(found.join(F.broadcast(hot), keys, "left_semi"))
-    by_broadcast = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
-    by_shuffle = rows.join(F.broadcast(hot), keys, "left_anti").join(found, keys, how)
+    hot, here = fresh(rows.join(found.limit(0), keys), "is_hot", "is_here")
+    rest = [c for c in found.columns if c not in keys]
+    if count:
+        total = found.agg(F.sum(count)).first()[0] or 0
+        few = found.where(F.col(count) > total / HOT_KEYS).withColumns({hot: F.lit(True), here: F.lit(True)})
+    else:
+        total = rows.count()
+        frequent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(hot)).where(F.col(hot) > total / HOT_KEYS).select(*keys, F.lit(True).alias(hot))
+        few = frequent.join(found.withColumn(here, F.lit(True)), keys, "left")
+    marked = rows.join(F.broadcast(materialise(few)), keys, "left")
+    kept = [*rows.columns, *(rest if how != "left_semi" else [])]
+    by_broadcast = marked.where(F.col(hot) if how == "left" else F.col(hot) & F.col(here)).select(*kept)
+    by_shuffle = marked.where(F.col(hot).isNull()).select(*rows.columns).join(found, keys, how).select(*kept)
     return by_broadcast.unionByName(by_shuffle)
 
 

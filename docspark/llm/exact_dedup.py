@@ -272,7 +272,7 @@ def memberships(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     keep = materialise(survivors(plain, columns=["doc_id"]).select(F.col("doc_id").alias("keep_id"), F.lower(F.hex("digest")).alias("text_sha256"), "group_size"))
     counted = materialise(rows.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
     return (
-        join_hot(counted, keep, ["text_sha256"])
+        join_hot(counted, keep, ["text_sha256"], count="group_size")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )

@@ -302,7 +302,7 @@ def _group(kmers: list[np.ndarray], marks: list[np.ndarray], label: np.ndarray,
 
 def _least_of_neighbours(edges: DataFrame) -> DataFrame:
     """(u, v, m): edges with m, the least v of u; a node of any number of edges is many tasks."""
-    return join_hot(edges, edges.groupBy("u").agg(F.min("v").alias("m")), ["u"])
+    return join_hot(edges, materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))), ["u"], count="n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,9 +340,9 @@ def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataF
     """
     plain = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialise(signatures(plain))
-    heads = materialise(signed.groupBy("words").agg(F.min("id").alias("r")))
+    heads = materialise(signed.groupBy("words").agg(F.min("id").alias("r"), F.count(F.lit(1)).alias("n")))
     named = materialise(signed.select("id", "words").distinct())
-    of = materialise(join_hot(named, heads, ["words"]).select("id", "r"))
+    of = materialise(join_hot(named, heads, ["words"], count="n").select("id", "r"))
     members = signed.join(heads.select(F.col("r").alias("id"), "words"), ["id", "words"]).select(F.col("id").alias("r"), F.explode("sketches").alias("s")).distinct()
     found = links(materialise(members), plain)
     # An ident of several texts links their heads.

@@ -143,12 +143,12 @@ def routes(docs: DataFrame) -> DataFrame:
     HOT_KEYS-th of the rows are joined by broadcast.
     """
     found = materialise(anchors(docs))
-    known = materialise(found.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h"))
-    marked = join_hot(found, known, ["h"], "left_semi").groupBy(F.col("d").alias("id")).agg(F.collect_set("h").alias("marks"))
+    known = materialise(found.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("h", "n"))
+    marked = join_hot(found, known, ["h"], "left_semi", "n").groupBy(F.col("d").alias("id")).agg(F.collect_set("h").alias("marks"))
     seen = materialise(windows(docs.join(marked, "id").select("id", "text", "marks")))
     discard(found, known)
-    owners = materialise(seen.groupBy("w", "c").agg(F.min("d").alias("m"), F.max("d").alias("high"), F.min_by("p", "d").alias("mp")).where("m < high").select("w", "c", "m", "mp"))
-    routed = materialise(join_hot(seen, owners, ["w", "c"]).where("d > m").groupBy("d", "m").agg(F.array_sort(F.collect_set("mp")).alias("places")))
+    owners = materialise(seen.groupBy("w", "c").agg(F.min("d").alias("m"), F.max("d").alias("high"), F.min_by("p", "d").alias("mp"), F.count(F.lit(1)).alias("n")).where("m < high").select("w", "c", "m", "mp", "n"))
+    routed = materialise(join_hot(seen, owners, ["w", "c"], count="n").where("d > m").groupBy("d", "m").agg(F.array_sort(F.collect_set("mp")).alias("places")))
     discard(seen, owners)
     return routed
 
@@ -179,7 +179,7 @@ def passages(routed: DataFrame, docs: DataFrame) -> DataFrame:
     owners = prefilter(docs, "id", sets, "m")
     cut = sets.join(owners, F.col("m") == F.col("id")).select("m", "key", "n", "places", "text").mapInArrow(run, "m bigint, key string, n bigint, passages array<string>")
     dealt = cut.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("n") / SHARE).cast("int"))))
-    takers = join_hot(materialise(keyed.select("d", "m", "key")), sets.select("m", "key", "n"), ["m", "key"]).withColumn("part", F.pmod(F.xxhash64("d"), (F.col("n") / SHARE).cast("int") + 1).cast("int"))
+    takers = join_hot(materialise(keyed.select("d", "m", "key")), sets.select("m", "key", "n"), ["m", "key"], count="n").withColumn("part", F.pmod(F.xxhash64("d"), (F.col("n") / SHARE).cast("int") + 1).cast("int"))
     shared = takers.select("d", "m", "key", "part").join(dealt.select("m", "key", "part", "passages"), ["m", "key", "part"])
     return shared.groupBy("d").agg(F.collect_list(F.struct("m", "passages")).alias("found"))
 

@@ -892,6 +892,8 @@ def test_join_hot(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 4)
     rows = common.materialise(spark.createDataFrame([(i, None if i % 10 == 0 else "hot" if i % 2 else f"k{i % 40}") for i in range(400)], "i int, k string"))
     found = spark.createDataFrame([("hot", 1), *((f"k{i}", 2) for i in range(30))], "k string, v int")
+    sized = found.join(rows.groupBy("k").count(), "k", "left").fillna(0)
     for how in ("inner", "left", "left_semi"):
-        got, want = common.join_hot(rows, found, ["k"], how), rows.join(found, "k", how)
-        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), how
+        want = rows.join(found, "k", how)
+        for got in (common.join_hot(rows, found, ["k"], how), common.join_hot(rows, sized, ["k"], how, "count")):
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), how
