@@ -73,27 +73,29 @@ def reading_order(blocks: DataFrame, page: list[str], ident: str, width: Column)
     column (full-width first), top, left, ident.
     """
     b = blocks.withColumn("full", (F.col("r") - F.col("l")) >= FULL_WIDTH * width)
-    # Bands: full-width blocks whose bottom is at or above a block's top; counted over sorted bottoms, without a self-join.
-    events = b.select(*page, ident, F.col("t").alias("y"), F.lit(1).alias("late"), F.lit(0).alias("step")).unionByName(b.where("full").select(*page, ident, F.col("b").alias("y"), F.lit(0).alias("late"), F.lit(1).alias("step")))
-    band = events.withColumn("band", F.sum("step").over(Window.partitionBy(*page).orderBy("y", "late").rowsBetween(Window.unboundedPreceding, 0))).where("late = 1").select(*page, ident, "band")
+    # Bands: full-width blocks whose bottom is at or above a block's top; counted over sorted bottoms, without a join: the blocks are rows among the bottoms.
+    events = b.withColumns({"y": F.col("t"), "late": F.lit(1), "step": F.lit(0)}).unionByName(b.where("full").select(*page, F.col("b").alias("y"), F.lit(0).alias("late"), F.lit(1).alias("step")), allowMissingColumns=True)
+    out = events.withColumn("band", F.sum("step").over(Window.partitionBy(*page).orderBy("y", "late").rowsBetween(Window.unboundedPreceding, 0))).where("late = 1").drop("y", "late", "step")
     column = F.when(F.col("full"), -1).otherwise(F.floor(F.col("l") / F.greatest(COLUMN * width, F.lit(1.0))).cast("int"))
-    out = b.join(band, [*page, ident]).withColumn("column", column)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "column", "t", "l", ident))).drop("full")
+    return out.withColumn("column", column).withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "column", "t", "l", ident))).drop("full")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, page: list[str], point: str, segment: str) -> DataFrame:
     """points (x, y) with seg: the first segment of the page that holds the point, else the nearest by the distances to its edges.
 
     A page without segments gives null. Each point keeps one candidate, as a
-    minimum, so a page's pairs are never gathered.
+    minimum, so a page's pairs are never gathered; they are as many as the
+    points times the segments of the page.
     """
     s = segments.select(*page, F.col(segment).alias("seg"), "l", "t", "r", "b")
+    rest = [c for c in points.columns if c not in (*page, point)]
     away = lambda v, low, high: F.when(v < low, low - v).when(v > high, v - high).otherwise(0.0)
     x, y = F.col("x"), F.col("y")
     inside = (x >= F.col("l")) & (x <= F.col("r")) & (y >= F.col("t")) & (y <= F.col("b"))
     distance = away(x, F.col("l"), F.col("r")) + away(y, F.col("t"), F.col("b"))
-    best = points.join(s, page).groupBy(*page, point).agg(F.min_by("seg", F.struct((~inside).alias("out"), F.when(inside, 0.0).otherwise(distance).alias("far"), F.col("seg").alias("seg"))).alias("seg"))
-    return points.join(best, [*page, point], "left")
+    choice = F.struct((~inside).alias("out"), F.when(inside, 0.0).otherwise(distance).alias("far"), F.col("seg").alias("seg"))
+    # Grouped by page and point, rows stay where the join by page has put them.
+    return points.join(s, page, "left").groupBy(*page, point).agg(*(F.any_value(c).alias(c) for c in rest), F.min_by("seg", choice).alias("seg"))
 
 
 def nearby_text(words: DataFrame, rects: DataFrame, page: list[str], rect: str, margin: float = 36.0) -> DataFrame:
@@ -132,6 +134,31 @@ def tiled_pages(images: DataFrame, page: list[str], width: Column, height: Colum
     return images.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.sum(area(*(F.col(n) for n in "ltrb")) / (width * height)).alias("cover")).select(*page, ((F.col("n") >= 6) & (F.col("cover") >= 0.75)).alias("tiled"))
 
 
+def merge_column_blocks(blocks: DataFrame, page: list[str], order: str, width: Column, height: Column, pad: float = 5.0) -> DataFrame:
+    """page, n, l, t, r, b: neighbouring blocks of a column, in order, as one box with pad on each side, inside the page.
+
+    A block joins the box before it if its sides are within a tenth of the page's
+    width of that box's, and its top at most 20 above the box's bottom. The
+    fold takes the blocks of one page; nulls in a box leave it out.
+    """
+    box = F.struct(F.col(order).alias("at"), *(F.col(c).cast("double").alias(c) for c in "ltrb"), width.cast("double").alias("w"), height.cast("double").alias("h"))
+    g = blocks.where(" AND ".join(f"{c} IS NOT NULL" for c in "ltrb")).groupBy(*page).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    kind = "struct<l:double,t:double,r:double,b:double,w:double,h:double>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+    keep = lambda x: F.struct(*(x[c].alias(c) for c in "ltrbwh"))
+
+    def step(acc, x):
+        last = acc["last"]
+        joins = (F.abs(x["l"] - last["l"]) < 0.1 * x["w"]) & (F.abs(x["r"] - last["r"]) < 0.1 * x["w"]) & (x["t"] >= last["b"] - 20)
+        both = F.struct(F.least(x["l"], last["l"]).alias("l"), F.least(x["t"], last["t"]).alias("t"), F.greatest(x["r"], last["r"]).alias("r"), F.greatest(x["b"], last["b"]).alias("b"), last["w"].alias("w"), last["h"].alias("h"))
+        fresh = F.struct(F.when(last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"), keep(x).alias("last"))
+        return F.when(joins, F.struct(acc["done"].alias("done"), both.alias("last"))).otherwise(fresh)
+
+    merged = F.aggregate("boxes", start, step, lambda acc: F.array_append(acc["done"], acc["last"]))
+    wider = lambda x, i: F.struct(i.alias("n"), F.greatest(x["l"] - pad, F.lit(0.0)).alias("l"), F.greatest(x["t"] - pad, F.lit(0.0)).alias("t"), F.least(x["r"] + pad, x["w"]).alias("r"), F.least(x["b"] + pad, x["h"]).alias("b"))
+    return g.select(*page, F.inline(F.transform(merged, wider)))
+
+
 def _cuts(low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:
     """Island of each interval; islands lie at least gap apart."""
     order = np.argsort(low, kind="stable")

@@ -27,6 +27,7 @@ WEIGHTS = {
     "missing_vietnamese_diacritics": 10, "unclosed_inline_code": 10, "glued_words": 5,
 }
 OTHER_WEIGHT = 20
+#: Errors that no page passes with (fixed values).
 FATAL = ("empty_page", "missing_pages", "duplicate_pages", "repetition_loop", "truncated_page")
 PASS = 80
 #: Word lists of the language profile (fixed values).
@@ -134,7 +135,10 @@ def prose(c: Column) -> Column:
 
 def language_profile(c: Column) -> Column:
     """mixed_vi_en, vi, en or unknown, by three function words or marks of either."""
-    found = words(casefold(F.array_join(prose(c), " ")))
+    return let(words(casefold(F.array_join(prose(c), " "))), _profile)
+
+
+def _profile(found: Column) -> Column:
     vi = F.size(F.filter(found, lambda w: w.isin(*VI_FUNCTION) | w.rlike(f"[{VI_MARKS}]")))
     en = F.size(F.filter(found, lambda w: w.isin(*EN_COMMON)))
     return F.when((vi >= 3) & (en >= 3), "mixed_vi_en").when(vi >= 3, "vi").when(en >= 3, "en").otherwise("unknown")
@@ -236,16 +240,17 @@ def core_report(pages: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return pages.select(*keys, F.inline(F.transform(F.array(core_errors(F.col(text))), full)))
 
 
-def page_errors(c: Column, check_tables: Column | bool = True, assets: Column | None = None, html_tables: Column | None = None) -> Column:
+def page_errors(c: Column, check_tables: Column | bool = True, assets: Column | None = None, html_tables: Column | None = None, loss: Column | None = None) -> Column:
     """Ordered distinct error codes of a page as an array.
 
     assets: names of the images there are (null or left out: images aren't
-    looked for); html_tables: codes of tables.html_structure, which parses.
+    looked for); html_tables: codes of tables.html_structure, which parses; loss:
+    diacritic_loss of the text, where that is at hand.
     """
     text = F.coalesce(c, F.lit(""))
     none = F.array().cast("array<string>")
     tables = F.concat(pipe_errors(text), tag_errors(text), F.coalesce(html_tables, none) if html_tables is not None else none)
-    loss = diacritic_loss(text)
+    loss = diacritic_loss(text) if loss is None else loss
     images = none
     if assets is not None:
         local = F.filter(markup.image_targets(text), lambda t: ~t.rlike(markup.PLACEHOLDER) & ~t.rlike("(?i)^(?:https?://|data:)") & ~F.array_contains(assets, t))
@@ -268,17 +273,24 @@ def page_errors(c: Column, check_tables: Column | bool = True, assets: Column |
     )
 
 
-def page_warnings(c: Column) -> Column:
-    likely = lambda x: (x["high"] == 0) & (x["medium"] >= 2) & (x["medium"] >= 0.25 * F.greatest(x["segments"], F.lit(1)))
-    return F.array_compact(F.array(F.when(let(diacritic_loss(c), likely), "suspected_missing_vietnamese_diacritics")))
+def page_warnings(loss: Column) -> Column:
+    """Warnings of a page by its diacritic_loss."""
+    likely = (loss["high"] == 0) & (loss["medium"] >= 2) & (loss["medium"] >= 0.25 * F.greatest(loss["segments"], F.lit(1)))
+    return F.array_compact(F.array(F.when(likely, "suspected_missing_vietnamese_diacritics")))
 
 
 def report(pages: DataFrame, text: str = "text", **options) -> DataFrame:
     """pages with errors, warnings, fatal, score, should_retry and passed. A null text is an empty page."""
-    full = lambda e: F.struct(e.alias("errors"), fatal(e).alias("fatal"), score(e).alias("score"), should_retry(e).alias("should_retry"), (F.size(e) == 0).alias("passed"))
-    warned = page_warnings(F.coalesce(F.col(text), F.lit("")))
+    full = lambda e, w: F.struct(w.alias("warnings"), e.alias("errors"), fatal(e).alias("fatal"), score(e).alias("score"), should_retry(e).alias("should_retry"), (F.size(e) == 0).alias("passed"))
+    parsed = options.pop("html_tables", None)
+    if parsed is not None:
+        # No parser runs inside an expression's lambda.
+        name = "html_tables_of_page"
+        pages, options["html_tables"] = pages.withColumn(name, parsed), F.col(name)
+    judged = lambda loss: let(page_errors(F.col(text), loss=loss, **options), lambda e: full(e, page_warnings(loss)))
     # inline() gives the struct's fields without evaluating the gate once for each.
-    return pages.select("*", warned.alias("warnings"), F.inline(F.transform(F.array(page_errors(F.col(text), **options)), full)))
+    out = pages.select("*", F.inline(F.transform(F.array(diacritic_loss(F.coalesce(F.col(text), F.lit("")))), judged)))
+    return out if parsed is None else out.drop(name)
 
 
 def attempt_key(text: Column, errors: Column, warnings: Column | None = None) -> Column:

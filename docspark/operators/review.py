@@ -19,15 +19,24 @@ SEVERITY = {
     "possible_pen_stroke_or_glued_punctuation": "medium", "possible_missing_printed_footer": "high", "unusual_word": "low",
 }
 RANKS = ("critical", "high", "medium", "low")
+#: Function words of a sentence that lost its marks (fixed values).
 LOSS_SIGNS = ("cua", "va", "la", "trong", "duoc", "nhung", "mot", "cho", "voi", "khong")
 FOOTER = "possible_missing_printed_footer"
 
 
+#: Dates, document numbers and cut ends (fixed values).
+DATED = r"(?iu)\bngày\s*.{0,12}\d"
+VALID_DATE = r"(?iu)ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}|ngày\s+\d{1,2}/\d{1,2}/\d{4}"
+BROKEN_DATE = r"\d\s*[.]{2,}|\d[.]\d[.]"
+BROKEN_NUMBER = r"(?iu)\bSố\s*:\s*[^\s]*[.]{2,}|\bSố\s*:\s*\d+[.]/"
+CUT_END = "�|[\\p{L}\\p{N}_]-$|\\.{3,}$"
+
+
 def line_reasons(line: Column, lost_marks: Column | bool = False) -> Column:
     """Reasons that a line itself gives, as an array; lost_marks: its page lost its diacritics."""
     x = strip(line)
-    dated = x.rlike(r"(?iu)\bngày\s*.{0,12}\d")
-    valid = x.rlike(r"(?iu)ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}|ngày\s+\d{1,2}/\d{1,2}/\d{4}")
+    dated = x.rlike(DATED)
+    valid = x.rlike(VALID_DATE)
     pairs = F.regexp_extract_all(x, F.lit(r"(?<!\d)([A-Za-zÀ-ỹĐđ]+)-([A-Za-zÀ-ỹĐđ]+)"), F.lit(0))
     lower = lambda p: F.substring_index(p, "-", 1) != F.upper(F.substring_index(p, "-", 1))
     lower_after = lambda p: F.substring_index(p, "-", -1) != F.upper(F.substring_index(p, "-", -1))
@@ -36,11 +45,11 @@ def line_reasons(line: Column, lost_marks: Column | bool = False) -> Column:
     lost = F.lit(lost_marks) if isinstance(lost_marks, bool) else lost_marks
     tests = {
         "glued_characters": x.rlike(r"\p{L}{45,}"),
-        "malformed_date": dated & (x.rlike(r"\d\s*[.]{2,}|\d[.]\d[.]") | ~valid),
-        "malformed_document_number": x.rlike(r"(?iu)\bSố\s*:\s*[^\s]*[.]{2,}|\bSố\s*:\s*\d+[.]/"),
+        "malformed_date": dated & (x.rlike(BROKEN_DATE) | ~valid),
+        "malformed_document_number": x.rlike(BROKEN_NUMBER),
         "mass_diacritic_loss": lost & (F.size(found) >= 7) & (signs >= 2),
         "possible_pen_stroke_or_glued_punctuation": F.exists(pairs, lambda p: lower(p) & lower_after(p)),
-        "truncated_line": x.rlike("�|[\\p{L}\\p{N}_]-$|\\.{3,}$"),
+        "truncated_line": x.rlike(CUT_END),
     }
     return F.array_compact(F.array(*(F.when((x != "") & tests[k], k) for k in sorted(tests))))
 
@@ -140,3 +149,43 @@ def nearby_groups(candidates: DataFrame, keys: list[str], most: int = 2) -> Data
 def ungrouped_characters(c: Column) -> Column:
     """Letters and digits of a line: what a second reading is measured against."""
     return count(c, r"[\p{L}\p{N}]")
+
+
+def span_boxes(rows: DataFrame, spans: DataFrame, page: list[str], start: str = "start") -> DataFrame:
+    """rows with box (l, t, r, b): that of the exactly placed span, no image's, in which a row starts; null if there is none.
+
+    spans (md_start, md_end, kind, exact, l, t, r, b) of a page don't overlap: the
+    one that began last decides, so spans and rows are merged in one window, and
+    no pairs are made. Rows of a null start have no box.
+    """
+    value = F.struct("md_start", "md_end", "kind", "exact", *(F.col(c).cast("double").alias(c) for c in "ltrb"))
+    events = rows.withColumns({"at": F.col(start), "late": F.lit(1)}).unionByName(spans.select(*page, F.col("md_start").alias("at"), F.lit(0).alias("late"), value.alias("span")), allowMissingColumns=True)
+    last = F.last("span", ignorenulls=True).over(Window.partitionBy(*page).orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0))
+    held = (F.col("at") < F.col("last.md_end")) & F.col("last.exact") & (F.col("last.kind") != "image")
+    return events.withColumn("last", last).where("late = 1").select(*rows.columns, F.when(held, F.struct(*(F.col(f"last.{c}").alias(c) for c in "ltrb"))).alias("box"))
+
+
+def ranked_boxes(rows: DataFrame, regions: DataFrame, page: list[str], order: str) -> DataFrame:
+    """rows with box: the k-th of a page's n rows takes the region at the same share of the page's regions, from the top, then the left."""
+    w = Window.partitionBy(*page)
+    share = (F.row_number().over(w.orderBy(order)) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
+    placed = regions.select(*page, F.row_number().over(w.orderBy("t", "l", "r", "b")).alias("k"), F.count(F.lit(1)).over(w).alias("of"), F.struct("l", "t", "r", "b").alias("box"))
+    number = regions.groupBy(*page).agg(F.count(F.lit(1)).alias("of"))
+    k = (F.bround(F.col("share") * (F.col("of") - 1)) + 1).cast("int")
+    return rows.withColumn("share", share).join(number, page, "left").withColumn("k", k).join(placed.drop("of"), [*page, "k"], "left").select(*rows.columns, "box")
+
+
+def review_boxes(candidates: DataFrame, regions: DataFrame, page: list[str], ident: str, width: Column, height: Column, margin: int = 30) -> DataFrame:
+    """page, ident, l, t, r, b: what to cut out for a candidate of box (l, t, r, b): the region nearest to it by the sum of distances of sides, and its neighbours from the top.
+
+    margin stands about them, inside the page. The first of equally near regions
+    counts; a page without regions has no row.
+    """
+    n = F.row_number().over(Window.partitionBy(*page).orderBy("t", "l", "r", "b"))
+    ordered = regions.select(*page, "l", "t", "r", "b", n.alias("n"))
+    about = Window.partitionBy(*page).orderBy("n").rowsBetween(-1, 1)
+    cut = ordered.select(*page, "n", *(F.col(c).alias(f"own_{c}") for c in "ltrb"), F.min("l").over(about).alias("low"), F.max("r").over(about).alias("high"), F.first("t").over(about).alias("top"), F.last("b").over(about).alias("end"))
+    far = sum((F.abs(F.col(c) - F.col(f"own_{c}")) for c in "ltrb"), F.lit(0.0))
+    best = candidates.select(*page, ident, "l", "t", "r", "b").join(cut, page).groupBy(*page, ident).agg(F.min_by(F.struct("low", "top", "high", "end"), F.struct(far, F.col("n"))).alias("x"))
+    whole = lambda c: c.cast("long")
+    return best.select(*page, ident, F.greatest(whole(F.col("x.low")) - margin, F.lit(0)).alias("l"), F.greatest(whole(F.col("x.top")) - margin, F.lit(0)).alias("t"), F.least(whole(F.col("x.high")) + margin, whole(width)).alias("r"), F.least(whole(F.col("x.end")) + margin, whole(height)).alias("b"))

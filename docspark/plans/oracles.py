@@ -51,7 +51,7 @@ _REPORT = "score, (empty_page OR repetition_loop OR score < 80) AS should_retry,
 _BOXES = """
 boxes AS (
   SELECT page, id, min(x).l AS l, min(x).t AS t, min(x).r AS r, min(x).b AS b, min(x).f AS f FROM (
-    SELECT l_orderkey % 2000 AS page, l_orderkey * 8 + l_linenumber AS id,
+    SELECT l_orderkey // 16 AS page, l_orderkey * 8 + l_linenumber AS id,
       {'l': (l_partkey * 37 % 800)::DOUBLE, 't': floor(l_extendedprice % 1200)::DOUBLE, 'r': (l_partkey * 37 % 800)::DOUBLE + l_quantity * 14 + 10,
        'b': floor(l_extendedprice % 1200)::DOUBLE + l_suppkey % 90 + 12, 'f': l_returnflag} AS x
     FROM lineitem) GROUP BY page, id
@@ -74,8 +74,29 @@ runs AS (
   SELECT event_type AS config, user_id % 97 <> 0 AS ok, CASE WHEN event_id % 501 = 0 THEN 1 ELSE 0 END AS oom, floor(coalesce(value, 0) * 100)::DOUBLE AS quality,
     coalesce(value, 0) AS vram, user_id % 3 AS retries, user_id % 2 AS timeouts, event_id % 4 + 1 AS run FROM events
 )"""
+#: Benchmark texts and their altered copies, case-folded and squeezed.
+_ALTERED = r"""
+t AS (SELECT item_id, text AS e, upper(replace(replace(replace(text, 'the', 'thé'), 'and', 'an d'), ' ', '  ')) AS a FROM benchmark),
+n AS (SELECT item_id, trim(regexp_replace(replace(lower(e), 'ß', 'ss'), '\s+', ' ', 'g')) AS e, trim(regexp_replace(replace(lower(a), 'ß', 'ss'), '\s+', ' ', 'g')) AS a FROM t)"""
+
+
+def _as_bytes(items: str) -> str:
+    """A one-byte letter for each item, its place among `known`: DuckDB's distance counts bytes."""
+    return f"array_to_string(list_transform({items}, lambda x: chr(list_position(known, x)::INT)), '')"
+
+
 _FOLD = "replace(lower({}), 'ß', 'ss')"
 
+_REGIONS = """
+g AS (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY t, l, r, b) AS n FROM (
+    SELECT o_custkey, (o_orderkey * 37 % 600)::DOUBLE AS l, (o_orderkey * 91 % 1100)::DOUBLE AS t, (o_orderkey * 37 % 600 + o_orderkey % 200 + 20)::DOUBLE AS r, (o_orderkey * 91 % 1100 + o_orderkey % 70 + 10)::DOUBLE AS b
+    FROM orders WHERE o_orderkey % 3 = 0))"""
+#: Word lists of the language profile (fixed values).
+_VI = "['cua','va','la','trong','duoc','cho','voi','tu','den','mot','nhung','cac','nay','theo','tai','ve','khi','co']"
+_VI_PHRASES = "['cua','va','la','trong','duoc','cho','voi','tu','den','mot','nhung','cac','nay','theo','tai','ve','khi','co','viet','nam','nguoi','nuoc','thanh','pho','du lich','phat trien','chuong trinh','hoat dong','thong tin','doanh nghiep','thi truong']"
+_EN = "['the','and','is','are','of','to','in','for','with','from','this','that','was','were','by','on','as','an','be','or']"
+
 ORACLES = {
     "q01_page_quality_report": f"WITH {_core(_DOCS, 'doc_id')} SELECT doc_id, {_REPORT} FROM codes",
     "q38_stream_pages": f"WITH {_core(_DOCS, 'doc_id')} SELECT doc_id, {_REPORT} FROM codes",
@@ -106,7 +127,7 @@ SELECT doc_id, n AS n_delimiters FROM (
 ) WHERE n % 2 = 1
 """,
     "q06_glued_words": r"""
-WITH m AS (SELECT doc_id, concat_ws(' ', substring(text, 1, 200), lang || repeat('cuavalatrong', (doc_id % 9)::INT), 'x') AS t FROM documents),
+WITH m AS (SELECT doc_id, concat_ws(' ', text, lang || repeat('cuavalatrong', (doc_id % 9)::INT), 'x') AS t FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '!?\[([^\]]*)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'gi') AS t FROM m),
 w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_-]+')) AS w FROM c)
 SELECT c.doc_id, coalesce(bool_or(regexp_full_match(w, '\p{L}{45,}') AND w = replace(lower(w), 'ß', 'ss') AND (length(w) >= 80 OR
@@ -201,8 +222,14 @@ SELECT page, id, coalesce(seg, -1) AS seg FROM (SELECT *, row_number() OVER (PAR
     "q21_exact_dedup": """
 SELECT doc_id, lang, digest FROM (SELECT doc_id, lang, sha256(text) AS digest, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1
 """,
-    "q22_cer": "SELECT item_id, levenshtein(e, replace(e, 'a', 'xy')) / 24 AS cer FROM (SELECT item_id, left(md5(text), 24) AS e FROM benchmark)",
-    "q23_wer": "SELECT item_id, levenshtein(e, replace(e, 'a', 'bc')) / 12 AS wer FROM (SELECT item_id, left(md5(text), 12) AS e FROM benchmark)",
+    "q22_cer": f"""
+WITH {_ALTERED}, c AS (SELECT item_id, e, a, list_sort(list_distinct(string_split(e || a, ''))) AS known FROM n)
+SELECT item_id, levenshtein({_as_bytes("string_split(e, '')")}, {_as_bytes("string_split(a, '')")}) / length(e) AS cer FROM c
+""",
+    "q23_wer": f"""
+WITH {_ALTERED}, w AS (SELECT item_id, string_split(e, ' ') AS e, string_split(a, ' ') AS a FROM n), c AS (SELECT *, list_sort(list_distinct(list_concat(e, a))) AS known FROM w)
+SELECT item_id, levenshtein({_as_bytes("e")}, {_as_bytes("a")}) / len(e) AS wer FROM c
+""",
     "q24_number_f1": """
 WITH e AS (SELECT l_orderkey, l_quantity::INT AS v, count(*) AS n FROM lineitem GROUP BY 1, 2), a AS (SELECT l_orderkey, (l_partkey % 50 + 1)::INT AS v, count(*) AS n FROM lineitem GROUP BY 1, 2),
 m AS (SELECT l_orderkey, sum(least(e.n, a.n)) AS hits FROM e JOIN a USING (l_orderkey, v) GROUP BY 1), s AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1)
@@ -252,7 +279,7 @@ SELECT conv_id, turn, x = '' OR trim(x, '()[]{} .:-') IN ('empty response', 'no
 WITH {_RUNS} SELECT config, bool_or(NOT ok OR oom > 0) AS disqualified, round_even(coalesce(avg(quality) FILTER (ok), 0), 4) AS quality_score_avg, max(vram) AS vram_mb_peak,
   sum(retries)::BIGINT AS retry_total, sum(timeouts)::BIGINT AS timeout_total, sum(oom)::BIGINT AS cuda_oom_total FROM runs GROUP BY config
 """,
-    "q35_json_reply": "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props))::BIGINT AS n_keys FROM events",
+    "q35_json_reply": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 7 = 0 OR props IS NULL THEN -1 ELSE len(json_keys(props)) END::BIGINT AS n_keys FROM events",
     "q36_quality_rollup": f"""
 WITH {_core("SELECT doc_id, text FROM documents", "doc_id")}
 SELECT lang, coalesce(quality::VARCHAR, 'all') AS quality, count(*) AS pages, round(avg(score), 6) AS score, sum((len(errors) = 0)::INT)::BIGINT AS passed
@@ -278,5 +305,95 @@ SELECT conv_id, turn, md_start, md_start + n AS md_end FROM s
     "q46_unaccented_words": r"""
 WITH w AS (SELECT lang, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-zA-ZÀ-ỹĐđ]+')) AS w FROM documents)
 SELECT lang, count(*) AS n, count(DISTINCT w) AS n_words, count(DISTINCT strip_accents(replace(w, 'đ', 'd'))) AS n_plain FROM w GROUP BY lang
+""",
+    "q37_finalise": """
+SELECT o_orderkey, md5('# Order ' || o_orderkey || chr(10) || '## Status ' || o_orderstatus || chr(10) || chr(10) || 'The order was placed by customer ' || o_custkey || chr(10) || chr(10) || '- item goes on here' || chr(10) || chr(10) ||
+    '![a](img/' || o_orderkey || '.png)' || chr(10) || chr(10) || 'End of this page is cut in a sen <!-- Page 2 --> tence of it.' || chr(10) || chr(10) ||
+    CASE o_orderkey % 3 WHEN 1 THEN '<table><tr><th>key</th><th>status</th></tr><tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>more</td></tr></table>'
+      ELSE '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' END) AS digest,
+  'headings: 1, headings_split: 1, paragraph_lines_joined: 2, list_lines_joined: 1' || CASE o_orderkey % 3 WHEN 1 THEN ', tables_repaired: 1' WHEN 2 THEN ', tables_converted: 1, html_tags_closed: 3' ELSE '' END
+    || ', image_paths: 1, duplicate_images: 1, page_artifacts_removed: 1' AS report
+FROM orders
+""",
+    "q40_full_gate": rf"""
+WITH {_core(_DOCS, "doc_id")},
+-- Blocks of one to six lines of prose that stand three times in a row. No document holds code, display mathematics or a table.
+fit AS (SELECT doc_id, ln, CASE WHEN NOT regexp_matches(line, '^\s*(?:#{{1,6}}\s|[-+*]\s|\d+[.)]\s|>|```|~~~|<!--|<[/A-Za-z]|\||!\[|\$\$)') AND NOT regexp_matches(line, '^\s*[<!|]')
+  AND len(regexp_extract_all(line, '\p{{L}}')) >= 15 AND length({_strip("line")}) >= 24 THEN {_FOLD.format(_strip("regexp_replace(line, '[\\s\\x{00A0}]+', ' ', 'g')"))} ELSE '' END AS x FROM raw_lines),
+same AS (SELECT doc_id, ln, width, length(x) AS n, x <> '' AND x = lead(x, width) OVER v AND x = lead(x, 2 * width) OVER v AS hit
+  FROM fit, (VALUES (1), (2), (3), (4), (5), (6)) t(width) WINDOW v AS (PARTITION BY doc_id, width ORDER BY ln)),
+ahead AS (SELECT doc_id, width, k.k AS start, count(*) FILTER (hit) AS hits, sum(n) AS size FROM same, LATERAL (SELECT unnest(range(ln - width + 1, ln + 1)) AS k) k GROUP BY doc_id, width, k.k),
+loops AS (SELECT DISTINCT doc_id FROM ahead WHERE hits = width AND size >= CASE WHEN width = 1 THEN 40 ELSE 70 END),
+-- Sentences of running prose, and their points for lost marks.
+bare AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```.*?```', '', 'gs'), '`[^`]*`', '', 'g'),
+    '\$\$.*?\$\$|\$[^$\n]*\$', '', 'gs'), '!?\[([^\]]*)\]\([^)]+\)', '\1', 'g'), 'https?://\S+|\b\S+@\S+\.\S+\b', '', 'gi'), '<table\b.*?</table>', '', 'gsi') AS t FROM documents
+), paras AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\s*\n')) AS p, generate_subscripts(regexp_split_to_array(t, '\n\s*\n'), 1) AS k FROM bare),
+kept AS (SELECT doc_id, k, list_filter(list_transform(list_filter(list_transform(string_split(p, chr(10)), lambda y: {_strip("y")}), lambda y: y <> '' AND y NOT LIKE '|%' AND y NOT LIKE '<!--%'), lambda y: regexp_replace(y, '^#{{1,6}}\s+', '')),
+  lambda y: length(y) >= 60 AND len(regexp_extract_all(y, '\p{{L}}')) >= 60 AND len(list_filter(regexp_split_to_array(y, '\s+'), lambda z: z <> '')) >= 12 AND y <> upper(y) AND len(regexp_extract_all(y, '\p{{Nd}}')) <= 0.2 * length(y)) AS ls FROM paras),
+sents AS (SELECT doc_id, unnest(string_split(regexp_replace({_strip("array_to_string(ls, ' ')")}, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM kept WHERE len(ls) > 0),
+low AS (SELECT doc_id, s, {_FOLD.format("s")} AS l FROM sents WHERE {_strip("s")} <> ''),
+split AS (SELECT doc_id, l, regexp_extract_all(l, '[a-zA-ZÀ-ỹĐđ]+') AS w, list_filter(regexp_split_to_array(s, '\s+'), lambda y: y <> '') AS parts FROM low),
+signs AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda y: list_contains({_VI}, y))) AS hits, len(list_filter(list_distinct(w), lambda y: list_contains({_VI}, y))) AS kinds,
+  list_sum(list_transform({_VI_PHRASES}, lambda y: (length(l) - length(replace(l, y, ''))) / length(y))) AS phrases, len(list_filter(w, lambda y: list_contains({_EN}, y))) AS english,
+  len(regexp_extract_all(l, '[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]')) / greatest(len(regexp_extract_all(l, '\p{{L}}')), 1) AS marks,
+  len(list_filter(parts, lambda y: regexp_matches(y, '\d|[_/@]'))) / greatest(len(parts), 1) AS technical FROM split),
+points AS (SELECT doc_id, CASE WHEN n >= 8 AND hits >= 3 THEN 3 + 2 * (phrases >= 5 OR kinds >= 4)::INT + (n >= 18)::INT + 2 * (marks < 0.02)::INT - 3 * (technical >= 0.15)::INT - 4 * (english >= 4 AND english > hits)::INT ELSE 0 END AS p FROM signs),
+loss AS (SELECT doc_id, count(*) FILTER (p >= 7) AS high, count(*) FILTER (p = 6) AS medium, count(*) AS segments FROM points GROUP BY doc_id),
+-- Mathematics: single delimiters are those left once runs of them are another sign.
+maths AS (SELECT doc_id, text, regexp_extract_all(regexp_replace(text, '\$\$+', chr(1), 'g'), '\$([^$\n\x01]+)\$', 1) AS i FROM documents),
+long AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'gi'), '[\p{{L}}\p{{N}}_-]+')) AS w FROM documents),
+glued AS (SELECT DISTINCT doc_id FROM long WHERE regexp_full_match(w, '\p{{L}}{{45,}}') AND w = {_FOLD.format("w")} AND (length(w) >= 80 OR len(list_filter(['cua','va','la','trong','duoc','nhung','mot','cho','voi','viet','nam'], lambda s: contains(w, s))) >= 3)),
+ticks AS (SELECT DISTINCT doc_id FROM raw_lines WHERE NOT contains(line, '```') AND len(regexp_extract_all(regexp_replace(line, '``+', '', 'g'), '`')) % 2 = 1),
+found AS (
+  SELECT c.doc_id, list_filter([CASE WHEN empty_page THEN 'empty_page' END, CASE WHEN unclosed_code_blocks THEN 'unclosed_code_blocks' END, CASE WHEN k.doc_id IS NOT NULL THEN 'unclosed_inline_code' END,
+      CASE WHEN repetition_loop OR o.doc_id IS NOT NULL THEN 'repetition_loop' END, CASE WHEN repeated_words THEN 'repeated_words' END, CASE WHEN g.doc_id IS NOT NULL THEN 'glued_words' END,
+      CASE WHEN high > 0 THEN 'missing_vietnamese_diacritics' END, CASE WHEN unbalanced_math_delimiters THEN 'unbalanced_math_delimiters' END,
+      CASE WHEN regexp_matches(c.text, '\${{1,2}}\s*[A-D]\.\s*\${{1,2}}') THEN 'answer_label_inside_math' END,
+      CASE WHEN len(list_filter(i, lambda x: len(regexp_extract_all(x, '(?:^|\s)[A-D]\.\s')) >= 2)) > 0 THEN 'multiple_answers_inside_math' END,
+      CASE WHEN len(list_filter(i, lambda x: len(regexp_extract_all(x, '[A-Za-zÀ-ỹĐđ]{{3,}}')) >= 6 AND len(regexp_extract_all(x, '[=+*/^_{{}}\\<>]')) <= 1)) > 0 THEN 'prose_inside_math' END,
+      CASE WHEN len(list_filter(i, lambda x: regexp_matches(x, '^\s*(?:[A-D]\.|[.,;:!?-]+)\s*$'))) > 0 THEN 'non_math_math_block' END,
+      CASE WHEN len(list_filter(i, lambda x: len(regexp_extract_all(x, '\{{')) <> len(regexp_extract_all(x, '\}}')))) > 0 THEN 'unbalanced_latex_braces' END,
+      CASE WHEN len(list_filter(i, lambda x: regexp_matches(x, '\\(?:frac|sqrt)\s*$|\\frac\s*\{{[^{{}}]*\}}\s*$'))) > 0 THEN 'incomplete_latex_command' END,
+      CASE WHEN regexp_matches(c.text, '\$\$[^$\n]+\$\$\S|\S\$\$[^$\n]+\$\$') THEN 'display_math_inline' END,
+      CASE WHEN regexp_matches(c.text, '\${{1,2}}\s*\${{1,2}}') THEN 'adjacent_math_blocks' END,
+      CASE WHEN regexp_matches(c.text, '(?i)(?:image|formula)_placeholder') THEN 'unresolved_placeholder' END], lambda x: x IS NOT NULL) AS e,
+    CASE WHEN coalesce(high, 0) = 0 AND medium >= 2 AND medium >= 0.25 * greatest(segments, 1) THEN 'suspected_missing_vietnamese_diacritics' ELSE '' END AS warnings
+  FROM core c JOIN maths m USING (doc_id) LEFT JOIN loss USING (doc_id) LEFT JOIN loops o ON o.doc_id = c.doc_id LEFT JOIN glued g ON g.doc_id = c.doc_id LEFT JOIN ticks k ON k.doc_id = c.doc_id
+), weighed AS (
+  SELECT *, list_transform(e, lambda x: CASE x WHEN 'empty_page' THEN 100 WHEN 'repetition_loop' THEN 50 WHEN 'unresolved_placeholder' THEN 35 WHEN 'unclosed_code_blocks' THEN 25 WHEN 'repeated_words' THEN 20
+    WHEN 'unbalanced_latex_braces' THEN 15 WHEN 'incomplete_latex_command' THEN 15 WHEN 'unbalanced_math_delimiters' THEN 15 WHEN 'glued_words' THEN 5 ELSE 10 END) AS w FROM found
+)
+SELECT doc_id, greatest(0, 100 - coalesce(list_sum(w), 0))::DOUBLE AS score, coalesce(list_sum(w), 0) > 20 OR coalesce(list_max(w), 0) >= 30 OR list_contains(e, 'missing_vietnamese_diacritics') AS should_retry,
+  len(e) = 0 AS passed, array_to_string(e, ',') AS errors, warnings FROM weighed
+""",
+    "q47_span_boxes": """
+WITH o AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 10 AS at FROM orders)
+SELECT r.o_custkey, r.o_orderkey, coalesce(s.o_orderkey, -1)::DOUBLE AS box
+FROM o r LEFT JOIN o s ON s.o_custkey = r.o_custkey AND s.at % 20 = 0 AND r.at >= s.at AND r.at < s.at + 15 AND s.o_orderkey % 7 <> 0 AND s.o_orderkey % 5 <> 0
+""",
+    "q48_ranked_boxes": f"""
+WITH {_REGIONS}, r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 3 <> 0),
+c AS (SELECT o_custkey, count(*) AS m FROM g GROUP BY 1),
+p AS (SELECT r.o_custkey, o_orderkey, round_even(k / greatest(n - 1, 1) * (m - 1), 0) + 1 AS at FROM r LEFT JOIN c USING (o_custkey))
+SELECT p.o_custkey, o_orderkey, coalesce(g.l, -1.0)::DOUBLE AS l, coalesce(g.t, -1.0)::DOUBLE AS t FROM p LEFT JOIN g ON g.o_custkey = p.o_custkey AND g.n = p.at
+""",
+    "q49_review_boxes": f"""
+WITH {_REGIONS}, c AS (SELECT o_custkey, o_orderkey, (o_orderkey * 53 % 600)::DOUBLE AS l, (o_orderkey * 29 % 1100)::DOUBLE AS t FROM orders WHERE o_orderkey % 3 <> 0),
+d AS (SELECT c.o_custkey, o_orderkey, g.n, row_number() OVER (PARTITION BY c.o_custkey, o_orderkey ORDER BY abs(c.l - g.l) + abs(c.t - g.t) + abs(c.l + 50 - g.r) + abs(c.t + 20 - g.b), g.n) AS k FROM c JOIN g USING (o_custkey)),
+b AS (SELECT d.o_custkey, o_orderkey, min(g.l) AS l, arg_min(g.t, g.n) AS t, max(g.r) AS r, arg_max(g.b, g.n) AS b FROM d JOIN g ON g.o_custkey = d.o_custkey AND g.n BETWEEN d.n - 1 AND d.n + 1 WHERE k = 1 GROUP BY 1, 2)
+SELECT o_custkey, o_orderkey, greatest(l::BIGINT - 30, 0) AS l, greatest(t::BIGINT - 30, 0) AS t, least(r::BIGINT + 30, 800) AS r, least(b::BIGINT + 30, 1200) AS b FROM b
+""",
+    "q50_merge_column_blocks": """
+WITH RECURSIVE o AS (
+  SELECT o_custkey, row_number() OVER w AS k, (o_orderkey % 4 * 60)::DOUBLE AS l, (o_orderkey * 7 % 40 + row_number() OVER w * 30)::DOUBLE AS t, (o_orderkey % 4 * 60 + 400 + o_orderkey % 90)::DOUBLE AS r,
+    (o_orderkey * 7 % 40 + row_number() OVER w * 30 + 25)::DOUBLE AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+), m AS (
+  SELECT o_custkey, k, 0::BIGINT AS n, l, t, r, b FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.o_custkey, o.k, m.n + (NOT j)::BIGINT, CASE WHEN j THEN least(o.l, m.l) ELSE o.l END, CASE WHEN j THEN least(o.t, m.t) ELSE o.t END, CASE WHEN j THEN greatest(o.r, m.r) ELSE o.r END, CASE WHEN j THEN greatest(o.b, m.b) ELSE o.b END
+  FROM m JOIN o ON o.o_custkey = m.o_custkey AND o.k = m.k + 1, LATERAL (SELECT abs(o.l - m.l) < 100 AND abs(o.r - m.r) < 100 AND o.t >= m.b - 20 AS j)
+)
+SELECT o_custkey, n, greatest(min(l) - 5, 0) AS l, greatest(min(t) - 5, 0) AS t, least(max(r) + 5, 1000) AS r, least(max(b) + 5, 800) AS b FROM m GROUP BY o_custkey, n
 """,
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.functions import markup, scoring
 from docspark.functions.text import LETTERS, casefold, unaccented, words
 from docspark.operators import assembly, bench, layout, lines, quality, review, spelling, tables
 from docspark.plans.oracles import ORACLES
-from docspark.sources.readers import spread
+from docspark.sources.readers import model_json, spread
 from docspark.streaming import pages as streams
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,8 +42,9 @@ def q05_unbalanced_math(spark, d):
 
 
 def q06_glued_words(spark, d):
+    """Whole texts, each with a made-up word of nought to eight times twelve letters at its end."""
     long = F.concat(F.col("lang"), F.repeat(F.lit("cuavalatrong"), (F.col("doc_id") % 9).cast("int")))
-    made = _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.substring("text", 1, 200), long, F.lit("x")).alias("text"))
+    made = _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", long, F.lit("x")).alias("text"))
     return made.select("doc_id", quality._glued(F.col("text")).alias("glued"))
 
 
@@ -76,8 +78,6 @@ def q10_pipe_table_errors(spark, d):
 
 def _fragments(spark, d) -> DataFrame:
     """Table fragments of a customer, an order each: with a header, without, or with a row in its place."""
-    from pyspark.sql.window import Window
-
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", n.alias("n"))
     row = F.array(F.col("n").cast("string"), F.col("o_orderstatus"))
@@ -127,8 +127,8 @@ def q17_column_merge(spark, d):
 
 
 def _boxes(spark, d) -> DataFrame:
-    """A box for each line item, on the page of its order's thousandth."""
-    x = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 2000).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    """A box for each line item, sixteen order keys to a page: pages grow in number with the orders, not in size."""
+    x = _t(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 16).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     left, top = (F.col("l_partkey") * 37 % 800).cast("double"), F.floor(F.col("l_extendedprice") % 1200).cast("double")
     b = x.select("page", "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), left.alias("l"), top.alias("t"), (left + F.col("l_quantity") * 14 + 10).alias("r"), (top + F.col("l_suppkey") % 90 + 12).alias("b"), "l_quantity")
     return b.groupBy("page", "id").agg(F.min_by(F.struct("l_returnflag", "l", "t", "r", "b"), F.struct("l", "t", "r", "b", "l_returnflag")).alias("x")).select("page", "id", "x.*")
@@ -155,14 +155,18 @@ def q21_exact_dedup(spark, d):
     return assembly.distinct_assets(docs, ["lang"], "doc_id").select("doc_id", "lang", "digest")
 
 
+def _altered(spark, d) -> DataFrame:
+    """Whole benchmark texts and copies of them: `the` spelled otherwise, `and` two words, white space doubled, upper case."""
+    e = F.col("text")
+    return _t(spark, d, "benchmark").select("item_id", e.alias("e"), F.upper(F.replace(F.replace(F.replace(e, F.lit("the"), F.lit("thé")), F.lit("and"), F.lit("an d")), F.lit(" "), F.lit("  "))).alias("a"))
+
+
 def q22_cer(spark, d):
-    b = _t(spark, d, "benchmark").select("item_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 24).alias("e"))
-    return b.select("item_id", scoring.char_error_rate(F.col("e"), F.replace("e", F.lit("a"), F.lit("xy"))).alias("cer"))
+    return _altered(spark, d).select("item_id", scoring.char_error_rate(F.col("e"), F.col("a")).alias("cer"))
 
 
 def q23_wer(spark, d):
-    b = _t(spark, d, "benchmark").select("item_id", F.regexp_replace(F.substring(F.md5(F.col("text").cast("binary")), 1, 12), "(.)", "$1 ").alias("e"))
-    return b.select("item_id", scoring.word_error_rate(F.col("e"), F.replace("e", F.lit("a"), F.lit("b c"))).alias("wer"))
+    return _altered(spark, d).select("item_id", scoring.word_error_rate(F.col("e"), F.col("a")).alias("wer"))
 
 
 def q24_number_f1(spark, d):
@@ -240,8 +244,10 @@ def q34_bench_summary(spark, d):
 
 
 def q35_json_reply(spark, d):
-    e = _t(spark, d, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+    """Properties of events as a model's reply in a code fence; every seventh isn't JSON."""
+    fenced = F.concat(F.lit("```json\n"), F.when(F.col("event_id") % 7 == 0, F.lit("no JSON")).otherwise(F.col("props")), F.lit("\n```"))
+    e = _t(spark, d, "events").select("event_id", model_json(fenced, "map<string,string>").alias("x"))
+    return e.select("event_id", F.element_at("x", "k").alias("k"), F.when(F.col("x").isNull(), -1).otherwise(F.size("x")).cast("long").alias("n_keys"))
 
 
 def q36_quality_rollup(spark, d):
@@ -250,14 +256,23 @@ def q36_quality_rollup(spark, d):
 
 
 def q37_finalise(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\n\n![ a ](.\\x.png)\n\n<table><tr><th>A</th><th>B</th></tr>\n\n<tr><td>1</td><td>2")).alias("text"))
-    return assembly.finalise(docs).select("doc_id", F.md5(F.col("final").cast("binary")).alias("digest"), assembly.describe(F.col("report")).alias("report"))
+    """A page text for each order, with damage of every kind; the table is sound, of uneven rows, or an HTML table left open."""
+    k, s = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    head = F.concat(F.lit("#Order "), k, F.lit(" ## Status "), s, F.lit("\n\nThe order was\nplaced by customer "), F.col("o_custkey").cast("string"), F.lit("\n\n- item\n  goes on here\n\n"))
+    images = F.concat(F.lit("![ a ](.\\img\\"), k, F.lit(".png)\n\n![b](img/"), k, F.lit(".png)\n\nEnd of this page is cut in a sen-\n\n<!-- Page 2 -->\n\ntence of it.\n\nTrang 1/6\n\n"))
+    rows = F.concat(F.lit("| key | status |\n| --- | --- |\n| "), k, F.lit(" | "), s, F.lit(" |"))
+    table = F.when(F.col("o_orderkey") % 3 == 0, rows).when(F.col("o_orderkey") % 3 == 1, F.concat(rows, F.lit(" more |"))).otherwise(F.concat(F.lit("<table><tr><th>key</th><th>status</th></tr>\n\n<tr><td>"), k, F.lit("</td><td>"), s))
+    docs = _t(spark, d, "orders").select("o_orderkey", F.concat(head, images, table).alias("text"))
+    return assembly.finalise(docs).select("o_orderkey", F.md5(F.col("final").cast("binary")).alias("digest"), assembly.describe(F.col("report")).alias("report"))
 
 
 def q38_stream_pages(spark, d):
     import uuid
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/docspark'}/streams/{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = f"{folder or '/tmp/checkpoints/docspark'}/streams/{uuid.uuid4().hex}"
     source = streams.arriving(spark, f"{d}/documents.parque[t]", spark.read.parquet(f"{d}/documents.parquet").schema)
     streams.write(quality.core_report(source, ["doc_id"]), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -273,8 +288,8 @@ def q40_full_gate(spark, d):
 
 
 def q41_progress_windows(spark, d):
-    e = _t(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return e.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    e = streams.progress(_t(spark, d, "events"), width="1 day")
+    return e.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def q42_close_tables(spark, d):
@@ -307,25 +322,46 @@ def q46_unaccented_words(spark, d):
     return t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("n_words"), F.count_distinct(unaccented(F.col("w"))).alias("n_plain"))
 
 
-def q47_glued_words_whole(spark, d):
-    """q06_glued_words over whole texts; the made-up word stands at their end."""
-    long = F.concat(F.col("lang"), F.repeat(F.lit("cuavalatrong"), (F.col("doc_id") % 9).cast("int")))
-    made = _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", long, F.lit("x")).alias("text"))
-    return made.select("doc_id", quality._glued(F.col("text")).alias("glued"))
+def q47_span_boxes(spark, d):
+    """The orders of a customer as lines, each 10 characters further; the even ones begin spans of 15, every fifth inexact, every seventh an image."""
+    o = _t(spark, d, "orders")
+    at = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) * 10
+    rows = o.select("o_custkey", "o_orderkey", at.alias("start"))
+    spans = rows.where("start % 20 = 0").select("o_custkey", F.col("start").alias("md_start"), (F.col("start") + 15).alias("md_end"), F.when(F.col("o_orderkey") % 7 == 0, "image").otherwise("text").alias("kind"), (F.col("o_orderkey") % 5 != 0).alias("exact"), *(F.col("o_orderkey").alias(c) for c in "ltrb"))
+    return review.span_boxes(rows, spans, ["o_custkey"]).select("o_custkey", "o_orderkey", F.coalesce("box.l", F.lit(-1.0)).alias("box"))
 
 
-def _altered(spark, d) -> DataFrame:
-    """Whole benchmark texts and copies of them: `the` spelled otherwise, `and` two words, white space doubled, upper case."""
-    e = F.col("text")
-    return _t(spark, d, "benchmark").select("item_id", e.alias("e"), F.upper(F.replace(F.replace(F.replace(e, F.lit("the"), F.lit("thé")), F.lit("and"), F.lit("an d")), F.lit(" "), F.lit("  "))).alias("a"))
+def _regions(spark, d) -> DataFrame:
+    """A region for each third order of a customer's page."""
+    o = _t(spark, d, "orders").where("o_orderkey % 3 = 0")
+    left, top = (F.col("o_orderkey") * 37 % 600).cast("double"), (F.col("o_orderkey") * 91 % 1100).cast("double")
+    return o.select("o_custkey", left.alias("l"), top.alias("t"), (left + F.col("o_orderkey") % 200 + 20).alias("r"), (top + F.col("o_orderkey") % 70 + 10).alias("b"))
 
 
-def q48_cer_whole(spark, d):
-    return _altered(spark, d).select("item_id", scoring.char_error_rate(F.col("e"), F.col("a")).alias("cer"))
+def q48_ranked_boxes(spark, d):
+    rows = _t(spark, d, "orders").where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderkey")
+    return review.ranked_boxes(rows, _regions(spark, d), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", F.coalesce("box.l", F.lit(-1.0)).alias("l"), F.coalesce("box.t", F.lit(-1.0)).alias("t"))
 
 
-def q49_wer_whole(spark, d):
-    return _altered(spark, d).select("item_id", scoring.word_error_rate(F.col("e"), F.col("a")).alias("wer"))
+def q49_review_boxes(spark, d):
+    o = _t(spark, d, "orders").where("o_orderkey % 3 <> 0")
+    left, top = (F.col("o_orderkey") * 53 % 600).cast("double"), (F.col("o_orderkey") * 29 % 1100).cast("double")
+    boxes = o.select("o_custkey", "o_orderkey", left.alias("l"), top.alias("t"), (left + 50).alias("r"), (top + 20).alias("b"))
+    return review.review_boxes(boxes, _regions(spark, d), ["o_custkey"], "o_orderkey", F.lit(800), F.lit(1200))
+
+
+def q50_merge_column_blocks(spark, d):
+    o = _t(spark, d, "orders")
+    left, top = (F.col("o_orderkey") % 4 * 60).cast("double"), (F.col("o_orderkey") * 7 % 40).cast("double")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) * 30
+    boxes = o.select("o_custkey", "o_orderkey", left.alias("l"), (top + n).alias("t"), (left + 400 + F.col("o_orderkey") % 90).alias("r"), (top + n + 25).alias("b"))
+    return layout.merge_column_blocks(boxes, ["o_custkey"], "o_orderkey", F.lit(1000), F.lit(800)).select("o_custkey", F.col("n").cast("long").alias("n"), "l", "t", "r", "b")
+
+
+def q51_finalise_documents(spark, d):
+    """Every document as a page text, with an image and an HTML table left open."""
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\n\n![ a ](.\\x.png)\n\n<table><tr><th>A</th><th>B</th></tr>\n\n<tr><td>1</td><td>2")).alias("text"))
+    return assembly.finalise(docs).select("doc_id", F.md5(F.col("final").cast("binary")).alias("digest"), assembly.describe(F.col("report")).alias("report"))
 
 
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

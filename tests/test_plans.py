@@ -32,8 +32,8 @@ def _distance(a, b):
 def test_error_rates_of_whole_texts(spark, tmp_path):
     texts = ["The cat and  the dog " * 12 + "sit.", "the Straße, ÉTÉ and\tthen\nand the end", "a", "and the"]
     spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    cer = {r.item_id: r.cer for r in QUERIES["q48_cer_whole"](spark, str(tmp_path)).collect()}
-    wer = {r.item_id: r.wer for r in QUERIES["q49_wer_whole"](spark, str(tmp_path)).collect()}
+    cer = {r.item_id: r.cer for r in QUERIES["q22_cer"](spark, str(tmp_path)).collect()}
+    wer = {r.item_id: r.wer for r in QUERIES["q23_wer"](spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         a, b = (" ".join(x.casefold().split()) for x in (t, t.replace("the", "thé").replace("and", "an d").replace(" ", "  ").upper()))
         assert cer[i] == pytest.approx(_distance(a, b) / len(a))
@@ -45,7 +45,7 @@ def test_glued_words_after_the_200th_character(spark, tmp_path):
     rows = [(0, "word " * 60 + glued + " end", "en"), (9, "word " * 60, "en"), (3, "word " * 60, "en"), (4, "word " * 60, "en")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = lambda q: {r.doc_id: r.glued for r in QUERIES[q](spark, str(tmp_path)).collect()}
-    assert found("q47_glued_words_whole") == {0: True, 9: False, 3: False, 4: True}
+    assert found("q06_glued_words") == {0: True, 9: False, 3: False, 4: True}
 
 
 def test_word_error_rate_of_many_distinct_words(spark):
