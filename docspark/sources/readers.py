@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from docspark.operators.spelling import nfc
 
 #: Columns of a page of a rendered document.
 PAGES = "path string, page_num int, content binary, error string"
+RENDERED = f"{PAGES}, seconds double"
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -77,24 +79,55 @@ def discard_graphic(category: Column, confidence: Column) -> Column:
     return (category.isin("signature", "stamp") & (confidence >= 0.90)) | (category.isin("text_fragment", "decoration", "page_canvas") & (confidence >= 0.95))
 
 
-def render(files: DataFrame, renderer: Callable[[bytes], Iterator[tuple[int, bytes]]], wanted: DataFrame | None = None) -> DataFrame:
-    """PAGES of each file by a renderer, which yields (page, image); a file that fails gives one row with the error.
+#: A renderer gives (page number from 1, image) of those pages of a file's content that it is asked to keep.
+Renderer = Callable[[bytes, Callable[[int], bool]], Iterator[tuple[int, bytes]]]
 
-    wanted (path, page_num) prunes pages; the pruning comes after the renderer,
-    which sees whole files.
+
+def render(files: DataFrame, renderer: Renderer, wanted: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """RENDERED pages of each file; a file that fails gives one row with the error.
+
+    wanted (path, page_num) names the pages to render, and files without any
+    aren't opened; done (path, page_num) names pages that are there already. The
+    renderer asks before each page, so none is rendered to be dropped. seconds is
+    the time that a page took.
     """
+    pages = lambda t, name: t.groupBy("path").agg(F.collect_set(F.col("page_num").cast("int")).alias(name))
+    none = F.lit(None).cast("array<int>")
+    rows = files.select("path", "content")
+    rows = rows.withColumn("asked", none) if wanted is None else rows.join(pages(wanted, "asked"), "path")
+    rows = rows.withColumn("skipped", none) if done is None else rows.join(pages(done, "skipped"), "path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = lambda *row: pd.DataFrame([row], columns=["path", "page_num", "content", "error", "seconds"])
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, asked, skipped in batch.itertuples(index=False):
+                asked, skipped = None if asked is None else set(asked), set() if skipped is None else set(skipped)
+                keep = lambda n, a=asked, s=skipped: (a is None or n in a) and n not in s
                 try:
-                    for n, image in renderer(content):
-                        yield pd.DataFrame([[path, n, image, None]], columns=["path", "page_num", "content", "error"])
+                    start = time.perf_counter()
+                    for n, image in renderer(content, keep):
+                        yield one(path, n, image, None, time.perf_counter() - start)
+                        start = time.perf_counter()
                 except Exception as e:  # noqa: BLE001  a broken file is a row, not the end of the job
-                    yield pd.DataFrame([[path, None, None, str(e)]], columns=["path", "page_num", "content", "error"])
+                    yield one(path, None, None, str(e), None)
+
+    return rows.select("path", "content", "asked", "skipped").mapInPandas(run, RENDERED)
+
+
+def page_counts(files: DataFrame, counter: Callable[[bytes], int]) -> DataFrame:
+    """path, pages, error of each file, by a function that counts the pages of a content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append([path, counter(content), None])
+                except Exception as e:  # noqa: BLE001
+                    rows.append([path, None, str(e)])
+            yield pd.DataFrame(rows, columns=["path", "pages", "error"]).astype({"pages": "Int32"})
 
-    pages = files.select("path", "content").mapInPandas(run, PAGES)
-    return pages if wanted is None else pages.join(wanted, ["path", "page_num"], "left_semi")
+    return files.select("path", "content").mapInPandas(run, "path string, pages int, error string")
 
 
 def usable_native_text(text: Column) -> Column:

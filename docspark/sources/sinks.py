@@ -42,3 +42,15 @@ def write_report(rows: DataFrame, path: str) -> None:
     """Rows as CSV with a header under path/csv, and as JSON under path/json."""
     rows.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
     rows.write.mode("overwrite").json(f"{path}/json")
+
+
+def write_lexicon(lexicon: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Words, accent candidates and bigrams of a lexicon as JSON lines of one object under path, as load_lexicon() reads them.
+
+    A lexicon is of one language: its entries fit one row.
+    """
+    words, accents, bigrams = lexicon
+    one = words.agg(F.sort_array(F.collect_set("w")).alias("words"))
+    two = accents.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("plain", "forms")))).alias("accent_candidates"))
+    three = bigrams.agg(F.sort_array(F.collect_set(F.concat_ws(" ", "left", "right"))).alias("bigrams"))
+    one.join(two).join(three).coalesce(1).write.mode("overwrite").json(path)

@@ -40,14 +40,33 @@ def test_graphic_replies(spark):
 
 
 def test_render_prunes_and_keeps_errors(spark):
-    files = spark.createDataFrame([("a", b"12"), ("b", b"")], "path string, content binary")
+    files = spark.createDataFrame([("a", b"123"), ("b", b""), ("c", b"99")], "path string, content binary")
 
-    def renderer(content):
+    def renderer(content, keep):
         if not content:
             raise ValueError("empty")
-        yield from ((i + 1, bytes([c])) for i, c in enumerate(content))
-
-    assert {(r.path, r.page_num, r.error) for r in readers.render(files, renderer).collect()} == {("a", 1, None), ("a", 2, None), ("b", None, "empty")}
+        for i, c in enumerate(content):
+            if keep(i + 1):
+                assert c != ord("9"), "a page that nobody wants was rendered"
+                yield i + 1, bytes([c])
+
+    pages = lambda *rows: spark.createDataFrame(list(rows), "path string, page_num int")
+    got = lambda **options: {(r.path, r.page_num, r.error) for r in readers.render(files.where(options.pop("where", "true")), renderer, **options).collect()}
+    assert got(where="path < 'c'") == {("a", 1, None), ("a", 2, None), ("a", 3, None), ("b", None, "empty")}
+    assert got(wanted=pages(("a", 2), ("a", 9))) == {("a", 2, None)}
+    assert got(done=pages(("a", 1), ("c", 1), ("c", 2))) == {("a", 2, None), ("a", 3, None), ("b", None, "empty")}
+    assert got(wanted=pages(("a", 1), ("a", 2)), done=pages(("a", 1))) == {("a", 2, None)}
+    assert {(r.path, r.pages, r.error) for r in readers.page_counts(files, lambda c: len(c) or 1 // 0).collect()} == {("a", 3, None), ("b", None, "integer division or modulo by zero"), ("c", 2, None)}
+
+
+def test_lexicon_round_trip(spark, tmp_path):
+    from docspark.operators import spelling
+
+    lexicon = spelling.build_lexicon(spark.createDataFrame([("hòa bình",), ("hòa",), ("bình",), ("hoa",)], "entry string"))
+    sinks.write_lexicon(lexicon, f"{tmp_path}/lexicon")
+    again = spelling.load_lexicon(spark, f"{tmp_path}/lexicon")
+    for a, b in zip(lexicon, again, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
 def test_engine_retries():
