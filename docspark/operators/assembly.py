@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docspark.functions import markup, repair
-from docspark.functions.text import strip
+from docspark.functions.text import let, strip
 from docspark.operators import quality, spelling
 
 
@@ -41,6 +41,42 @@ def fill_slots(slots: DataFrame, items: DataFrame, page: list[str], slot_order:
     return s.join(i, [*page, "k"], "full_outer").select(*page, "k", "slot", "item")
 
 
+#: Text of an image that has none of its own (fixed value).
+NO_LABEL = "Hình ảnh"
+
+
+def link_images(text: Column, paths: Column) -> Column:
+    """Struct (text, remaining) of a page: its image placeholders as links to the paths that it doesn't link yet, in order; surplus placeholders go, surplus paths remain.
+
+    Markdown placeholders come first, then HTML ones, then bare words; an image
+    tag left open at the end of a line is a placeholder too. Nulls give nulls.
+    """
+    target = markup.IMAGE_TARGET
+    kinds = (rf"!\[[^\]]*\]\(\s*{target}\s*\)", rf"<img\b[^>]*\bsrc\s*=\s*['\"]{target}['\"][^>]*>", rf"(?<![\w/.-]){target}(?![\w/.-])")
+    pattern = "(?i)" + "|".join(kinds)
+    whole = F.regexp_replace(text, r"(?m)!\[([^\]\n]+)$", "![$1](image_placeholder.png)")
+    free = F.filter(paths, lambda p: ~F.contains(text, F.concat(F.lit("]("), p, F.lit(")"))))
+
+    def linked(x: Column) -> Column:
+        kind = lambda h: F.when(h.startswith("!["), 0).when(h.startswith("<"), 1).otherwise(2)
+        hits = F.transform(x["hits"], lambda h: F.struct(h.alias("hit"), kind(h).alias("kind")))
+        before = lambda h, i: F.size(F.filter(hits, lambda o, j: (o["kind"] < h["kind"]) | (o["kind"] == h["kind"]) & (j < i)))
+        label = lambda h: F.when(h["kind"] == 0, F.regexp_extract(h["hit"], r"!\[([^\]]*)\]", 1)).when(h["kind"] == 1, F.regexp_extract(h["hit"], r"(?i)\balt\s*=\s*(['\"])(.*?)\1", 2)).otherwise("")
+        named = lambda h: F.when(label(h) == "", NO_LABEL).otherwise(label(h))
+        image = lambda h, path: F.when(path.isNull(), "").otherwise(F.concat(F.lit("!["), named(h), F.lit("]("), path, F.lit(")")))
+        links = F.transform(hits, lambda h, i: image(h, F.get(x["free"], before(h, i))))
+        parts = F.transform(F.arrays_zip(x["gaps"].alias("gap"), links.alias("link")), lambda z: F.concat(z["gap"], F.coalesce(z["link"], F.lit(""))))
+        return F.struct(F.array_join(parts, "").alias("text"), F.slice(x["free"], F.size(x["hits"]) + 1, F.greatest(F.size(x["free"]), F.lit(1))).alias("remaining"))
+
+    found = F.struct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)).alias("hits"), F.split(whole, pattern, -1).alias("gaps"), free.alias("free"))
+    return F.when(text.isNotNull() & paths.isNotNull(), let(found, linked))
+
+
+def without_blank(pages: DataFrame, blank: DataFrame, on: list[str]) -> DataFrame:
+    """The pages that aren't among the blank ones."""
+    return pages.join(blank.select(*on).distinct(), on, "left_anti")
+
+
 def with_offsets(blocks: DataFrame, page: list[str], order: str, content: str = "content", gap: int = 2) -> DataFrame:
     """Non-empty blocks with md_start and md_end, their places in the page text that joins them by blank lines."""
     w = Window.partitionBy(*page).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

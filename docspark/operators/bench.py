@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions import scoring
+
 #: Seconds a page over which a configuration is out.
 LIMIT = 120
 
@@ -63,3 +65,10 @@ def elapsed(seconds: Column) -> Column:
 def progress(done: Column, total: Column) -> Column:
     """Per cent of recognition, 90 at most; 0 of no pages."""
     return F.when(total > 0, F.least(F.lit(90.0), done / total * 90)).otherwise(0.0)
+
+
+def against_truth(outputs: DataFrame, truth: DataFrame, on: str = "stem", text: str = "text") -> DataFrame:
+    """outputs with the scores of their text against the true text of the same name; null scores where there is none."""
+    known = truth.select(on, F.col(text).alias("true_text"))
+    scored = F.when(F.col("true_text").isNotNull(), scoring.scores(F.col("true_text"), F.col(text)))
+    return outputs.join(known, on, "left").withColumn("scores", scored).drop("true_text")

@@ -52,6 +52,13 @@ def with_overlap(boxes: DataFrame, others: DataFrame, page: list[str], test=inte
     return boxes.alias("x").join(others.alias("y"), [*on, test("x", "y")], "left_semi")
 
 
+def retained(blocks: DataFrame, accepted: DataFrame, page: list[str]) -> DataFrame:
+    """Blocks (kind, l, t, r, b) without the images whose box isn't among the accepted ones of their page."""
+    keys = [*page, "l", "t", "r", "b"]
+    images = blocks.where("kind = 'image'").join(accepted.select(*keys).distinct(), keys, "left_semi").select(*blocks.columns)
+    return blocks.where(~F.col("kind").eqNullSafe("image")).unionByName(images)
+
+
 def columns(regions: DataFrame, page: list[str], width: Column) -> DataFrame:
     """page, island, left, right, cut of the columns of a page: regions merged from the left, parted by gaps over 5 % of the width.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docspark.functions.text import casefold, count, lines, strip, words
+from docspark.functions.text import casefold, lines, strip, words
 
 #: Severity of each reason (fixed values); any other reason is medium.
 SEVERITY = {
@@ -138,17 +138,28 @@ def disagreements(candidates_lines: DataFrame, rereads: DataFrame, keys: list[st
     return j.where((F.trim("again") != "") & (similarity(F.trim("text"), F.trim("again")) < 0.72)).drop("again").withColumn("reason", F.lit("ocr_disagreement"))
 
 
-def nearby_groups(candidates: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
-    """candidates with grp: one that stands at most two lines after the one before joins it; `most` to a group."""
+def nearby_groups(candidates: DataFrame, keys: list[str], most: int = 2, height: Column | None = None) -> DataFrame:
+    """candidates with grp: one that is near the one before joins it; `most` to a group.
+
+    Near is at most two lines after; with the page's height, where both have a box
+    (l, t, r, b), it is an upright gap of at most 8 % of that and sides that
+    overlap.
+    """
     w = Window.partitionBy(*keys).orderBy("line_idx")
-    g = candidates.withColumn("n", F.row_number().over(w)).withColumn("near", F.coalesce(F.col("line_idx") - F.lag("line_idx").over(w) <= 2, F.lit(False)))
+    near = F.col("line_idx") - F.lag("line_idx").over(w) <= 2
+    if height is not None:
+        before = {c: F.lag(c).over(w) for c in "ltrb"}
+        gap = F.greatest(F.lit(0.0), F.col("t") - before["b"], before["t"] - F.col("b"))
+        beside = F.least("r", before["r"]) > F.greatest("l", before["l"])
+        near = F.when(F.col("l").isNotNull() & before["l"].isNotNull(), (gap <= 0.08 * height) & beside).otherwise(near)
+    g = candidates.withColumn("n", F.row_number().over(w)).withColumn("near", F.coalesce(near, F.lit(False)))
     joined = F.col("near") & (F.col("n") <= most)
     return g.withColumn("grp", F.sum((~joined).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("n", "near")
 
 
-def ungrouped_characters(c: Column) -> Column:
-    """Letters and digits of a line: what a second reading is measured against."""
-    return count(c, r"[\p{L}\p{N}]")
+def of_unsound_pages(candidates: DataFrame, score: str = "score") -> DataFrame:
+    """Candidates of pages below the full score; of others only missing footers. A null score counts as below."""
+    return candidates.where((F.coalesce(F.col(score), F.lit(0.0)) < 100) | F.array_contains("reasons", FOOTER))
 
 
 def span_boxes(rows: DataFrame, spans: DataFrame, page: list[str], start: str = "start") -> DataFrame:

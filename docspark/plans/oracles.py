@@ -396,4 +396,27 @@ WITH RECURSIVE o AS (
 )
 SELECT o_custkey, n, greatest(min(l) - 5, 0) AS l, greatest(min(t) - 5, 0) AS t, least(max(r) + 5, 1000) AS r, least(max(b) + 5, 800) AS b FROM m GROUP BY o_custkey, n
 """,
+    "q52_link_images": """
+WITH o AS (SELECT o_orderkey, o_orderkey % 4 = 0 AS own, list_filter(list_transform(range(o_orderkey % 6), lambda i: 'p' || i || '.png'), lambda p: NOT (o_orderkey % 4 = 0 AND p = 'p0.png')) AS f FROM orders),
+i AS (SELECT * FROM o)
+SELECT o_orderkey, coalesce('![one](' || f[1] || ')', '') || ' ' || coalesce('![two](' || f[3] || ')', '') || ' ' || coalesce('![Hình ảnh](' || f[4] || ')', '') || ' ' || coalesce('![Hình ảnh](' || f[2] || ')', '') || ' ' || o_orderkey
+  || CASE WHEN own THEN ' ![own](p0.png)' ELSE '' END AS text, array_to_string(f[5:], ',') AS remaining FROM i
+""",
+    "q53_retained_blocks": """
+WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'image' ELSE 'text' END AS kind, o_orderkey % 5 AS l, o_orderkey % 7 AS t, o_orderkey % 3 AS r, o_orderkey % 2 AS b FROM orders)
+SELECT o_custkey, o_orderkey, kind FROM o WHERE kind = 'text' OR EXISTS (SELECT 1 FROM o a WHERE a.o_custkey = o.o_custkey AND a.kind = 'image' AND a.o_orderkey % 3 = 0 AND (a.l, a.t, a.r, a.b) = (o.l, o.t, o.r, o.b))
+""",
+    "q54_unsound_pages": f"WITH {_CANDIDATES} SELECT page, line_idx, severity FROM c WHERE page % 3 <> 0 OR reason = 'possible_missing_printed_footer'",
+    "q55_nearby_boxes": f"""
+WITH {_CANDIDATES}, x AS (SELECT page, line_idx, line_idx % 5 <> 0 AS boxed, page % 50 AS l, line_idx * 40 % 130 AS t, page % 50 + line_idx * 5 + 1 AS r, line_idx * 40 % 130 + 20 AS b FROM c),
+y AS (SELECT *, row_number() OVER w AS n, lag(line_idx) OVER w AS i, lag(boxed) OVER w AS pb, lag(l) OVER w AS pl, lag(t) OVER w AS pt, lag(r) OVER w AS pr, lag(b) OVER w AS pe FROM x WINDOW w AS (PARTITION BY page ORDER BY line_idx)),
+z AS (SELECT *, n = 2 AND coalesce(CASE WHEN boxed AND pb THEN greatest(0, t - pe, pt - b) <= 80 AND least(r, pr) > greatest(l, pl) ELSE line_idx - i <= 2 END, false) AS joins FROM y)
+SELECT page, line_idx, sum((NOT joins)::INT) OVER (PARTITION BY page ORDER BY line_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS grp FROM z
+""",
+    "q56_against_truth": f"""
+WITH {_ALTERED}, k AS (SELECT item_id, e, a, list_sort(list_distinct(string_split(e || a, ''))) AS known FROM n), c AS (SELECT item_id, levenshtein({_as_bytes("string_split(e, '')")}, {_as_bytes("string_split(a, '')")}) / length(e) AS cer FROM k),
+w AS (SELECT item_id, string_split(e, ' ') AS e, string_split(a, ' ') AS a FROM n), v AS (SELECT *, list_sort(list_distinct(list_concat(e, a))) AS known FROM w)
+SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN cer ELSE -1 END AS cer, CASE WHEN item_id % 3 <> 0 THEN levenshtein({_as_bytes("e")}, {_as_bytes("a")}) / len(e) ELSE -1 END AS wer FROM v JOIN c USING (item_id)
+""",
+    "q57_without_blank": f"SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 AND {_strip("text")} <> ''",
 }

@@ -364,4 +364,44 @@ def q51_finalise_documents(spark, d):
     return assembly.finalise(docs).select("doc_id", F.md5(F.col("final").cast("binary")).alias("digest"), assembly.describe(F.col("report")).alias("report"))
 
 
+def q52_link_images(spark, d):
+    """Two Markdown placeholders about an HTML and a bare one, and the paths of none to five images, the first of which may be linked already."""
+    k = F.col("o_orderkey").cast("string")
+    paths = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 6).cast("int")), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(".png")))
+    text = F.concat(F.lit("![one](image_placeholder.png) <img alt='two' src='x/image_placeholder'> image_placeholder.jpg ![](a/image_placeholder) "), k, F.when(F.col("o_orderkey") % 4 == 0, " ![own](p0.png)").otherwise(""))
+    linked = _t(spark, d, "orders").select("o_orderkey", assembly.link_images(text, F.slice(paths, 1, (F.col("o_orderkey") % 6).cast("int"))).alias("x"))
+    return linked.select("o_orderkey", "x.text", F.array_join("x.remaining", ",").alias("remaining"))
+
+
+def q53_retained_blocks(spark, d):
+    o = _t(spark, d, "orders")
+    boxes = o.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "image").otherwise("text").alias("kind"), *(F.floor(F.col("o_orderkey") % n).alias(c) for c, n in zip("ltrb", (5, 7, 3, 2), strict=True)))
+    accepted = boxes.where("kind = 'image' AND o_orderkey % 3 = 0")
+    return layout.retained(boxes, accepted, ["o_custkey"]).select("o_custkey", "o_orderkey", "kind")
+
+
+def q54_unsound_pages(spark, d):
+    scored = _candidates(spark, d).withColumn("score", F.when(F.col("page") % 3 == 0, 100.0).when(F.col("page") % 3 == 1, 85.0))
+    return review.of_unsound_pages(scored).select("page", "line_idx", "severity")
+
+
+def q55_nearby_boxes(spark, d):
+    top = (F.col("line_idx") * 40 % 130).cast("double")
+    left = F.when(F.col("line_idx") % 5 != 0, (F.col("page") % 50).cast("double"))
+    boxed = _candidates(spark, d).withColumns({"l": left, "t": top, "r": F.col("page") % 50 + F.col("line_idx") * 5 + 1.0, "b": top + 20})
+    found = review.nearby_groups(boxed, ["page"], height=F.lit(1000.0))
+    return found.select("page", "line_idx", F.col("grp").cast("long").alias("grp"))
+
+
+def q56_against_truth(spark, d):
+    b = _altered(spark, d)
+    found = bench.against_truth(b.select("item_id", F.col("a").alias("text")), b.where("item_id % 3 <> 0").select("item_id", F.col("e").alias("text")), "item_id")
+    return found.select("item_id", F.coalesce("scores.cer", F.lit(-1.0)).alias("cer"), F.coalesce("scores.wer", F.lit(-1.0)).alias("wer"))
+
+
+def q57_without_blank(spark, d):
+    c = _t(spark, d, "conversations")
+    return assembly.without_blank(c.select("conv_id", "turn"), c.where(markup.is_blank_response(F.when(F.col("turn") % 3 == 0, "(empty response)").otherwise(F.col("text")))), ["conv_id", "turn"])
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
