@@ -34,6 +34,21 @@ PROFILES = {
 }
 
 
+#: By how much a scanner's band is darker than the page (fixed values).
+DARKER, MUCH_DARKER = 24.0, 35.0
+#: Other names of the sensitivities (fixed values).
+ALIASES = {"an toàn": "safe", "an toan": "safe", "chuẩn": "standard", "chuan": "standard", "mạnh mẽ": "aggressive", "manh me": "aggressive", "mạnh": "aggressive", "manh": "aggressive"}
+
+
+def sensitivity_name(name: str | None) -> str:
+    """The profile of a name, its case and white space aside; safe if there is none, an error if it is unknown."""
+    given = (name or "safe").strip().casefold()
+    found = ALIASES.get(given, given)
+    if found not in PROFILES:
+        raise ValueError(f"no sensitivity {name!r}; there are {', '.join(PROFILES)}")
+    return found
+
+
 def decode(data: bytes | None, height: int, width: int, channels: int) -> np.ndarray | None:
     """Grey and colour planes of Spark's image struct (rows of BGR or grey bytes); None if they don't fit."""
     if not data or height <= 0 or width <= 0 or channels not in (1, 3, 4) or len(data) != height * width * channels:
@@ -99,20 +114,33 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return [tuple(v) for v in out.values()]
 
 
-def crop_borders(grey: np.ndarray, p: Profile) -> tuple[slice, slice]:
-    """The page without its margin and the dark bands of a scanner along its edges; a band of a quarter or more isn't one."""
+def _band(lines: np.ndarray, background: float, most: int, p: Profile) -> int:
+    """Depth of a scanner's dark band at the first of some pixel lines; it ends before two lines in a row that aren't dark.
+
+    A line is dark if a share of it, by the profile, is darker than the background
+    by DARKER, or if its median is by MUCH_DARKER.
+    """
+    part = lines[: max(most, 0)]
+    if not part.size:
+        return 0
+    dark = ((part < np.clip(background - DARKER, 0, 220)).mean(1) >= p.border_occupancy) | (np.median(part, axis=1) <= background - MUCH_DARKER)
+    light = ~dark
+    ends = np.flatnonzero(light & np.concatenate([light[1:], [False]]))
+    inside = dark[: ends[0]] if len(ends) else dark
+    return int(np.flatnonzero(inside)[-1]) + 1 if dark[0] else 0
 
-    def depth(dark: np.ndarray) -> int:
-        most = int(len(dark) * p.max_border)
-        light = np.flatnonzero(dark[: max(most, 1)] < p.border_occupancy)
-        n = int(light[0]) if len(light) else most
-        return 0 if n >= 0.25 * len(dark) else n
 
-    dark = grey < np.percentile(grey, 75) * 0.6
+def crop_borders(grey: np.ndarray, p: Profile) -> tuple[slice, slice]:
+    """The page without its margin and the dark bands of a scanner along its edges; bands of a quarter or more in all aren't ones."""
+    background = float(np.percentile(grey, 90))
     cut = []
-    for share, n in ((dark.mean(1), grey.shape[0]), (dark.mean(0), grey.shape[1])):
-        margin = int(n * p.base_margin)
-        cut.append(slice(max(margin, depth(share)), n - max(margin, depth(share[::-1]))))
+    for lines in (grey, grey.T):
+        n = len(lines)
+        margin, most = max(1, int(n * p.base_margin)), max(1, int(n * p.max_border))
+        first, last = (max(margin, _band(x, background, most, p)) for x in (lines, lines[::-1]))
+        if first + last >= 0.25 * n:
+            first = last = margin
+        cut.append(slice(first, n - last))
     return cut[0], cut[1]
 
 
@@ -149,7 +177,7 @@ def classify(pixels: np.ndarray | None, sensitivity: str = "standard") -> str:
     """blank, content or uncertain; an unreadable image is uncertain."""
     if pixels is None or min(pixels.shape[:2]) < 8:
         return "uncertain"
-    p, small = PROFILES[sensitivity], shrink(pixels)
+    p, small = PROFILES[sensitivity_name(sensitivity)], shrink(pixels)
     grey = small.mean(2)
     rows, cols = crop_borders(grey, p)
     grey, colour = grey[rows, cols], small[rows, cols]
@@ -201,12 +229,33 @@ def chromatic_regions(pixels: np.ndarray, most: int = 4) -> list[tuple[float, fl
     return [b[1:] for b in sorted(boxes, reverse=True)[:most]]
 
 
-def page_state(image: Column, sensitivity: str = "standard") -> Column:
-    """State of Spark's image column; null is uncertain."""
+def _planes(images: pd.DataFrame) -> list[np.ndarray | None]:
+    rows = zip(images["data"], images["height"], images["width"], images["nChannels"], strict=True)
+    whole = lambda n: 0 if pd.isna(n) else int(n)
+    return [decode(d if isinstance(d, bytes) else None, whole(h), whole(w), whole(c)) for d, h, w, c in rows]
+
+
+def page_state(image: Column, sensitivity: str = "standard", masked: Column | None = None) -> Column:
+    """State of Spark's image column; null is uncertain. masked is an array of normalised boxes (l, t, r, b) that are whited out first."""
+    name = sensitivity_name(sensitivity)
+    boxes = F.array().cast("array<struct<l:double,t:double,r:double,b:double>>") if masked is None else masked
 
     @F.pandas_udf(T.StringType())
-    def state(images: pd.DataFrame) -> pd.Series:
-        rows = zip(images["data"], images["height"], images["width"], images["nChannels"], strict=True)
-        return pd.Series([classify(decode(d, int(h or 0), int(w or 0), int(c or 0)), sensitivity) for d, h, w, c in rows])
+    def state(images: pd.DataFrame, regions: pd.Series) -> pd.Series:
+        out = []
+        for pixels, found in zip(_planes(images), regions, strict=True):
+            given = [] if found is None else [(x["l"], x["t"], x["r"], x["b"]) for x in found]
+            out.append(classify(mask_regions(pixels, given) if pixels is not None and given else pixels, name))
+        return pd.Series(out)
+
+    return F.coalesce(state(image, boxes), F.lit("uncertain"))
+
+
+def graphics(image: Column, most: int = 4) -> Column:
+    """Array of normalised boxes (l, t, r, b) of the coloured graphics of Spark's image column, those with most ink first; none of a null or unreadable one."""
+
+    @F.pandas_udf("array<struct<l:double,t:double,r:double,b:double>>")
+    def found(images: pd.DataFrame) -> pd.Series:
+        return pd.Series([[] if p is None else [dict(zip("ltrb", map(float, x), strict=True)) for x in chromatic_regions(p, most)] for p in _planes(images)])
 
-    return F.coalesce(state(image), F.lit("uncertain"))
+    return found(image)

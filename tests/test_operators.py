@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import htmltables, loops
@@ -211,6 +212,31 @@ def test_blank_pages():
     assert images.classify(images.mask_regions(stamp, [(0.3, 0.2, 0.6, 0.45)])) == "blank"
 
 
+def test_scanner_bands_and_sensitivities(spark):
+    page = np.full((400, 300), 240.0)
+    page[:12], page[:, -9:] = 20, 30
+    rows, cols = images.crop_borders(page, images.PROFILES["safe"])
+    assert (rows, cols) == (slice(12, 392), slice(6, 291))
+    page[:60] = 20
+    assert images.crop_borders(page, images.PROFILES["safe"])[0] == slice(36, 392)
+    page[:200] = 20
+    assert images.crop_borders(np.full((40, 40), 9.0), images.PROFILES["safe"]) == (slice(1, 39), slice(1, 39))
+    assert [images.sensitivity_name(x) for x in (None, " Chuẩn ", "MANH", "safe")] == ["safe", "standard", "aggressive", "safe"]
+    with pytest.raises(ValueError):
+        images.sensitivity_name("bold")
+
+
+def test_masked_pages_and_graphics_as_columns(spark):
+    white = np.full((400, 300, 3), 250, np.uint8)
+    stamp = white.copy()
+    stamp[150:210, 100:160] = (40, 40, 220)
+    rows = [(i, p.shape[0], p.shape[1], 3, p.tobytes()) for i, p in enumerate([white, stamp])] + [(2, None, None, None, None)]
+    table = spark.createDataFrame(rows, "i int, height int, width int, nChannels int, data binary").select("i", F.struct("height", "width", "nChannels", "data").alias("image"))
+    boxes = images.graphics(F.col("image"))
+    got = {r.i: (r.n, r.bare, r.masked) for r in table.withColumn("g", boxes).select("i", F.size("g").alias("n"), images.page_state(F.col("image")).alias("bare"), images.page_state(F.col("image"), masked=F.col("g")).alias("masked")).collect()}
+    assert got == {0: (0, "blank", "blank"), 1: (1, "content", "blank"), 2: (0, "uncertain", "uncertain")}
+
+
 def test_bench(spark):
     rows = spark.createDataFrame([("a", "OK", 10.0, 90.0, 5.0, 1, 0, 0), ("a", "OK", 130.0, 80.0, 7.0, 0, 0, 0), ("b", "ERROR", 1.0, 1.0, 1.0, 0, 0, 0)], "config string, status string, seconds_per_page double, quality_score double, vram_mb_peak double, retry_count int, timeout_count int, cuda_oom_count int")
     got = {r.config: r for r in bench.summary(rows).collect()}
