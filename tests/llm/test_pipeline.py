@@ -1,11 +1,17 @@
+import base64
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
+import pandas as pd
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from docspark.llm import common, mixing, quality
+from docspark.llm.queries import ORACLES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -54,6 +60,40 @@ def test_run_is_the_stages_in_turn(spark, folder):
     assert one == two and one
 
 
+def brute_rows(rows):
+    """Counter of (doc_id, n_tokens) of the whole pipeline by plain loops, and by SQL for the mix; no cutoff is certified by 50 labels."""
+    grams = lambda t: Counter(zip(*(t.split()[k:] for k in range(5)), strict=False))
+    again = lambda w: len({j + k for j in range(len(w) - 2) if Counter(zip(w, w[1:], w[2:], strict=False))[tuple(w[j : j + 3])] > 1 for k in range(3)})
+    rows = [r for r in rows if (w := (r[1] or "").split()) and len(w) >= 50 and 100 * again(w) <= 50 * len(w)]
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    rows = [max(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in groups.values()]
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    name = {r[0]: r[0] for r in known}
+    for a in known:
+        for b in known:
+            x, y = grams(a[1]), grams(b[1])
+            same = (x & y).total()
+            if a[0] < b[0] and same >= 0.8 * (x.total() + y.total() - same):
+                old, new = max(name[a[0]], name[b[0]]), min(name[a[0]], name[b[0]])
+                name = {k: new if v == old else v for k, v in name.items()}
+    rows = [r for r in rows if r[0] is None or name[r[0]] == r[0]]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"}))
+    times = {int(i): int(taken // size) for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({ORACLES['op7_mixing']}) WHERE doc_id IS NOT NULL AND size > 0").fetchall()}
+    with open(public_tokenizers.path(corpus_pipeline.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Counter({(r[0], len(coder.encode_ordinary(r[1]))): times[r[0]] for r in rows if r[0] is not None and times.get(r[0])})
+
+
+def test_run_against_brute_force(spark, folder):
+    rows = [tuple(r) for r in common.documents(spark, folder).collect()]
+    got = Counter((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, folder).collect() if r.doc_id is not None)
+    assert got == brute_rows(rows) and got.total() > 80
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
