@@ -87,9 +87,11 @@ def word_run(c: Column, least_words: int = 8) -> Column:
 
 def _loop_lines(c: Column) -> Column:
     """Lines, normalised; empty where a line can't be part of a loop (blank, structural, short, protected)."""
-    safe = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?ms)^[^\S\n]*(?:```|~~~).*?(?:^[^\S\n]*(?:```|~~~)[^\n]*$|\z)", "```")
-    safe = F.regexp_replace(safe, r"(?ms)^[^\S\n]*\$\$[^\S\n]*$.*?(?:^[^\S\n]*\$\$[^\S\n]*$|\z)", "\\$\\$")
-    safe = F.regexp_replace(safe, r"(?is)<table\b.*?(?:</table>|\z)", "<t>")
+    # A pattern runs only over texts that hold its sign.
+    only = lambda text, signs, pattern, to: let(text, lambda t: F.when(functools.reduce(operator.or_, (t.contains(x) for x in signs)), F.regexp_replace(t, pattern, to)).otherwise(t))
+    safe = only(F.coalesce(c, F.lit("")), ("```", "~~~"), r"(?ms)^[^\S\n]*(?:```|~~~).*?(?:^[^\S\n]*(?:```|~~~)[^\n]*$|\z)", "```")
+    safe = only(safe, ("$$",), r"(?ms)^[^\S\n]*\$\$[^\S\n]*$.*?(?:^[^\S\n]*\$\$[^\S\n]*$|\z)", "\\$\\$")
+    safe = only(safe, ("<",), r"(?is)<table\b.*?(?:</table>|\z)", "<t>")
     fit = lambda x: ~x.rlike(markup.BLOCK_START) & ~x.rlike(r"^\s*[<!|]") & (count(x, r"\p{L}") >= 15) & (F.length(strip(x)) >= 24)
     return F.transform(lines(safe), lambda x: F.when(fit(x), casefold(squeeze(x))).otherwise(""))
 
