@@ -72,6 +72,43 @@ def link_images(text: Column, paths: Column) -> Column:
     return F.when(text.isNotNull() & paths.isNotNull(), let(found, linked))
 
 
+def fill_formulas(text: Column, formulas: Column) -> Column:
+    """Formula placeholders of a text filled in order; surplus placeholders go, surplus formulas follow as paragraphs. Nulls give null."""
+    pattern = "(?i)formula_placeholder"
+
+    def filled(x: Column) -> Column:
+        gaps, n = x["gaps"], F.size(x["gaps"]) - 1
+        whole = F.array_join(F.transform(gaps, lambda gap, i: F.when(i < n, F.concat(gap, F.coalesce(F.get(x["formulas"], i), F.lit("")))).otherwise(gap)), "")
+        rest = F.slice(x["formulas"], n + 1, F.greatest(F.size(x["formulas"]), F.lit(1)))
+        return F.when(F.size(rest) > 0, F.array_join(F.concat(F.array(F.regexp_replace(whole, r"(?U)\s+$", "")), rest), "\n\n")).otherwise(whole)
+
+    return F.when(text.isNotNull() & formulas.isNotNull(), let(F.struct(F.split(text, pattern, -1).alias("gaps"), formulas.alias("formulas")), filled))
+
+
+def insert_images(text: Column, paths: Column, kinds: Column) -> Column:
+    """The images that a page doesn't link yet, as paragraphs at their place in the layout.
+
+    The k-th image block of kinds stands at its share of the blocks, and the k-th
+    path goes before the paragraph at the same share of the paragraphs, or last if
+    there is no such block. Nulls give null.
+    """
+    link = lambda p: F.concat(F.lit(f"![{NO_LABEL}]("), p, F.lit(")"))
+
+    def placed(x: Column) -> Column:
+        n = F.size(x["parts"])
+        share = F.filter(F.transform(x["kinds"], lambda kind, i: F.when(kind == "image", i / F.size(x["kinds"]))), lambda v: v.isNotNull())
+        at = lambda k: F.bround(F.coalesce(F.get(share, k), F.lit(1.0)) * n).cast("int")
+        tags = F.transform(x["paths"], lambda p, k: F.struct(at(k).alias("at"), p.alias("path")))
+        free = F.filter(tags, lambda t: ~F.contains(text, F.concat(F.lit("]("), t["path"], F.lit(")"))))
+        here = lambda i: F.transform(F.filter(free, lambda t: t["at"] == i), lambda t: link(t["path"]))
+        one = lambda i: F.when(i < n, F.array(F.get(x["parts"], i))).otherwise(F.array().cast("array<string>"))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(here(i), one(i))))
+        return F.when(F.size(free) == 0, text).otherwise(F.array_join(every, "\n\n"))
+
+    parts = F.filter(F.split(strip(text), r"\n{2,}"), lambda p: strip(p) != "")
+    return F.when(text.isNotNull() & paths.isNotNull() & kinds.isNotNull(), let(F.struct(parts.alias("parts"), paths.alias("paths"), kinds.alias("kinds")), placed))
+
+
 def without_blank(pages: DataFrame, blank: DataFrame, on: list[str]) -> DataFrame:
     """The pages that aren't among the blank ones."""
     return pages.join(blank.select(*on).distinct(), on, "left_anti")

@@ -166,6 +166,39 @@ def merge_column_blocks(blocks: DataFrame, page: list[str], order: str, width: C
     return g.select(*page, F.inline(F.transform(merged, wider)))
 
 
+def near_groups(boxes: np.ndarray, gap: float = 30.0) -> np.ndarray:
+    """Boxes (l, t, r, b) joined to their bounding box while two lie less than gap apart; from the top, then the left.
+
+    Each round joins the groups of boxes that are near, through any number of
+    others, so that rounds are few.
+    """
+    while True:
+        l, t, r, b = boxes.T  # noqa: E741
+        near = (l[:, None] < r + gap) & (l < r[:, None] + gap) & (t[:, None] < b + gap) & (t < b[:, None] + gap)
+        group = np.arange(len(boxes))
+        while True:
+            least = np.array([group[row].min() for row in near], int)
+            if (least == group).all():
+                break
+            group = least
+        names = np.unique(group)
+        if len(names) == len(boxes):
+            return boxes[np.lexsort((boxes[:, 0], boxes[:, 1]))]
+        boxes = np.array([[*boxes[group == k, :2].min(0), *boxes[group == k, 2:].max(0)] for k in names])
+
+
+def merge_near(boxes: DataFrame, page: list[str], gap: float = 30.0) -> DataFrame:
+    """page, n, l, t, r, b: near_groups of each page's boxes; the pairs of one page's boxes are formed in its task."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = near_groups(pdf[["l", "t", "r", "b"]].to_numpy(float), gap)
+        return pd.DataFrame([[*pdf[page].iloc[0], k, *x] for k, x in enumerate(found)], columns=[*page, "n", "l", "t", "r", "b"])
+
+    kinds = dict(boxes.dtypes)
+    good = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in "ltrb")).select(*page, "l", "t", "r", "b")
+    return good.groupBy(*page).applyInPandas(merge, ", ".join([*(f"`{p}` {kinds[p]}" for p in page), "n int, l double, t double, r double, b double"]))
+
+
 def _cuts(low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:
     """Island of each interval; islands lie at least gap apart."""
     order = np.argsort(low, kind="stable")

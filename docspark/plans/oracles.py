@@ -419,4 +419,17 @@ w AS (SELECT item_id, string_split(e, ' ') AS e, string_split(a, ' ') AS a FROM
 SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN cer ELSE -1 END AS cer, CASE WHEN item_id % 3 <> 0 THEN levenshtein({_as_bytes("e")}, {_as_bytes("a")}) / len(e) ELSE -1 END AS wer FROM v JOIN c USING (item_id)
 """,
     "q57_without_blank": f"SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 AND {_strip("text")} <> ''",
+    "q58_fill_formulas": """
+WITH o AS (SELECT *, ['$x$', '$' || o_orderkey || '$', '$z$'][:o_orderkey % 4] AS f FROM orders)
+SELECT o_orderkey, 'a ' || coalesce(f[1], '') || ' b ' || coalesce(f[2], '') || ' ' || o_orderstatus || coalesce(chr(10) || chr(10) || f[3], chr(10)) AS text FROM o
+""",
+    "q59_insert_images": """
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 + 1 AS blocks, o_orderkey % 4 AS paths, o_orderkey % 3 = 0 AS linked FROM orders),
+i AS (SELECT o_orderkey, k, round_even(CASE WHEN 2 * k + 1 < blocks THEN (2 * k + 1) / blocks ELSE 1 END * 4, 0)::INT AS place FROM o, (VALUES (0), (1), (2)) v(k) WHERE k < paths AND NOT (k = 0 AND linked)),
+p AS (
+  SELECT o_orderkey, p AS place, 1 AS late, 0 AS k, 'p' || p || CASE WHEN p = 1 AND linked THEN ' ![x](i0.png)' ELSE '' END AS t FROM o, (VALUES (0), (1), (2), (3)) v(p)
+  UNION ALL SELECT o_orderkey, place, 0, k, '![Hình ảnh](i' || k || '.png)' FROM i
+), g AS (SELECT o_orderkey, string_agg(t, chr(10) || chr(10) ORDER BY place, late, k) AS t, bool_or(late = 0) AS any_image FROM p GROUP BY o_orderkey)
+SELECT o_orderkey, CASE WHEN any_image THEN t ELSE replace(t, chr(10) || chr(10) || 'p2', chr(10) || chr(10) || chr(10) || 'p2') END AS text FROM g
+""",
 }

@@ -404,4 +404,25 @@ def q57_without_blank(spark, d):
     return assembly.without_blank(c.select("conv_id", "turn"), c.where(markup.is_blank_response(F.when(F.col("turn") % 3 == 0, "(empty response)").otherwise(F.col("text")))), ["conv_id", "turn"])
 
 
+def q58_fill_formulas(spark, d):
+    """Two placeholders, and none to three formulas."""
+    n = (F.col("o_orderkey") % 4).cast("int")
+    formulas = F.slice(F.array(F.lit("$x$"), F.concat(F.lit("$"), F.col("o_orderkey").cast("string"), F.lit("$")), F.lit("$z$")), 1, n)
+    text = F.concat(F.lit("a formula_placeholder b FORMULA_PLACEHOLDER "), F.col("o_orderstatus"), F.lit("\n"))
+    return _t(spark, d, "orders").select("o_orderkey", assembly.fill_formulas(text, formulas).alias("text"))
+
+
+def q59_insert_images(spark, d):
+    """Four paragraphs, one to five blocks of which every other is an image, and none to three paths, the first of which may be linked already."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("p0\n\np1"), F.when(k % 3 == 0, " ![x](i0.png)").otherwise(""), F.lit("\n\n\np2\n\np3"))
+    kinds = F.slice(F.array(*(F.lit(x) for x in ("text", "image", "text", "image", "text"))), 1, (k % 5 + 1).cast("int"))
+    paths = F.slice(F.array(*(F.lit(f"i{i}.png") for i in range(3))), 1, (k % 4).cast("int"))
+    return _t(spark, d, "orders").select("o_orderkey", assembly.insert_images(text, paths, kinds).alias("text"))
+
+
+def q60_merge_near(spark, d):
+    return layout.merge_near(_regions(spark, d), ["o_custkey"]).select("o_custkey", F.col("n").cast("long").alias("n"), "l", "t", "r", "b")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -237,6 +237,21 @@ def test_masked_pages_and_graphics_as_columns(spark):
     assert got == {0: (0, "blank", "blank"), 1: (1, "content", "blank"), 2: (0, "uncertain", "uncertain")}
 
 
+def test_near_boxes_against_pairs_joined_one_by_one():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 12, 40):
+        corner = rng.integers(0, 600, (n, 2)).astype(float)
+        boxes = np.hstack([corner, corner + rng.integers(1, 60, (n, 2))])
+        want = [tuple(b) for b in boxes]
+        while True:
+            pair = next(((i, j) for i in range(len(want)) for j in range(i) if all(want[i][k] < want[j][k + 2] + 30 and want[j][k] < want[i][k + 2] + 30 for k in (0, 1))), None)
+            if pair is None:
+                break
+            a, b = want.pop(pair[0]), want.pop(pair[1])
+            want.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+        assert sorted(map(tuple, layout.near_groups(boxes.reshape(-1, 4)).tolist())) == sorted(want)
+
+
 def test_bench(spark):
     rows = spark.createDataFrame([("a", "OK", 10.0, 90.0, 5.0, 1, 0, 0), ("a", "OK", 130.0, 80.0, 7.0, 0, 0, 0), ("b", "ERROR", 1.0, 1.0, 1.0, 0, 0, 0)], "config string, status string, seconds_per_page double, quality_score double, vram_mb_peak double, retry_count int, timeout_count int, cuda_oom_count int")
     got = {r.config: r for r in bench.summary(rows).collect()}
