@@ -129,8 +129,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     """docs (its columns in `keep`, default all) with ids; with round_trip also decoded, the bytes that the ids stand for.
 
     path is the vocabulary on each executor. A null or empty text has no ids and
-    decodes to no bytes; the new columns get other names if docs has such
-    columns. No shuffle; batches are cut by bytes of text.
+    decodes to no bytes; a text of any length is encoded whole, rows that repeat
+    are each encoded, and an empty table gives an empty one. The new columns get
+    other names if docs has such columns. No shuffle; batches are cut by bytes of
+    text.
     """
     keep = docs.columns if keep is None else keep
     ids, decoded = fresh(docs, "ids", "decoded")

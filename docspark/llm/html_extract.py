@@ -356,8 +356,10 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, source: str = "html", keep: list[str] | None = None) -> DataFrame:
     """pages (its columns in `keep`, default all) with text, the main text, and n_chars, its code points.
 
-    Null, empty or unparsable html gives an empty text; the new columns get other
-    names if pages has such columns. No shuffle; each page is one unit of work.
+    Null, empty or unparsable html gives an empty text; a page of any length is
+    read whole, in linear time; rows that repeat are each a page, and an empty
+    table gives an empty one. The new columns get other names if pages has such
+    columns. No shuffle; each page is one unit of work.
     """
     keep = pages.columns if keep is None else keep
     text, chars = fresh(pages, "text", "n_chars")

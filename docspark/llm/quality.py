@@ -101,7 +101,11 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """docs (its columns in `keep`, default all) and FEATURES, under names that don't clash; a null text counts as empty."""
+    """docs (its columns in `keep`, default all) and FEATURES, under names that don't clash.
+
+    A null text counts as empty, a text of any length is measured whole, rows
+    that repeat are each measured, and an empty table gives an empty one.
+    """
     keep = docs.columns if keep is None else keep
     names = dict(zip(FEATURES, fresh(docs, *FEATURES), strict=True))
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(names[f], T.LongType()) for f in FEATURES)])

@@ -239,7 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns in `keep`, default all) with score, 0 to 1; a null or empty text scores by the bias alone. No shuffle."""
+    """docs (its columns in `keep`, default all) with score, 0 to 1. No shuffle.
+
+    A null or empty text scores by the bias alone, a text of any length is read
+    whole, rows that repeat are each scored, equal texts alike, and an empty table
+    gives an empty one. score gets another name if docs has such a column.
+    """
     keep = docs.columns if keep is None else keep
     (name,) = fresh(docs, "score")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])

@@ -888,6 +888,26 @@ def test_a_text_in_most_rows_and_long_texts_stream_through_small_shards(spark, m
     assert {(r.doc_id, r.text) for r in exact_dedup.survivors(table).collect()} == {(max(ids), t) for t, ids in groups.items()}
 
 
+def test_texts_of_half_a_megabyte_go_through_whole(spark, tmp_path):
+    rng = random.Random(41)
+    words = prose(rng, 90_000).split()
+    near, tail = [*words], "secret = 'a1b2c3d4' at the very end"
+    near[45_000] = "changed"
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(words), "en", "s", 0), (3, " ".join(near), "en", "s", 0), (4, " ".join([*words[:100], tail]), "en", "s", 0), (5, "x" * 500_000 + " " + tail, "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 5)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: {r.doc_id: r for r in q.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {i: r.class_id for i, r in run("op3_near_dedup").items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {i: r.n_assign for i, r in run("op4_secret_scan").items()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert all(r.decoded_sha256 == sha(rows[i - 1][1]) for i, r in run("op5_byte_bpe").items())
+    assert {i: r.n_words for i, r in run("op8_quality").items()} == {i: len(t.split()) for i, t, *_ in rows}
+    assert all(0 <= r.score <= 1 for r in run("op9_toxicity").values())
+    assert {i: (r.keep_id, r.text_sha256) for i, r in run("op10_exact_dedup").items()} == {i: (2 if i == 1 else i, sha(t)) for i, t, *_ in rows}
+    removed = {i: r.n_removed for i, r in run("op2_substring_dedup").items()}
+    assert removed == {1: 0, 2: 90_000, 3: 89_999, 4: 100, 5: 0}
+
+
 def test_join_hot(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 4)
     rows = common.materialise(spark.createDataFrame([(i, None if i % 10 == 0 else "hot" if i % 2 else f"k{i % 40}") for i in range(400)], "i int, k string"))
