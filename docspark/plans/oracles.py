@@ -431,5 +431,13 @@ p AS (
   UNION ALL SELECT o_orderkey, place, 0, k, '![Hình ảnh](i' || k || '.png)' FROM i
 ), g AS (SELECT o_orderkey, string_agg(t, chr(10) || chr(10) ORDER BY place, late, k) AS t, bool_or(late = 0) AS any_image FROM p GROUP BY o_orderkey)
 SELECT o_orderkey, CASE WHEN any_image THEN t ELSE replace(t, chr(10) || chr(10) || 'p2', chr(10) || chr(10) || chr(10) || 'p2') END AS text FROM g
+""",
+    "q30_spelling_suggest": """
+WITH w AS (
+  SELECT o_orderkey, v[o_orderkey % 7 + 1] AS a, v[o_orderkey // 7 % 7 + 1] AS b, v[o_orderkey // 49 % 7 + 1] AS c, o_orderkey % 3 <> 1 AS near
+  FROM orders, (SELECT ['the', 'and', 'of', 'der', 'und', 'The', 'AND'] AS v)
+), p AS (SELECT o_orderkey, 0::BIGINT AS k, a AS l, b AS r FROM w WHERE near UNION ALL SELECT o_orderkey, 2, b, c FROM w),
+m AS (SELECT * FROM (VALUES ('the', 'and', 'thé', 'ànd'), ('of', 'the', 'ôf', 'thé'), ('der', 'und', 'dér', 'ünd')) v(x, y, nx, ny))
+SELECT o_orderkey, k AS "at", l AS "left", r AS "right", nx AS new_left, ny AS new_right FROM p JOIN m ON lower(l) = x AND lower(r) = y WHERE l <> upper(l) AND r <> upper(r)
 """,
 }

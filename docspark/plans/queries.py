@@ -213,10 +213,17 @@ def q29_reread_escalation(spark, d):
     return review.reread_pages(_candidates(spark, d), ["page"])
 
 
-def q30_spelling_suggest(spark, d):
+def _lexicon(spark):
     entries = spark.createDataFrame([("thé",), ("ànd",), ("thé ànd",), ("ôf thé",), ("ôf",), ("dér ünd",), ("dér",), ("ünd",)], "entry string")
-    found = spelling.suggestions(_t(spark, d, "documents"), ["doc_id"], spelling.build_lexicon(entries))
-    return found.select("doc_id", F.col("at").cast("long").alias("at"), "left", "right", "new_left", "new_right")
+    return spelling.build_lexicon(entries)
+
+
+def q30_spelling_suggest(spark, d):
+    """Three words for each order, of the lexicon but without its accents, some titled or upper case; a comma parts the first two of every third."""
+    word = lambda n: F.element_at(F.array(*(F.lit(w) for w in ("the", "and", "of", "der", "und", "The", "AND"))), (F.floor(F.col("o_orderkey") / n) % 7 + 1).cast("int"))
+    gap = F.element_at(F.array(F.lit(" "), F.lit(", "), F.lit("\n")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    docs = _t(spark, d, "orders").select("o_orderkey", F.concat(word(1), gap, word(7), F.lit(" "), word(49)).alias("text"))
+    return spelling.suggestions(docs, ["o_orderkey"], _lexicon(spark)).select("o_orderkey", F.col("at").cast("long").alias("at"), "left", "right", "new_left", "new_right")
 
 
 def q31_lexicon_build(spark, d):
@@ -425,4 +432,10 @@ def q60_merge_near(spark, d):
     return layout.merge_near(_regions(spark, d), ["o_custkey"]).select("o_custkey", F.col("n").cast("long").alias("n"), "l", "t", "r", "b")
 
 
+def q61_spelling_documents(spark, d):
+    """Suggestions for every pair of neighbouring words of the documents."""
+    found = spelling.suggestions(_t(spark, d, "documents"), ["doc_id"], _lexicon(spark))
+    return found.select("doc_id", F.col("at").cast("long").alias("at"), "left", "right", "new_left", "new_right")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
