@@ -31,9 +31,14 @@ def _own(x: str) -> Column:
 
 
 def overlaps(x: str, y: str) -> Column:
-    """Significant overlap of aliased frames x and y: 35 % of x's box or 65 % of y's."""
+    """Significant overlap of aliased frames x and y: 35 % of x's box or 65 % of y's.
+
+    The share is a width's, times the height: at a tie the product's rounding decides, so its order is fixed.
+    """
     s = _shared(x, y)
-    return ((_own(x) > 0) & (s >= 0.35 * _own(x))) | ((_own(y) > 0) & (s >= 0.65 * _own(y)))
+    c = lambda a, n: F.col(f"{a}.{n}")
+    part = lambda a, share: share * F.greatest(c(a, "r") - c(a, "l"), F.lit(0.0)) * F.greatest(c(a, "b") - c(a, "t"), F.lit(0.0))
+    return ((_own(x) > 0) & (s >= part(x, 0.35))) | ((_own(y) > 0) & (s >= part(y, 0.65)))
 
 
 def intersects(x: str, y: str) -> Column:
