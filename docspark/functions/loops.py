@@ -36,6 +36,10 @@ def collapse(text: str | None) -> str | None:
     if not text:
         return text
     lines = text.splitlines()
+    # Cheap first: a loop needs some line of 24 characters or more again.
+    long = [" ".join(x.split()).casefold() for x in lines if len(x) >= 24]
+    if len(set(long)) == len(long):
+        return "\n".join(lines)
     keys, out, i = _keys(lines), [], 0
     while i < len(lines):
         for width in range(1, min(6, (len(lines) - i) // 3) + 1):

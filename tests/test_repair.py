@@ -148,3 +148,13 @@ def test_a_second_run_changes_nothing(spark, sf_dir):
         once, _ = final(t)
         twice, n = final(once)
         assert twice == once and not +Counter(n), (t, n)
+
+
+def test_plain_tables_are_read_as_the_parser_reads_them():
+    from docspark.functions import htmltables
+
+    plain = ["<table><tr><th>a</th><th> b\n</th></tr>\n<tr><td>1 > 0</td><td></td></tr></table>", "<table> <tr><td>x</td></tr>\n</table>"]
+    other = ["<table><tr><td>a<br>b</td></tr></table>", "<table><tr><td>a &amp; b</td></tr></table>", "<table><tr></tr></table>", "<table>x<tr><td colspan='2'>a</td></tr></table>", "<table><tr><td>a</td></tr></table></table>"]
+    assert [bool(htmltables._PLAIN.fullmatch(t)) for t in plain + other] == [True] * 2 + [False] * 5
+    for t in plain + other:
+        assert htmltables._rows(t) == htmltables._Cells(t).rows
