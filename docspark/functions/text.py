@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Line breaks, those that split a text into lines.
 BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+#: Unicode's white space, as `(?U)\\s` has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words of Latin and Vietnamese letters.
 LETTERS = "[a-zA-ZÀ-ỹĐđ]+"
 #: Accented Latin letters, lower case, and the plain letters under them.
@@ -24,7 +26,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -59,6 +61,11 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("int")
 
 
+def signs(c: Column, kind: str) -> Column:
+    """Number of characters of a class. regexp_count would make a string of each."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{kind}+", ""))
+
+
 def rewrite(c: Column, pattern: str, change) -> Column:
     """Each match of pattern replaced by change(match), a Column function; what is between stays."""
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

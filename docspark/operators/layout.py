@@ -192,16 +192,43 @@ def near_groups(boxes: np.ndarray, gap: float = 30.0) -> np.ndarray:
         boxes = np.array([[*boxes[group == k, :2].min(0), *boxes[group == k, 2:].max(0)] for k in names])
 
 
+#: Boxes of a page up to which plain loops are faster than numpy.
+FEW = 24
+
+
+def few_near_groups(values: list[float], gap: float = 30.0) -> list[list[float]]:
+    """near_groups of a few boxes, given as l, t, r, b in turn."""
+    done: list[list[float]] = []
+    for i in range(0, len(values), 4):
+        l, t, r, b = values[i : i + 4]  # noqa: E741
+        k = 0
+        while k < len(done):
+            x = done[k]
+            if l < x[2] + gap and x[0] < r + gap and t < x[3] + gap and x[1] < b + gap:
+                # The joined box may be near those that the box itself wasn't.
+                l, t, r, b = min(l, x[0]), min(t, x[1]), max(r, x[2]), max(b, x[3])  # noqa: E741
+                del done[k]
+                k = 0
+            else:
+                k += 1
+        done.append([l, t, r, b])
+    return sorted(done, key=lambda x: (x[1], x[0]))
+
+
 def merge_near(boxes: DataFrame, page: list[str], gap: float = 30.0) -> DataFrame:
-    """page, n, l, t, r, b: near_groups of each page's boxes; the pairs of one page's boxes are formed in its task."""
+    """page, n, l, t, r, b: near_groups of each page's boxes; the pairs of one page's boxes are formed in its task.
+
+    Pages go to Python in batches, a row each.
+    """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = near_groups(pdf[["l", "t", "r", "b"]].to_numpy(float), gap)
-        return pd.DataFrame([[*pdf[page].iloc[0], k, *x] for k, x in enumerate(found)], columns=[*page, "n", "l", "t", "r", "b"])
+    @F.pandas_udf("array<array<double>>")
+    def merge(pages: pd.Series) -> pd.Series:
+        return pd.Series([few_near_groups(x.tolist(), gap) if len(x) <= 4 * FEW else near_groups(x.reshape(-1, 4), gap).tolist() for x in pages], dtype=object)
 
-    kinds = dict(boxes.dtypes)
-    good = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in "ltrb")).select(*page, "l", "t", "r", "b")
-    return good.groupBy(*page).applyInPandas(merge, ", ".join([*(f"`{p}` {kinds[p]}" for p in page), "n int, l double, t double, r double, b double"]))
+    good = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in "ltrb"))
+    each = good.groupBy(*page).agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in "ltrb"))).alias("boxes"))
+    found = each.select(*page, merge(F.flatten("boxes")).alias("found")).select(*page, F.posexplode("found").alias("n", "box"))
+    return found.select(*page, "n", *(F.col("box")[i].alias(c) for i, c in enumerate("ltrb")))
 
 
 def _cuts(low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:

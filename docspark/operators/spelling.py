@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docspark.functions.text import casefold, let, unaccented
+from docspark.functions.text import ACCENTED, PLAIN, casefold, let, unaccented
 
 WORD = r"[A-Za-zÀ-ỹĐđ]+"
 #: Parts of a text that are never corrected (fixed value).
@@ -44,10 +44,14 @@ def load_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return words, accents, pairs.select(F.col("p")[0].alias("left"), F.col("p")[1].alias("right")).distinct()
 
 
+#: What a text must hold for a part of MASK.
+_MASKABLE = r"(?i)[`$@]|\]\(|://|<table|[A-Za-z0-9][-_/][A-Za-z0-9.]"
+
+
 def _masked(c: Column) -> Column:
     """Masked parts as a character that is neither a letter nor white space, line breaks kept."""
-    gone = F.regexp_replace(F.regexp_replace(c, MASK, "\u0001"), PIPE_LINE, "\u0001")
-    return gone
+    gone = let(c, lambda t: F.when(t.rlike(_MASKABLE), F.regexp_replace(t, MASK, "\u0001")).otherwise(t))
+    return let(gone, lambda t: F.when(t.contains("|"), F.regexp_replace(t, PIPE_LINE, "\u0001")).otherwise(t))
 
 
 def word_pairs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -64,9 +68,76 @@ def suggestions(docs: DataFrame, keys: list[str], lexicon: tuple[DataFrame, Data
 
     A word's options are itself, if it is in the lexicon, or else the accented
     forms of its plain form. Upper-case words, and pairs of titled ones, are left
-    alone. The joins are by word; frames of the lexicon are broadcast where they
-    are small by Spark's own estimate.
+    alone. A lexicon of up to LOOKED_UP entries goes to every task; a larger one is
+    joined by word, and so are the texts' words.
     """
+    found = _looked_up(docs, keys, lexicon, text)
+    return found if found is not None else _joined(docs, keys, lexicon, text)
+
+
+#: Entries up to which a lexicon goes to every task, so that texts are read once and not joined by their words.
+LOOKED_UP = 100_000
+
+
+def _looked_up(docs: DataFrame, keys: list[str], lexicon: tuple[DataFrame, DataFrame, DataFrame], text: str) -> DataFrame | None:
+    """suggestions by a lexicon in every task: one pass over the texts, no shuffle; nothing if the lexicon has too many entries."""
+    frames = [f.limit(LOOKED_UP + 1).collect() for f in lexicon]
+    if max(map(len, frames)) > LOOKED_UP:
+        return None
+    known, forms, bigrams = {r.w for r in frames[0]}, {r.plain: r.forms for r in frames[1]}, {(r.left, r.right) for r in frames[2]}
+    rows = "array<struct<at:int,`left`:string,`right`:string,new_left:string,new_right:string>>"
+
+    @F.pandas_udf(rows)
+    def run(texts: pd.Series) -> pd.Series:
+        found = _Options(known, forms, bigrams)
+        return pd.Series([found.suggested(t) if t is not None else None for t in texts], dtype=object)
+
+    return docs.withColumn("safe", _masked(F.col(text))).withColumn("suggested", run("safe")).select(*keys, F.inline("suggested"))
+
+
+class _Options:
+    """Options of tokens, each looked up once, and the only pair of two tokens' options."""
+
+    # A gap may end in a further line break, before which the pattern's `$` matches.
+    _TOKEN, _WORD, _GAP, _MARKS = re.compile(rf"{WORD}|[^A-Za-zÀ-ỹĐđ]+"), re.compile(WORD), re.compile("[ \t\r\n]+[\x85\u2028\u2029]?"), re.compile("[\u0300-\u036F]")
+    _PLAIN = str.maketrans(ACCENTED, PLAIN)
+
+    def __init__(self, words: set[str], forms: dict[str, list[str]], bigrams: set[tuple[str, str]]):
+        self.words, self.forms, self.bigrams = words, forms, bigrams
+        self.tokens: dict[str, tuple[list[str], str, bool] | None] = {}
+
+    def token(self, t: str) -> tuple[list[str], str, bool] | None:
+        """(options, folded, titled) of a token; nothing of one without options, or in upper case."""
+        low = t.lower().replace("ß", "ss")
+        found = [low] if low in self.words else self.forms.get(self._MARKS.sub("", low).translate(self._PLAIN))
+        if not found or t == t.upper() != t.lower():
+            return None
+        kinds = [unicodedata.category(c) for c in t]
+        return found, low, kinds[0] == "Lu" and all(k == "Ll" for k in kinds[1:])
+
+    def suggested(self, text: str) -> list[dict]:
+        cut = self._TOKEN.findall(text)
+        if len(self.tokens) > 200_000:
+            self.tokens.clear()
+        out, known, last = [], self.tokens, -9
+        # Words and what is between them take turns.
+        for at in range(0 if self._WORD.match(text) else 1, len(cut), 2):
+            t = cut[at]
+            if t not in known:
+                known[t] = self.token(t)
+            if known[t] is None:
+                continue
+            if at - last == 2 and self._GAP.fullmatch(cut[at - 1]) and "\n\n" not in cut[at - 1].replace("\r", ""):
+                a, b = known[cut[last]], known[t]
+                fits = [] if a[2] and b[2] else [(x, y) for x in a[0] for y in b[0] if (x, y) in self.bigrams]
+                if len(fits) == 1 and fits[0] != (a[1], b[1]):
+                    out.append({"at": last, "left": cut[last], "right": t, "new_left": fits[0][0], "new_right": fits[0][1]})
+            last = at
+        return out
+
+
+def _joined(docs: DataFrame, keys: list[str], lexicon: tuple[DataFrame, DataFrame, DataFrame], text: str) -> DataFrame:
+    """suggestions by joins of the texts' words with a lexicon of any size."""
     words, accents, bigrams = lexicon
     upper = lambda c: (F.col(c) == F.upper(c)) & (F.col(c) != F.lower(c))
     title = lambda c: F.col(c).rlike(r"^\p{Lu}\p{Ll}*$")

@@ -259,6 +259,34 @@ def test_near_boxes_against_pairs_joined_one_by_one():
         assert sorted(map(tuple, layout.near_groups(boxes.reshape(-1, 4)).tolist())) == sorted(want)
 
 
+def test_near_boxes_of_few_and_of_many_by_either_way(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for page, n in enumerate((1, 2, 5, 23, 24, 25, 60)):
+        corner = rng.integers(0, 900, (n, 2)).astype(float)
+        boxes = np.hstack([corner, corner + rng.integers(1, 60, (n, 2))])
+        assert layout.few_near_groups(boxes.ravel().tolist()) == layout.near_groups(boxes).tolist()
+        rows += [(page, *map(float, b)) for b in boxes]
+    frame = spark.createDataFrame([*rows, (99, None, 1.0, 2.0, 3.0)], "page int, l double, t double, r double, b double")
+    merged = layout.merge_near(frame, ["page"])
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().toString()
+    got = {(r.page, r.n): (r.l, r.t, r.r, r.b) for r in merged.collect()}
+    want = {(p, k): tuple(b) for p in range(7) for k, b in enumerate(layout.near_groups(np.array([r[1:] for r in rows if r[0] == p])).tolist())}
+    assert got == want
+
+
+def test_suggestions_by_a_lexicon_in_every_task_and_by_joins(spark):
+    entries = spark.createDataFrame([("thé",), ("the",), ("thè ô",), ("thé ànd",), ("ôf",), ("ôf thé",), ("strassé an",)], "entry string")
+    lexicon = spelling.build_lexicon(entries)
+    texts = ["of the and, the and of the", "The And thè\nand THE and", "a the\n\nand of\r\nthê $of the$ of `x` thë", "| of the |\nof the/and-1", "×of of thê\u2028and the \x85and", "straße an Straße an ôf thé", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    found = spelling.suggestions(docs, ["d"], lexicon)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rows = lambda f: sorted(map(tuple, f.select("d", "at", "left", "right", "new_left", "new_right").collect()))
+    assert rows(found) == rows(spelling._joined(docs, ["d"], lexicon, "text")) != []
+
+
 def test_bench(spark):
     rows = spark.createDataFrame([("a", "OK", 10.0, 90.0, 5.0, 1, 0, 0), ("a", "OK", 130.0, 80.0, 7.0, 0, 0, 0), ("b", "ERROR", 1.0, 1.0, 1.0, 0, 0, 0)], "config string, status string, seconds_per_page double, quality_score double, vram_mb_peak double, retry_count int, timeout_count int, cuda_oom_count int")
     got = {r.config: r for r in bench.summary(rows).collect()}
