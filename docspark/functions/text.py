@@ -61,11 +61,6 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("int")
 
 
-def signs(c: Column, kind: str) -> Column:
-    """Number of characters of a class. regexp_count would make a string of each."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"{kind}+", ""))
-
-
 def rewrite(c: Column, pattern: str, change) -> Column:
     """Each match of pattern replaced by change(match), a Column function; what is between stays."""
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

@@ -35,7 +35,7 @@ CUT_END = "�|[\\p{L}\\p{N}_]-$|\\.{3,}$"
 def line_reasons(line: Column, lost_marks: Column | bool = False) -> Column:
     """Reasons that a line itself gives, as an array; lost_marks: its page lost its diacritics."""
     x = strip(line)
-    dated = x.rlike(DATED)
+    dated = F.lower(x).contains("ngày") & x.rlike(DATED)
     valid = x.rlike(VALID_DATE)
     pairs = F.regexp_extract_all(x, F.lit(r"(?<!\d)([A-Za-zÀ-ỹĐđ]+)-([A-Za-zÀ-ỹĐđ]+)"), F.lit(0))
     lower = lambda p: F.substring_index(p, "-", 1) != F.upper(F.substring_index(p, "-", 1))
@@ -44,12 +44,12 @@ def line_reasons(line: Column, lost_marks: Column | bool = False) -> Column:
     signs = F.size(F.filter(found, lambda w: casefold(w).isin(*LOSS_SIGNS)))
     lost = F.lit(lost_marks) if isinstance(lost_marks, bool) else lost_marks
     tests = {
-        "glued_characters": x.rlike(r"\p{L}{45,}"),
+        "glued_characters": (F.length(x) >= 45) & x.rlike(r"(?<!\p{L})\p{L}{45}"),
         "malformed_date": dated & (x.rlike(BROKEN_DATE) | ~valid),
-        "malformed_document_number": x.rlike(BROKEN_NUMBER),
+        "malformed_document_number": x.contains(":") & x.rlike(BROKEN_NUMBER),
         "mass_diacritic_loss": lost & (F.size(found) >= 7) & (signs >= 2),
-        "possible_pen_stroke_or_glued_punctuation": F.exists(pairs, lambda p: lower(p) & lower_after(p)),
-        "truncated_line": x.rlike(CUT_END),
+        "possible_pen_stroke_or_glued_punctuation": x.contains("-") & F.exists(pairs, lambda p: lower(p) & lower_after(p)),
+        "truncated_line": (x.contains("\ufffd") | x.endswith("-") | x.endswith("...")) & x.rlike(CUT_END),
     }
     return F.array_compact(F.array(*(F.when((x != "") & tests[k], k) for k in sorted(tests))))
 
