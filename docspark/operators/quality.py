@@ -303,10 +303,10 @@ def attempt_key(text: Column, errors: Column, warnings: Column | None = None) ->
     return F.struct(F.size(fatal(errors)).alias("fatal"), severe.alias("severe"), F.floor(100 - score(errors)).cast("int").alias("penalty"), warned.alias("warned"), (-shown).alias("short"))
 
 
-def choose_best(attempts: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
-    """The best attempt of each page; of equal ones the first by order."""
+def choose_best(attempts: DataFrame, keys: list[str], order: str, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The best attempt of each page; of equal ones the first by order. columns: which of the others to give (all), so that texts that nobody wants aren't shuffled."""
     best = F.struct(attempt_key(F.col(text), F.col("errors"), F.col("warnings") if "warnings" in attempts.columns else None).alias("key"), F.col(order).alias("at"))
-    rest = [c for c in attempts.columns if c not in keys]
+    rest = [c for c in attempts.columns if c not in keys] if columns is None else columns
     return attempts.groupBy(*keys).agg(F.min_by(F.struct(*rest), best).alias("b")).select(*keys, "b.*")
 
 

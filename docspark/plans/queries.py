@@ -184,7 +184,7 @@ def q25_structure_f1(spark, d):
 def q26_choose_best(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.col("text"))
     both = docs.withColumn("attempt", F.lit(1)).unionByName(docs.select("doc_id", F.translate("text", "$", "").alias("text"), F.lit(2).alias("attempt")))
-    best = quality.choose_best(both.withColumn("errors", quality.core_errors(F.col("text"))), ["doc_id"], "attempt")
+    best = quality.choose_best(both.withColumn("errors", quality.core_errors(F.col("text"))), ["doc_id"], "attempt", columns=["attempt", "errors"])
     return best.select("doc_id", F.col("attempt").cast("long").alias("attempt"), F.array_join(F.array_sort("errors"), ",").alias("errors"))
 
 

@@ -57,3 +57,19 @@ def test_word_error_rate_of_many_distinct_words(spark):
     other = [*words[:100], "new", *words[101:5000], *words[5001:]]
     row = spark.createDataFrame([(" ".join(words), " ".join(other))], "e string, a string").select(scoring.word_error_rate(F.col("e"), F.col("a")).alias("wer"), scoring.scores(F.col("e"), F.col("a"))["wer"].alias("same")).first()
     assert row.wer == row.same == pytest.approx(2 / 7000)
+
+
+def test_marked_lines_are_found_without_a_shuffle_by_document(spark, tmp_path):
+    text = "\n".join(f"line-{i}." for i in range(1, 15))
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["q27_suspicious_lines"](spark, str(tmp_path))
+    assert "hashpartitioning" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.line_idx, r.reasons) for r in found.collect()) == [(1, 6, "truncated_line"), (1, 10, "truncated_line"), (1, 12, "glued_characters"), (1, 13, "truncated_line")]
+
+
+def test_best_attempts_without_their_texts(spark):
+    from docspark.operators import quality
+
+    rows = spark.createDataFrame([(1, 1, "a $ b", ["unbalanced_math_delimiters"]), (1, 2, "a b", []), (2, 1, "x", [])], "d int, attempt int, text string, errors array<string>")
+    best = quality.choose_best(rows, ["d"], "attempt", columns=["attempt", "errors"])
+    assert sorted(map(tuple, best.collect())) == [(1, 2, []), (2, 1, [])]
