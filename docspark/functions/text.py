@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 
 from pyspark.sql import Column
@@ -61,6 +63,31 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("int")
 
 
+def where_signs(c: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """regexp_replace of a text that holds one of signs, any other as it is: a pattern runs only where it can match."""
+    return let(c, lambda t: F.when(functools.reduce(operator.or_, (t.contains(x) for x in signs)), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
+def one_of(listed: tuple[str, ...]) -> str:
+    """Pattern of a whole word of LETTERS that is one of listed: first letters are looked at first, and each is tried once."""
+    ends: dict[str, list[str]] = {}
+    for x in listed:
+        ends.setdefault(x[0], []).append(x[1:])
+    tried = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in ends.items())
+    return f"(?=[{''.join(ends)}])(?<!{LETTERS[:-1]})(?:{tried})(?!{LETTERS[:-1]})"
+
+
+def letter_class(letters: str) -> str:
+    """Class of lower-case letters, in ranges where only upper-case ones are between: for case-folded text."""
+    spans: list[list[int]] = []
+    for x in sorted(map(ord, letters)):
+        if spans and all(chr(y).isupper() for y in range(spans[-1][1] + 1, x)):
+            spans[-1][1] = x
+        else:
+            spans.append([x, x])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+
+
 def rewrite(c: Column, pattern: str, change) -> Column:
     """Each match of pattern replaced by change(match), a Column function; what is between stays."""
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import markup, mathtext
-from docspark.functions.text import casefold, count, let, lines, longest_run, squeeze, strip, tokens, words
+from docspark.functions.text import LETTERS, casefold, count, let, letter_class, lines, longest_run, one_of, squeeze, strip, tokens, where_signs, words
 
 #: Weight of each kind of error (fixed values); any other kind weighs OTHER_WEIGHT.
 WEIGHTS = {
@@ -121,29 +121,44 @@ def _loops(norm: Column) -> Column:
 # Language
 
 
+def _running(c: Column) -> Column:
+    """A text without code, mathematics, addresses and HTML tables; of a link only its label stays."""
+    t = where_signs(F.coalesce(c, F.lit("")), ("```",), r"(?s)```.*?```", "")
+    t = where_signs(t, ("`",), r"`[^`]*`", "")
+    t = where_signs(t, ("$",), r"(?s)\$\$.*?\$\$|\$[^$\n]*\$", "")
+    t = where_signs(t, ("](",), r"!?\[([^\]]*)\]\([^)]+\)", "$1")
+    t = where_signs(t, ("://", "@"), r"(?i)https?://\S+|\b\S[^\s@]*+@\S[^\s.]*+\.\S+\b", "")
+    return where_signs(t, ("<",), r"(?is)<table\b.*?</table>", "")
+
+
+def _sentences(c: Column) -> Column:
+    """Lines of running text, heading marks aside: tables and short, upper-case or numeric lines left out."""
+    # Whether there are 60 letters and 12 tokens is seen from the start of a line, and a lower-case ASCII letter tells that it isn't upper case.
+    long = lambda x: (F.length(x) >= 60) & x.rlike(r"(?U)\A\s*+(?:\S++\s++){11}\S") & x.rlike(r"\A(?:\P{L}*+\p{L}){60}")
+    good = lambda x: long(x) & (x.rlike("[a-z]") | (x != F.upper(x))) & (count(x, r"\p{Nd}") <= 0.2 * F.length(x))
+    plain = lambda x: F.when(x.startswith("#"), F.regexp_replace(x, r"^#{1,6}\s+", "")).otherwise(x)
+    shown = F.filter(F.transform(lines(c), strip), lambda x: (F.length(x) >= 60) & ~x.startswith("|") & ~x.startswith("<!--"))
+    return F.filter(F.transform(shown, plain), good)
+
+
 def prose(c: Column) -> Column:
     """Paragraphs of running text: code, mathematics, links, addresses, tables and short, upper-case or numeric lines left out."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)```.*?```", "")
-    t = F.regexp_replace(t, r"`[^`]*`", "")
-    t = F.regexp_replace(t, r"(?s)\$\$.*?\$\$|\$[^$\n]*\$", "")
-    t = F.regexp_replace(t, r"!?\[([^\]]*)\]\([^)]+\)", "$1")
-    t = F.regexp_replace(t, r"(?i)https?://\S+|\b\S+@\S+\.\S+\b", "")
-    t = F.regexp_replace(t, r"(?is)<table\b.*?</table>", "")
-    plain = lambda x: F.regexp_replace(x, r"^#{1,6}\s+", "")
-    good = lambda x: (F.length(x) >= 60) & (count(x, r"\p{L}") >= 60) & (F.size(tokens(x)) >= 12) & (x != F.upper(x)) & (count(x, r"\p{Nd}") <= 0.2 * F.length(x))
-    kept = lambda b: F.filter(F.transform(F.filter(F.transform(lines(b), strip), lambda x: (x != "") & ~x.startswith("|") & ~x.startswith("<!--")), plain), good)
-    return F.filter(F.transform(F.split(t, r"\n\s*\n"), lambda b: strip(F.array_join(kept(b), " "))), lambda p: p != "")
+    return F.filter(F.transform(F.split(_running(c), r"\n\s*\n"), lambda b: strip(F.array_join(_sentences(b), " "))), lambda p: p != "")
 
 
 def language_profile(c: Column) -> Column:
     """mixed_vi_en, vi, en or unknown, by three function words or marks of either."""
-    return let(words(casefold(F.array_join(prose(c), " "))), _profile)
+    return let(casefold(F.array_join(_sentences(_running(c)), " ")), _profile)
+
+
+#: Words that tell a language, in case-folded text: of Vietnamese also those with one of its marks, each from its first mark to its end.
+VI_WORD = f"[à-ỹ&&{letter_class(VI_MARKS)}]{LETTERS[:-1]}*+|{one_of(VI_FUNCTION)}"
+EN_WORD = one_of(EN_COMMON)
 
 
-def _profile(found: Column) -> Column:
-    vi = F.size(F.filter(found, lambda w: w.isin(*VI_FUNCTION) | w.rlike(f"[{VI_MARKS}]")))
-    en = F.size(F.filter(found, lambda w: w.isin(*EN_COMMON)))
-    return F.when((vi >= 3) & (en >= 3), "mixed_vi_en").when(vi >= 3, "vi").when(en >= 3, "en").otherwise("unknown")
+def _profile(low: Column) -> Column:
+    vi, en = count(low, VI_WORD) >= 3, count(low, EN_WORD) >= 3
+    return F.when(vi, F.when(en, "mixed_vi_en").otherwise("vi")).when(en, "en").otherwise("unknown")
 
 
 def _loss(segment: Column) -> Column:

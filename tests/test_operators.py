@@ -42,6 +42,26 @@ def test_lost_diacritics_and_language(spark):
     assert [x.p for x in rows.select(quality.language_profile(F.col("t")).alias("p")).collect()] == ["vi", "en", "unknown"]
 
 
+def test_language_by_words_that_are_not_gathered(spark):
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt "
+    cases = {
+        "cua va la": "vi", "cua va laa": "unknown", "cua1 va_ (la)": "vi", "đi đường một": "vi", "éa aé éé": "vi", "éaé éxé": "unknown", "THE And oF": "en", "the and": "unknown", "the-and-of": "en", "thé ands of": "unknown",
+        "the and of cua va là": "mixed_vi_en", "`the` `and` `of`": "unknown", "the and of@x.y": "unknown", "[the](and) [and](x) of": "en", "ÅÉ Ý Ẳ": "vi", "ß ä ö ü": "unknown",
+    }
+    texts = [filler + x for x in cases] + ["| " + filler + "the and of", filler.upper() + "THE AND OF", "1" * 30 + filler + "the and of", "the and of", "# " + filler + "the and of", None, ""]
+    want = [*cases.values(), "unknown", "unknown", "unknown", "unknown", "en", "unknown", "unknown"]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", quality.language_profile(F.col("t")).alias("p"))
+    assert [r.p for r in found.orderBy("i").collect()] == want
+    # No array of all words, nor of all letters, of a text.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\p{L}, 0" not in plan and "[a-zA-ZÀ-ỹĐđ]+, 0" not in plan
+
+
+def test_addresses_in_a_long_word_without_end(spark):
+    text = "x@" * 4000
+    assert [r.p for r in spark.createDataFrame([(text,), (text + "y.z",)], "t string").select(quality.prose(F.col("t")).alias("p")).collect()] == [[], []]
+
+
 def test_missing_images(spark):
     r = report(spark, "![a](x.png) ![b](y.png) ![c](https://h/z.png)", assets=F.array(F.lit("x.png")))
     assert r[0].errors == ["missing_image:y.png"] and r[0].score == 60
