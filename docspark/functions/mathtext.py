@@ -16,7 +16,7 @@ CODES = ("answer_label_inside_math", "multiple_answers_inside_math", "prose_insi
 
 def unbalanced(c: Column) -> Column:
     """An odd number of unescaped `$`."""
-    return count(c, DOLLAR) % 2 == 1
+    return c.contains("$") & (count(c, DOLLAR) % 2 == 1)
 
 
 def inline_parts(c: Column) -> Column:

@@ -33,7 +33,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Stripped, each run of white space one space."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def casefold(c: Column) -> Column:

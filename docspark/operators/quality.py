@@ -74,8 +74,16 @@ def visible_lines(c: Column) -> Column:
 
 def line_run(c: Column) -> Column:
     """Longest run of equal visible lines of six characters or more, heading marks and case aside."""
-    shown = F.transform(visible_lines(c), lambda x: casefold(strip(F.regexp_replace(x, r"^#{1,6}\s+", ""))))
-    return longest_run(shown, lambda a, b: (a == b) & (F.length(b) >= 6))
+    return _line_run(visible_lines(c))
+
+
+def _compared(x: Column) -> Column:
+    """A visible line without heading marks and case."""
+    return casefold(F.when(x.startswith("#"), strip(F.regexp_replace(x, r"^#{1,6}\s+", ""))).otherwise(x))
+
+
+def _line_run(shown: Column) -> Column:
+    return longest_run(F.transform(shown, _compared), lambda a, b: (a == b) & (F.length(b) >= 6))
 
 
 def word_run(c: Column, least_words: int = 8) -> Column:
@@ -85,20 +93,26 @@ def word_run(c: Column, least_words: int = 8) -> Column:
     return F.coalesce(F.array_max(runs), F.lit(0))
 
 
+def four_lines(c: Column) -> Column:
+    """line_run of four or more. Runs are counted only in texts of which some line stands twice."""
+    each = lambda shown: let(F.filter(F.transform(shown, _compared), lambda x: F.length(x) >= 6), lambda x: F.size(F.array_distinct(x)) < F.size(x))
+    return let(visible_lines(c), lambda shown: F.when(F.size(shown) >= 4, F.when(each(shown), _line_run(shown) >= 4).otherwise(False)).otherwise(False))
+
+
 def _loop_lines(c: Column) -> Column:
-    """Lines, normalised; empty where a line can't be part of a loop (blank, structural, short, protected)."""
-    # A pattern runs only over texts that hold its sign.
-    only = lambda text, signs, pattern, to: let(text, lambda t: F.when(functools.reduce(operator.or_, (t.contains(x) for x in signs)), F.regexp_replace(t, pattern, to)).otherwise(t))
-    safe = only(F.coalesce(c, F.lit("")), ("```", "~~~"), r"(?ms)^[^\S\n]*(?:```|~~~).*?(?:^[^\S\n]*(?:```|~~~)[^\n]*$|\z)", "```")
-    safe = only(safe, ("$$",), r"(?ms)^[^\S\n]*\$\$[^\S\n]*$.*?(?:^[^\S\n]*\$\$[^\S\n]*$|\z)", "\\$\\$")
-    safe = only(safe, ("<",), r"(?is)<table\b.*?(?:</table>|\z)", "<t>")
-    fit = lambda x: ~x.rlike(markup.BLOCK_START) & ~x.rlike(r"^\s*[<!|]") & (count(x, r"\p{L}") >= 15) & (F.length(strip(x)) >= 24)
-    return F.transform(lines(safe), lambda x: F.when(fit(x), casefold(squeeze(x))).otherwise(""))
+    """Lines without what is protected: code, mathematics and tables are one sign each."""
+    safe = where_signs(F.coalesce(c, F.lit("")), ("```", "~~~"), r"(?ms)^[^\S\n]*(?:```|~~~).*?(?:^[^\S\n]*(?:```|~~~)[^\n]*$|\z)", "```")
+    safe = where_signs(safe, ("$$",), r"(?ms)^[^\S\n]*\$\$[^\S\n]*$.*?(?:^[^\S\n]*\$\$[^\S\n]*$|\z)", "\\$\\$")
+    return lines(where_signs(safe, ("<",), r"(?is)<table\b.*?(?:</table>|\z)", "<t>"))
 
 
 def has_loop(c: Column) -> Column:
     """A block of one to six prose lines, 40 characters (one line) or 70 in all, that stands three times in a row."""
-    return let(_loop_lines(c), _loops)
+    # Cheap first: a loop needs some line of 24 characters or more again.
+    twice = lambda rows: let(F.transform(F.filter(rows, lambda x: F.length(x) >= 24), lambda x: casefold(squeeze(x))), lambda long: F.size(F.array_distinct(long)) < F.size(long))
+    fit = lambda x: ~x.rlike(markup.BLOCK_START) & ~x.rlike(r"^\s*[<!|]") & x.rlike(r"\A(?:\P{L}*+\p{L}){15}") & (F.length(strip(x)) >= 24)
+    norm = lambda rows: F.transform(rows, lambda x: F.when(fit(x), casefold(squeeze(x))).otherwise(""))
+    return let(_loop_lines(c), lambda rows: F.when(twice(rows), let(norm(rows), _loops)).otherwise(False))
 
 
 def _loops(norm: Column) -> Column:
@@ -112,10 +126,7 @@ def _loops(norm: Column) -> Column:
         found = F.exists(F.sequence(F.lit(1), n - 3 * width + 1), lambda i: same(i) & (size(i) >= (40 if width == 1 else 70)))
         return F.when(n >= 3 * width, found).otherwise(False)
 
-    # Cheap first: a loop needs some line twice.
-    some = F.filter(norm, lambda x: x != "")
-    found = functools.reduce(operator.or_, (repeats(width) for width in range(1, 7)))
-    return F.when(F.size(F.array_distinct(some)) == F.size(some), False).otherwise(found)
+    return functools.reduce(operator.or_, (repeats(width) for width in range(1, 7)))
 
 
 # Language
@@ -162,9 +173,9 @@ def _profile(low: Column) -> Column:
 
 
 def _loss(segment: Column) -> Column:
-    """Points for a Vietnamese sentence without its marks; null under eight words."""
-    low = casefold(segment)
-    return let(F.struct(low.alias("low"), words(low).alias("words"), tokens(segment).alias("parts")), lambda x: F.when(F.size(x["words"]) >= 8, F.when(_function_hits(x["words"]) >= 3, _points(x["low"], x["words"], x["parts"])).otherwise(0)))
+    """Points for a Vietnamese sentence without its marks; 0 under eight words, or without three function words."""
+    scored = lambda low: let(F.struct(words(low).alias("words"), tokens(segment).alias("parts")), lambda x: F.when(F.size(x["words"]) >= 8, _points(low, x["words"], x["parts"])).otherwise(0))
+    return let(casefold(segment), lambda low: F.when(count(low, one_of(VI_FUNCTION)) >= 3, scored(low)).otherwise(0))
 
 
 def _function_hits(w: Column) -> Column:
@@ -189,10 +200,11 @@ def diacritic_loss(c: Column) -> Column:
     """Struct of high, medium and segments: sentences that lost their marks for sure, likely, and all.
 
     A text with fewer than three Vietnamese function words has none of either,
-    and isn't cut into sentences.
+    and isn't cut into sentences, unless something is taken out of it that may
+    leave one.
     """
     none = F.struct(F.lit(0).alias("high"), F.lit(0).alias("medium"), F.lit(0).alias("segments"))
-    return F.when(F.regexp_count(F.lower(c), F.lit(rf"\b(?:{'|'.join(VI_FUNCTION)})\b")) >= 3, _diacritic_loss(c)).otherwise(none)
+    return F.when((count(casefold(c), one_of(VI_FUNCTION)) >= 3) | c.rlike(r"[`$@<]|\]\(|://"), _diacritic_loss(c)).otherwise(none)
 
 
 def _diacritic_loss(c: Column) -> Column:
@@ -226,7 +238,8 @@ def pipe_errors(c: Column) -> Column:
 def tag_errors(c: Column) -> Column:
     low = casefold(c)
     tags = ("table", "tr", "td", "th")
-    return F.array_compact(F.array(*(F.when(count(low, rf"<{t}\b") != count(low, f"</{t}>"), f"malformed_html_table:{t}") for t in tags)))
+    found = F.array_compact(F.array(*(F.when(count(low, rf"<{t}\b") != count(low, f"</{t}>"), f"malformed_html_table:{t}") for t in tags)))
+    return F.when(c.contains("<"), found).otherwise(F.array().cast("array<string>"))
 
 
 # The gate
@@ -234,20 +247,21 @@ def tag_errors(c: Column) -> Column:
 
 def _syntax(c: Column) -> Column:
     ticks = F.exists(lines(c), lambda x: ~x.contains("```") & (count(x, r"(?<!`)`(?!`)") % 2 == 1))
-    return F.array_compact(F.array(F.when(count(c, "```") % 2 == 1, "unclosed_code_blocks"), F.when(c.contains("`") & ticks, "unclosed_inline_code")))
+    return F.array_compact(F.array(F.when(c.contains("```") & (count(c, "```") % 2 == 1), "unclosed_code_blocks"), F.when(c.contains("`") & ticks, "unclosed_inline_code")))
 
 
 def _glued(c: Column) -> Column:
-    shown = F.regexp_replace(F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]+\)", "$1"), r"(?i)https?://\S+", "")
-    long = words(shown, r"(?<![\p{L}\p{N}_-])\p{L}{45,}(?![\p{L}\p{N}_-])")
+    shown = where_signs(where_signs(c, ("](",), r"!?\[([^\]]*)\]\([^)]+\)", "$1"), ("://",), r"(?i)https?://\S+", "")
+    long = lambda t: words(t, r"(?<![\p{L}\p{N}_-])\p{L}{45,}(?![\p{L}\p{N}_-])")
     signs = lambda x: sum((x.contains(s).cast("int") for s in GLUE_SIGNS), F.lit(0))
-    return F.exists(long, lambda x: (x == casefold(x)) & ((F.length(x) >= 80) | (signs(x) >= 3)))
+    found = lambda t: F.exists(long(t), lambda x: (x == casefold(x)) & ((F.length(x) >= 80) | (signs(x) >= 3)))
+    return let(shown, lambda t: F.when(t.rlike(r"\A(?:\P{L}++|\p{L}{1,44}+(?!\p{L}))*+\p{L}"), found(t)).when(t.isNull(), F.lit(None).cast("boolean")).otherwise(False))
 
 
 def core_errors(c: Column) -> Column:
     """The gate's cheapest codes: empty page, open fences, runs of lines, runs of words, odd `$`."""
     text = F.coalesce(c, F.lit(""))
-    tests = {"empty_page": strip(text) == "", "unclosed_code_blocks": count(text, "```") % 2 == 1, "repetition_loop": line_run(text) >= 4, "repeated_words": word_run(text) >= 5, "unbalanced_math_delimiters": mathtext.unbalanced(text)}
+    tests = {"empty_page": strip(text) == "", "unclosed_code_blocks": count(text, "```") % 2 == 1, "repetition_loop": four_lines(text), "repeated_words": word_run(text) >= 5, "unbalanced_math_delimiters": mathtext.unbalanced(text)}
     return F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items())))
 
 
@@ -279,12 +293,12 @@ def page_errors(c: Column, check_tables: Column | bool = True, assets: Column |
             F.when(F.lit(check_tables) if isinstance(check_tables, bool) else check_tables, tables).otherwise(none),
             F.array_compact(
                 F.array(
-                    F.when(has_loop(text) | (line_run(text) >= 4), "repetition_loop"), F.when(word_run(text) >= 5, "repeated_words"), F.when(_glued(text), "glued_words"),
+                    F.when(has_loop(text) | four_lines(text), "repetition_loop"), F.when(word_run(text) >= 5, "repeated_words"), F.when(_glued(text), "glued_words"),
                     F.when(loss["high"] > 0, "missing_vietnamese_diacritics"), F.when(mathtext.unbalanced(text), "unbalanced_math_delimiters"),
                 )
             ),
             F.when(text.contains("$"), mathtext.errors(text)).otherwise(none),
-            F.array_compact(F.array(F.when(text.rlike(markup.PLACEHOLDER), "unresolved_placeholder"))),
+            F.array_compact(F.array(F.when(text.contains("_") & text.rlike(markup.PLACEHOLDER), "unresolved_placeholder"))),
             images,
         )
     )

@@ -62,6 +62,27 @@ def test_addresses_in_a_long_word_without_end(spark):
     assert [r.p for r in spark.createDataFrame([(text,), (text + "y.z",)], "t string").select(quality.prose(F.col("t")).alias("p")).collect()] == [[], []]
 
 
+def test_lost_diacritics_of_words_with_signs_about_them(spark):
+    plain = "viet nam nguoi nuoc thanh pho lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua enim minim veniam quis nostrud"
+    texts = [f"cua_ va_ la_ {plain}.", f"c`x`ua v`x`a l`x`a {plain}.", f"cuax vax lax {plain}.", f"cua va la {plain}."]
+    assert ["missing_vietnamese_diacritics" in r.errors for r in report(spark, *texts)] == [True, True, False, True]
+
+
+def test_runs_tell_the_gate_what_they_tell_by_themselves(spark):
+    tail = " and so on with more words"
+    texts = [
+        "no " * 5 + tail, "no " * 4 + tail, "No, nO. no! NO no" + tail, "no no no\nno no" + tail, "no\nno no no no no", "straße STRASSE strasse Straße STRAßE" + tail, "ΑΣ ας ΑΣ Ας ΑΣ" + tail, "nok " * 2 + "no\u212a " * 3 + tail,
+        "no\u00b2 " * 5 + tail, "<!-- " + "no " * 6 + tail, "x" + "no " * 5 + "nox" + tail, "nono " * 5, "\n".join(["same line"] * 4), "\n".join(["# Same Line", "same line", "", "<!-- x -->", "## same line", "SAME LINE"]), "\n".join(["same line"] * 3),
+        "\n".join(["ßßß", "SSSSSS"] * 2), "\n".join(["short"] * 9), "\n".join(["same line", "other line"] * 4), "\r\n".join(["same line"] * 4), "", None,
+    ]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    c = F.col("t")
+    got = rows.select((quality.word_run(c) >= 5).alias("word"), quality.four_lines(c).alias("l"), (quality.line_run(c) >= 4).alias("line"), quality.core_errors(c).alias("e")).collect()
+    assert [r.l for r in got] == [r.line for r in got]
+    assert {r.word for r in got} == {r.l for r in got} == {True, False}
+    assert [("repeated_words" in r.e, "repetition_loop" in r.e) for r in got] == [(r.word, r.line) for r in got]
+
+
 def test_missing_images(spark):
     r = report(spark, "![a](x.png) ![b](y.png) ![c](https://h/z.png)", assets=F.array(F.lit("x.png")))
     assert r[0].errors == ["missing_image:y.png"] and r[0].score == 60
