@@ -54,22 +54,30 @@ def link_images(text: Column, paths: Column) -> Column:
     target = markup.IMAGE_TARGET
     kinds = (rf"!\[[^\]]*\]\(\s*{target}\s*\)", rf"<img\b[^>]*\bsrc\s*=\s*['\"]{target}['\"][^>]*>", rf"(?<![\w/.-]){target}(?![\w/.-])")
     pattern = "(?i)" + "|".join(kinds)
-    whole = F.regexp_replace(text, r"(?m)!\[([^\]\n]+)$", "![$1](image_placeholder.png)")
-    free = F.filter(paths, lambda p: ~F.contains(text, F.concat(F.lit("]("), p, F.lit(")"))))
+    kind = lambda h: F.when(h.startswith("!["), 0).when(h.startswith("<"), 1).otherwise(2)
+    label = lambda h, k: F.when(k == 0, F.regexp_extract(h, r"!\[([^\]]*)\]", 1)).when(k == 1, F.regexp_extract(h, r"(?i)\balt\s*=\s*(['\"])(.*?)\1", 2)).otherwise("")
+    named = lambda h, k: let(label(h, k), lambda x: F.when(x == "", NO_LABEL).otherwise(x))
+    image = lambda h, k, path: let(path, lambda p: F.when(p.isNull(), "").otherwise(F.concat(F.lit("!["), named(h, k), F.lit("]("), p, F.lit(")"))))
+
+    # Each step is bound before the next uses it: an expression inside a lambda is evaluated as often as it is written.
+    def given(x: Column) -> Column:
+        whole = F.regexp_replace(x["text"], r"(?m)!\[([^\]\n]+)$", "![$1](image_placeholder.png)")
+        free = F.filter(x["paths"], lambda p: ~F.contains(x["text"], F.concat(F.lit("]("), p, F.lit(")"))))
+        return F.when(x["text"].isNotNull() & x["paths"].isNotNull(), let(F.struct(whole.alias("whole"), free.alias("free")), found))
+
+    def found(x: Column) -> Column:
+        hits = F.regexp_extract_all(x["whole"], F.lit(pattern), F.lit(0))
+        # split() compiles its pattern for every text; a text with the sign in it is split by the pattern all the same.
+        gaps = F.when(x["whole"].contains("\x01"), F.split(x["whole"], pattern, -1)).otherwise(F.split(F.regexp_replace(x["whole"], pattern, "\x01"), "\x01", -1))
+        return let(F.struct(hits.alias("hits"), F.transform(hits, kind).alias("kinds"), gaps.alias("gaps"), x["free"].alias("free")), linked)
 
     def linked(x: Column) -> Column:
-        kind = lambda h: F.when(h.startswith("!["), 0).when(h.startswith("<"), 1).otherwise(2)
-        hits = F.transform(x["hits"], lambda h: F.struct(h.alias("hit"), kind(h).alias("kind")))
-        before = lambda h, i: F.size(F.filter(hits, lambda o, j: (o["kind"] < h["kind"]) | (o["kind"] == h["kind"]) & (j < i)))
-        label = lambda h: F.when(h["kind"] == 0, F.regexp_extract(h["hit"], r"!\[([^\]]*)\]", 1)).when(h["kind"] == 1, F.regexp_extract(h["hit"], r"(?i)\balt\s*=\s*(['\"])(.*?)\1", 2)).otherwise("")
-        named = lambda h: F.when(label(h) == "", NO_LABEL).otherwise(label(h))
-        image = lambda h, path: F.when(path.isNull(), "").otherwise(F.concat(F.lit("!["), named(h), F.lit("]("), path, F.lit(")")))
-        links = F.transform(hits, lambda h, i: image(h, F.get(x["free"], before(h, i))))
-        parts = F.transform(F.arrays_zip(x["gaps"].alias("gap"), links.alias("link")), lambda z: F.concat(z["gap"], F.coalesce(z["link"], F.lit(""))))
+        before = lambda k, i: F.size(F.filter(x["kinds"], lambda o, j: (o < k) | (o == k) & (j < i)))
+        link = lambda i, k: image(F.get(x["hits"], i), k, F.get(x["free"], before(k, i)))
+        parts = F.transform(x["gaps"], lambda gap, i: F.when(i < F.size(x["hits"]), F.concat(gap, link(i, F.get(x["kinds"], i)))).otherwise(gap))
         return F.struct(F.array_join(parts, "").alias("text"), F.slice(x["free"], F.size(x["hits"]) + 1, F.greatest(F.size(x["free"]), F.lit(1))).alias("remaining"))
 
-    found = F.struct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)).alias("hits"), F.split(whole, pattern, -1).alias("gaps"), free.alias("free"))
-    return F.when(text.isNotNull() & paths.isNotNull(), let(found, linked))
+    return let(F.struct(text.alias("text"), paths.alias("paths")), given)
 
 
 def fill_formulas(text: Column, formulas: Column) -> Column:

@@ -227,6 +227,18 @@ def test_offsets_and_rebase(spark):
     assert [tuple(x) for x in moved] == [(3, 5), (8, 11)]
 
 
+def test_links_of_images_evaluate_a_text_once(spark):
+    texts = ["image_placeholder <img src='image_placeholder' alt='z'> ![a](x/image_placeholder)", "![open\nimage_placeholder", "\x01 image_placeholder \x01 ![](image_placeholder.png)", "![q](p0.png) image_placeholder", "plain \\1 $2", None]
+    rows = spark.createDataFrame([(i, t, ["p0.png", "p1.png"]) for i, t in enumerate(texts)], "i int, t string, p array<string>")
+    linked = rows.select("i", assembly.link_images(F.concat("t", F.lit(" @sign@")), F.col("p")).alias("x"))
+    assert linked._jdf.queryExecution().optimizedPlan().toString().count("@sign@") == 1
+    h = "![Hình ảnh]"
+    want = [
+        (" ![z](p1.png) ![a](p0.png) @sign@", []), (f"![open](p0.png)\n{h}(p1.png) @sign@", []), (f"\x01 {h}(p1.png) \x01 {h}(p0.png) @sign@", []), (f"![q](p0.png) {h}(p1.png) @sign@", []), ("plain \\1 $2 @sign@", ["p0.png", "p1.png"]), None,
+    ]
+    assert [r.x and tuple(r.x) for r in linked.orderBy("i").collect()] == want
+
+
 def test_finalise_is_stable(spark):
     docs = spark.createDataFrame([(1, "Text\n\n<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2"), (2, "clean text"), (3, None)], "d int, text string")
     once = assembly.finalise(docs).select("d", F.col("final").alias("text"), assembly.describe(F.col("report")).alias("how")).orderBy("d").collect()
